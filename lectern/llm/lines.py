@@ -26,9 +26,12 @@ LEAST_WORDS = 4
 BROADCAST_ROWS = 1_000_000
 
 
-def _clean(line: Column) -> Column:
-    """Lines are compared by their words, A-Z lower-cased, joined by one space."""
-    return F.trim(F.regexp_replace(F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), WORD_GAP, " "))
+def _cleaned(text: Column) -> Column:
+    """A text whose lines are compared: lower case, runs of white space within a line as one space.
+
+    The pattern matches only where something must change, which is rare.
+    """
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*|\x20[\x20\x09\x0B-\x0D]+", " ")
 
 
 def _lines(text: Column) -> Column:
@@ -37,7 +40,7 @@ def _lines(text: Column) -> Column:
 
 def _placed(docs: DataFrame) -> DataFrame:
     """line, key (two 64-bit hashes) and spot, which orders lines by document and place, of each line with a word."""
-    rows = docs.select("doc_id", F.posexplode(F.transform(_lines(F.col("text")), _clean)).alias("line_no", "line")).where("line != ''")
+    rows = docs.select("doc_id", F.posexplode(_lines(_cleaned(F.col("text")))).alias("line_no", "line")).withColumn("line", F.trim("line")).where("line != ''")
     return rows.select("line", F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")).alias("key"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no").alias("spot"))
 
 
@@ -64,15 +67,20 @@ def one_edit(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), replaced).when(F.size(a) + 1 == F.size(b), inserted(a, b)).when(F.size(b) + 1 == F.size(a), inserted(b, a)).otherwise(False)
 
 
-def near_copies(docs: DataFrame, least_words: int = LEAST_WORDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def line_keys(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """key, spot and halves (null for short lines) of each line with a word: what all steps but two need of the texts."""
+    rows = _placed(docs).withColumn("words", F.length("line") - F.length(F.translate("line", " ", "")) + 1)
+    return rows.select("key", "spot", F.when(F.col("words") >= least_words, _halves(F.col("line"), F.col("words"))).alias("halves"))
+
+
+def near_copies(docs: DataFrame, keys: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """key and spot of each distinct line that has an earlier line at one edit, and the ``other`` spot of that line."""
-    rows = _placed(docs).withColumn("words", F.length("line") - F.length(F.translate("line", " ", "")) + 1).where(F.col("words") >= least_words)
-    halved = rows.select(F.explode(_halves(F.col("line"), F.col("words"))).alias("half"), F.col("key.a").alias("a"))
+    halved = keys.select(F.explode("halves").alias("half"), F.col("key.a").alias("a"))
     # two different lines share a half: its smallest and largest line keys differ
     shared = durable(halved.groupBy("half").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low != high").select("half"))
     few = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
     hits = durable(halved.join(few(shared), "half", "left_semi").select("a").distinct())
-    chosen = rows.withColumn("a", F.col("key.a")).join(few(hits), "a", "left_semi")
+    chosen = _placed(docs).withColumn("a", F.col("key.a")).join(few(hits), "a", "left_semi")
     lines = durable(chosen.groupBy("key").agg(F.min("spot").alias("spot"), F.first("line").alias("line")).withColumn("w", F.split("line", " ")).drop("line"))
 
     n = F.size("h")
@@ -91,10 +99,11 @@ def near_copies(docs: DataFrame, least_words: int = LEAST_WORDS, broadcast_rows:
     return proven.groupBy("key", "spot").agg(F.min("other").alias("other"))
 
 
-def dropped_lines(docs: DataFrame, **options: object) -> DataFrame:
+def dropped_lines(docs: DataFrame, least_words: int = LEAST_WORDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id and line_no (from 0) of every line that an earlier one makes redundant."""
-    near = durable(near_copies(docs, **options).select("key", F.lit(True).alias("near")))
-    placed = _placed(docs).select("key", "spot")
+    all_keys = durable(line_keys(docs, least_words))
+    near = durable(near_copies(docs, all_keys, broadcast_rows).select("key", F.lit(True).alias("near")))
+    placed = all_keys.select("key", "spot")
     # of all lines only those that occur twice or have a near copy matter; one row a key and task leaves for the count
     keys = placed.groupBy("key").agg(F.min("spot").alias("first"), F.count("*").alias("n"))
     told = durable(keys.join(near, "key", "left").where("n > 1 OR near").select("key", "first", F.coalesce("near", F.lit(False)).alias("near")))
