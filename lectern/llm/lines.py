@@ -44,13 +44,21 @@ def _placed(docs: DataFrame) -> DataFrame:
     return rows.select("line", F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")).alias("key"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no").alias("spot"))
 
 
+def _n_words(line: Column) -> Column:
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
+def _part(line: Column, k: Column) -> Column:
+    """The first ``k`` words of a line, or the last ``-k``."""
+    return F.call_function("substring_index", line, F.lit(" "), k)
+
+
 def _halves(line: Column, n: Column) -> Column:
     """Keys of the first and last half of a line of ``n`` words, for its own length and for one word less."""
 
     def of(length: Column) -> list[Column]:
         head, tail = F.ceil(length / 2).cast("int"), F.floor(length / 2).cast("int")
-        part = lambda k: F.call_function("substring_index", line, F.lit(" "), k)
-        return [F.xxhash64(length, F.lit("head"), part(head)), F.xxhash64(length, F.lit("tail"), part(-tail))]
+        return [F.xxhash64(length, F.lit("head"), _part(line, head)), F.xxhash64(length, F.lit("tail"), _part(line, -tail))]
 
     return F.array(*of(n), *of(n - 1))
 
@@ -69,7 +77,7 @@ def one_edit(a: Column, b: Column) -> Column:
 
 def line_keys(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """key, spot and halves (null for short lines) of each line with a word: what all steps but two need of the texts."""
-    rows = _placed(docs).withColumn("words", F.length("line") - F.length(F.translate("line", " ", "")) + 1)
+    rows = _placed(docs).withColumn("words", _n_words(F.col("line")))
     return rows.select("key", "spot", F.when(F.col("words") >= least_words, _halves(F.col("line"), F.col("words"))).alias("halves"))
 
 
@@ -81,20 +89,19 @@ def near_copies(docs: DataFrame, keys: DataFrame, broadcast_rows: int = BROADCAS
     few = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
     hits = durable(halved.join(few(shared), "half", "left_semi").select("a").distinct())
     chosen = _placed(docs).withColumn("a", F.col("key.a")).join(few(hits), "a", "left_semi")
-    lines = durable(chosen.groupBy("key").agg(F.min("spot").alias("spot"), F.first("line").alias("line")).withColumn("w", F.split("line", " ")).drop("line"))
+    lines = durable(chosen.groupBy("key").agg(F.min("spot").alias("spot"), F.first("line").alias("line")))
 
-    n = F.size("h")
-    without = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.xxhash64(F.concat(F.slice("h", F.lit(1), i), F.slice("h", i + 2, n))).alias("variant"), i.alias("at")))
-    itself = F.array(F.struct(F.xxhash64("h").alias("variant"), F.lit(-1).alias("at")))
-    hashed = lines.select("spot", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    variants = hashed.select("spot", F.explode(F.concat(itself, without)).alias("v")).select("spot", "v.variant", "v.at")
+    line, n = F.col("line"), _n_words(F.col("line"))
+    without = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.xxhash64(F.trim(F.concat(_part(line, i), F.lit(" "), _part(line, i - n + 1)))).alias("variant"), i.alias("at")))
+    itself = F.array(F.struct(F.xxhash64(line).alias("variant"), F.lit(-1).alias("at")))
+    variants = durable(lines.select("spot", F.explode(F.concat(itself, without)).alias("v")).select("spot", "v.variant", "v.at"))
     replaced = variants.where("at >= 0").groupBy("variant", "at").agg(F.min("spot").alias("other"), F.count("*").alias("m")).where("m > 1").drop("m")
     pairs = variants.join(replaced, ["variant", "at"]).select("spot", "other")
     ends = variants.groupBy("variant").agg(F.min(F.when(F.col("at") < 0, F.col("spot"))).alias("whole"), F.min(F.when(F.col("at") >= 0, F.col("spot"))).alias("longer")).where("whole IS NOT NULL AND longer IS NOT NULL")
     pairs = pairs.unionByName(variants.join(ends, "variant").select("spot", F.when(F.col("at") < 0, F.col("longer")).otherwise(F.col("whole")).alias("other")))
     pairs = pairs.where(F.col("other") < F.col("spot")).distinct()
-    mine = lines.select("spot", "key", "w")
-    theirs = lines.select(F.col("spot").alias("other"), F.col("w").alias("w2"))
+    mine = lines.select("spot", "key", F.split("line", " ").alias("w"))
+    theirs = lines.select(F.col("spot").alias("other"), F.split("line", " ").alias("w2"))
     proven = pairs.join(mine, "spot").join(theirs, "other").where(one_edit(F.col("w"), F.col("w2")))
     return proven.groupBy("key", "spot").agg(F.min("other").alias("other"))
 
