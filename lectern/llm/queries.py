@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import encode_documents
 from .common import table
 from .lines import drop_repeated_lines
+from .minhash import near_duplicates
 from .mixing import mix
 from .quality import quality_report
 from .urls import filter_urls
@@ -39,6 +40,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_url_filter": op2_url_filter,
     "op7_line_dedup": op7_line_dedup,
+    "op8_minhash": op8_minhash,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
 }
