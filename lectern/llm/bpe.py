@@ -160,7 +160,7 @@ class SegmentTreeBPE:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
-_loaded: dict[int, SegmentTreeBPE] = {}
+_loaded: dict[str, SegmentTreeBPE] = {}
 
 #: Characters encoded together.
 BATCH_CHARS = 1 << 21
@@ -175,15 +175,16 @@ def encode_documents(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = (
     """
     spark = docs.sparkSession
     with open(vocabulary, encoding="utf-8") as f:
-        shipped = spark.sparkContext.broadcast(f.read())
+        spec = f.read()
+    shipped, mark = spark.sparkContext.broadcast(spec), hashlib.sha256(spec.encode()).hexdigest()
     source = docs.select(*keep, docs["text"].alias("__text"))
     schema = ", ".join([*[f"`{c}` {t}" for c, t in source.dtypes[:-1]], "n_tokens long, ids_sha256 string, decoded_sha256 string", *["ids array<int>"] * with_ids])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if shipped.id not in _loaded:
+        if mark not in _loaded:
             _loaded.clear()
-            _loaded[shipped.id] = SegmentTreeBPE(shipped.value)
-        bpe = _loaded[shipped.id]
+            _loaded[mark] = SegmentTreeBPE(shipped.value)
+        bpe = _loaded[mark]
         for whole in batches:
             texts = [t or "" for t in whole.column(whole.num_columns - 1).to_pylist()]
             start = 0
