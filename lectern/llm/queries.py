@@ -13,6 +13,8 @@ from .lines import drop_repeated_lines
 from .minhash import near_duplicates
 from .mixing import mix
 from .quality import quality_report
+from .substring import remove_repeats
+from .toxicity import score_toxicity
 from .urls import filter_urls
 
 #: Name of the public vocabulary file that op1 and the pipeline encode with.
@@ -35,6 +37,15 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", F.col("__host").alias("host"), F.col("__path").alias("path"), F.when(F.col("__level") == 1, F.col("__rule")).alias("rule"), F.col("__verdict").alias("verdict"))
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_repeated_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"))
@@ -56,6 +67,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_url_filter": op2_url_filter,
+    "op5_substring": op5_substring,
+    "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,
     "op8_minhash": op8_minhash,
     "op9_mixing": op9_mixing,
