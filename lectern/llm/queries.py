@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .bpe import encode_documents
 from .common import table
 from .lines import drop_repeated_lines
 from .minhash import near_duplicates
 from .mixing import mix
+from .pii import BASE, find_personal_data
 from .quality import quality_report
 from .substring import remove_repeats
 from .toxicity import score_toxicity
@@ -37,6 +39,19 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", F.col("__host").alias("host"), F.col("__path").alias("path"), F.when(F.col("__level") == 1, F.col("__rule")).alias("rule"), F.col("__verdict").alias("verdict"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of = lambda k: lambda s: s["kind"] == k
+    counts = [F.size(F.filter("__spans", of(k))).cast("long").alias(f"n_{k}") for k in BASE]
+    base = F.filter("__spans", lambda s: s["kind"].isin(*BASE))
+    return found.select("doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("__spans")).alias("spans"))
+
+
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -67,6 +82,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_url_filter": op2_url_filter,
+    "op3_ann": op3_ann,
+    "op4_pii": op4_pii,
     "op5_substring": op5_substring,
     "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,

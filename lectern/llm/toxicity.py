@@ -125,8 +125,11 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> t
     toxic, clean = float(n["t"] or 0), float((n["n"] or 0) - (n["t"] or 0))
     odds = ((F.col("t") + 0.5) / (toxic + 1)) / ((F.col("c") + 0.5) / (clean + 1))
     counted = first.groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).where((F.col("t") >= max(LEARNED_LEAST, LEARNED_SHARE * toxic)) & (odds >= LEARNED_ODDS))
-    got = [r["w"] for r in counted.orderBy(odds.desc(), "w").limit(LEARNED).collect()]
-    learned = Lexicon(frozenset(w for w in got if w[-1] != "*"), frozenset(w[:-1] for w in got if w[-1] == "*"))
+    got = [r["w"] for r in counted.orderBy(odds.desc(), "w").limit(10 * LEARNED).collect()]
+    stems = frozenset(w[:-1] for w in got if w[-1] == "*")
+    # what a shorter stem covers says nothing more
+    told = [w for w in got if not any(w.rstrip("*")[:k] in stems for k in STEMS if k < len(w.rstrip("*")) + (w[-1] != "*"))][:LEARNED]
+    learned = Lexicon(frozenset(w for w in told if w[-1] != "*"), frozenset(w[:-1] for w in told if w[-1] == "*"))
     rows = _featured(texts.where("part >= 2"), learned, ("toxic", "part", "doc_id")).orderBy("doc_id").collect()
     y, part = np.array([r["toxic"] for r in rows], float), np.array([r["part"] for r in rows])
     x = np.array([[r[f] for f in FEATURES] for r in rows], float).reshape(-1, len(FEATURES))
