@@ -91,10 +91,14 @@ def near_copies(docs: DataFrame, keys: DataFrame, broadcast_rows: int = BROADCAS
     chosen = _placed(docs).withColumn("a", F.col("key.a")).join(few(hits), "a", "left_semi")
     lines = durable(chosen.groupBy("key").agg(F.min("spot").alias("spot"), F.first("line").alias("line")))
 
-    line, n = F.col("line"), _n_words(F.col("line"))
-    without = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.xxhash64(F.trim(F.concat(_part(line, i), F.lit(" "), _part(line, i - n + 1)))).alias("variant"), i.alias("at")))
-    itself = F.array(F.struct(F.xxhash64(line).alias("variant"), F.lit(-1).alias("at")))
-    variants = durable(lines.select("spot", F.explode(F.concat(itself, without)).alias("v")).select("spot", "v.variant", "v.at"))
+    # a line's key is the XOR of its words' hashes with their places; running XORs of the words before a deleted one and of
+    # those after it, moved up by one place, give each variant's key without building it
+    running = lambda moved: F.aggregate(F.transform(F.split("line", " "), lambda x, i: F.xxhash64(x, i - moved)), F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1).bitwiseXOR(x))))
+    keyed = lines.select("spot", running(0).alias("p"), running(1).alias("m"))
+    n = F.size("p") - 1
+    without = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get("p", i).bitwiseXOR(F.get("m", n)).bitwiseXOR(F.get("m", i + 1)).alias("variant"), i.alias("at")))
+    itself = F.array(F.struct(F.get("p", n).alias("variant"), F.lit(-1).alias("at")))
+    variants = durable(keyed.select("spot", F.explode(F.concat(itself, without)).alias("v")).select("spot", "v.variant", "v.at"))
     replaced = variants.where("at >= 0").groupBy("variant", "at").agg(F.min("spot").alias("other"), F.count("*").alias("m")).where("m > 1").drop("m")
     pairs = variants.join(replaced, ["variant", "at"]).select("spot", "other")
     ends = variants.groupBy("variant").agg(F.min(F.when(F.col("at") < 0, F.col("spot"))).alias("whole"), F.min(F.when(F.col("at") >= 0, F.col("spot"))).alias("longer")).where("whole IS NOT NULL AND longer IS NOT NULL")
