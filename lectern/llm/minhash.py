@@ -6,8 +6,9 @@
 3. Every band key hands its members to its smallest one: a hot key makes one pair a member, never all pairs.
 4. The share of equal b-bit fields, corrected for chance collisions, estimates a pair's similarity by bit counts; pairs
    clearly below the threshold go. What is left is confirmed on the full shingle sets.
-5. Members of a key that are not connected so far are compared with each other in bounded blocks, best estimates first,
-   until each pair of the key is either connected, confirmed or refuted: no link between different texts is lost.
+5. Members of a key that are not connected so far are compared with each other in bounded blocks: first each one's best
+   estimates, then, on the full sets and within the blocks, whatever is still open. Each pair of a key ends up connected,
+   confirmed or refuted, so no link between different texts is lost, and pairs never become rows of their own.
 6. Components follow from alternating stars.
 """
 
@@ -33,11 +34,11 @@ PER_LONG = 64 // BITS
 EQUAL_MASK = 0x5555555555555555
 THRESHOLD = 80  # percent
 #: Pairs this many standard deviations of the estimate below the threshold are refuted without their sets.
-DEVIATIONS = 5.0
+DEVIATIONS = 4.2
 #: Members of a key that meet in one task.
 BLOCK = 512
-#: Partners a member has tried after each round of step 5.
-TRIES = (4, 64, 1 << 40)
+#: Partners that a member tries first in step 5.
+TRIES = 4
 BROADCAST_ROWS = 1_000_000
 REMEMBER = 500_000
 
@@ -147,11 +148,16 @@ def equal_fields(a: Column, b: Column) -> Column:
     return F.lit(HASHES) - F.aggregate(differs, F.lit(0), lambda s, x: s + x)
 
 
+def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """id and text of the documents named, written once; few ids are broadcast, counted first."""
+    ids = durable(ids.distinct())
+    near = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    return durable(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(near, "id", "left_semi").distinct())
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """The pairs (u, v) whose full shingle sets are similar enough."""
-    ids = durable(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct())
-    near = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    texts = durable(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(near, "id", "left_semi"))
+    texts = _texts(pairs.select(F.explode(F.array("u", "v")).alias("id")), docs)
     both = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v").join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,27 +176,81 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long").distinct()
 
 
-def _block_pairs(least: int, first: int, beyond: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Pairs of two blocks in different components, from each member's ``first`` to ``beyond`` best estimates."""
+def _open_pairs(pdf: pd.DataFrame, least: int, tries: int) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray]:
+    """Both blocks of a group, and rows of the left and right one that form open pairs: in different components, fit by
+    size and estimate, and met here under the first of the keys that they share. Each left row's best ``tries`` only."""
+    i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+    left, right = pdf[pdf["b"] == i], pdf[pdf["b"] == j]
+    if not len(left) or not len(right):
+        return left, right, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = (np.array(x["sig"].tolist(), np.int64).view(np.uint64).reshape(len(x), -1) for x in (left, right))
+    unequal = np.zeros((len(a), len(b)), np.int64)
+    for k in range(a.shape[1]):
+        x = a[:, None, k] ^ b[None, :, k]
+        unequal += np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(EQUAL_MASK))
+    na, nb = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
+    open_ = (HASHES - unequal >= least) & (left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]) & (100 * np.minimum(na, nb) >= THRESHOLD * np.maximum(na, nb))
+    order = np.argsort(np.where(open_, unequal, HASHES + 1), axis=1, kind="stable")[:, :tries]
+    row = np.repeat(np.arange(len(a)), order.shape[1])
+    col = order.ravel()
+    ok = open_[row, col]
+    row, col = row[ok], col[ok]
+    ka, kb = (np.array(x["bands"].tolist(), np.int64).reshape(len(x), -1) for x in (left, right))
+    first = ka[row, np.argmax(ka[row] == kb[col], axis=1)] == pdf["key"].iloc[0]
+    return left, right, row[first], col[first]
+
+
+def _best_pairs(least: int, tries: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right, row, col = _open_pairs(pdf, least, tries)
+        u, v = left["rep"].to_numpy()[row], right["rep"].to_numpy()[col]
+        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+    return run
+
+
+def _open_members(least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The members of a group that open pairs have: as many rows as members at most, however many pairs."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right, row, col = _open_pairs(pdf, least, 1 << 40)
+        chosen = pd.concat([left.iloc[np.unique(row)], right.iloc[np.unique(col)]]).drop_duplicates("rep")
+        return chosen
+
+    return run
+
+
+def _links(least: int, size: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Confirmed links of a group, on full sets; pairs that its earlier links connect are spared."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        left, right = pdf[pdf["b"] == i], pdf[pdf["b"] == j]
-        a, b = (np.array(x["sig"].tolist(), np.int64).view(np.uint64).reshape(len(x), -1) for x in (left, right))
-        unequal = np.zeros((len(a), len(b)), np.int64)
-        for k in range(a.shape[1]):
-            x = a[:, None, k] ^ b[None, :, k]
-            unequal += np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(EQUAL_MASK))
+        left, right, row, col = _open_pairs(pdf, least, 1 << 40)
+        sets = {r: shingle_set(t, size) for r, t in zip(pdf["rep"], pdf["text"], strict=True)}
         ua, ub = left["rep"].to_numpy(), right["rep"].to_numpy()
-        open_ = (HASHES - unequal >= least) & (left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :])
-        order = np.argsort(unequal, axis=1, kind="stable")
-        open_ = np.take_along_axis(open_, order, axis=1)
-        row, col = np.nonzero(open_[:, first:beyond])
-        u, v = ua[row], ub[order[row, col + first]]
-        made = pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v), "more": False})
-        if open_[:, beyond:].any():  # says that a later round has more to try
-            made.loc[len(made)] = [-1, -1, True]
-        return made.astype({"u": "int64", "v": "int64", "more": "bool"})
+        root = {c: c for c in pdf["comp"]}
+        comp_a, comp_b = left["comp"].to_numpy(), right["comp"].to_numpy()
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        found = []
+        for r in np.unique(row):
+            mine = sets[ua[r]]
+            partners = [c for c in col[row == r] if find(comp_a[r]) != find(comp_b[c])]
+            if not partners:
+                continue
+            theirs = [sets[ub[c]] for c in partners]
+            sizes = np.fromiter(map(len, theirs), np.int64, len(theirs))
+            common = np.add.reduceat(np.isin(np.concatenate(theirs), mine).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            for c in np.flatnonzero(100 * common >= THRESHOLD * (len(mine) + sizes - common)):
+                x, y = find(comp_a[r]), find(comp_b[partners[c]])
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    found.append((min(ua[r], ub[partners[c]]), max(ua[r], ub[partners[c]])))
+        return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
     return run
 
@@ -206,39 +266,41 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     with_set = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = durable(with_set.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")))
     alone = classes.select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), "rep")
-    reps = durable(with_set.join(alone, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("doc_id") == F.col("rep"))).dropDuplicates(["doc_id", "s1", "s2"]).select("rep", "bands", "sig"))
-    sigs = reps.select("rep", "sig")
+    reps = durable(with_set.join(alone, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("doc_id") == F.col("rep"))).dropDuplicates(["doc_id", "s1", "s2"]).select("rep", "n", "bands", "sig"))
     least = math.ceil(least_estimate() * HASHES)
     members = reps.select("rep", F.explode("bands").alias("key"))
     leads = durable(members.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("high"), F.count("*").alias("m")).where("lead < high"))
     met = durable(members.join(leads, "key"))
     pairs = met.where("rep != lead").select(F.col("lead").alias("u"), F.col("rep").alias("v")).distinct()
-    guessed = pairs.join(sigs.select(F.col("rep").alias("v"), F.col("sig").alias("y")), "v").join(sigs.select(F.col("rep").alias("u"), F.col("sig").alias("x")), "u")
-    hopeful = durable(guessed.where(equal_fields(F.col("x"), F.col("y")) >= least).select("u", "v"))
+    guessed = pairs.join(reps.select(F.col("rep").alias("v"), F.col("sig").alias("y"), F.col("n").alias("m")), "v").join(reps.select(F.col("rep").alias("u"), F.col("sig").alias("x"), "n"), "u")
+    fits = 100 * F.least("n", "m") >= THRESHOLD * F.greatest("n", "m")
+    hopeful = durable(guessed.where(fits & (equal_fields(F.col("x"), F.col("y")) >= least)).select("u", "v"))
     linked = durable(confirm(hopeful, docs, size))
     found = components(linked)
 
-    start = 0
-    for tries in TRIES:
+    def unsettled() -> DataFrame:
+        """Members of keys that hold several components, dealt to pairs of blocks."""
         placed = met.where("m > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
         mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).where("low < high").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-        dealt = placed.join(mixed, "key").join(sigs, "rep").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        dealt = placed.join(mixed, "key").join(reps, "rep").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         # block b meets every block: as the left one those from b on, as the right one those before
-        spread = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "rep", "comp", "sig", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
-        tried = spread.groupBy("key", "i", "j").applyInPandas(_block_pairs(least, start, tries), "u long, v long, more boolean")
-        tried = durable(tried.where("u != v OR more").distinct())
-        fresh = tried.where("NOT more").select("u", "v").join(hopeful, ["u", "v"], "left_anti")
-        if tried.isEmpty():
-            break
-        fresh = durable(fresh)
-        hopeful = durable(hopeful.unionByName(fresh))
-        more = durable(confirm(fresh, docs, size))
+        spread = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return spread.select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "rep", "comp", "n", "bands", "sig")
+
+    # the best guesses first: they join most components, and then few pairs are left to refute
+    tried = unsettled().groupBy("key", "i", "j").applyInPandas(_best_pairs(least, TRIES), "u long, v long").distinct()
+    more = durable(confirm(durable(tried.join(hopeful, ["u", "v"], "left_anti")), docs, size))
+    edges = lambda: found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    if not more.isEmpty():
+        found = components(edges().unionByName(more))
+    rows = unsettled()
+    left = durable(rows.groupBy("key", "i", "j").applyInPandas(_open_members(least), rows.schema))
+    if not left.isEmpty():
+        texts = _texts(left.select(F.col("rep").alias("id")), docs).withColumnRenamed("id", "rep")
+        exact = left.join(texts, "rep").groupBy("key", "i", "j").applyInPandas(_links(least, size), "u long, v long")
+        more = durable(exact.distinct())
         if not more.isEmpty():
-            linked = linked.unionByName(more)
-            found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
-        if tried.where("more").isEmpty():
-            break
-        start = tries
+            found = components(edges().unionByName(more))
     many = classes.where("m > 1").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), "rep")
     own = signed.select("doc_id", "n", "s1", "s2").join(many, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     named = own.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
