@@ -1,0 +1 @@
+"""Retrieval analytics over documents and slides, expressed in Spark DataFrames."""
