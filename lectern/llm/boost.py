@@ -43,6 +43,8 @@ class Boosted:
     #: Steps of the calibration: margins and the probabilities from there on.
     steps: np.ndarray = field(default_factory=lambda: np.zeros(0))
     chances: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    #: Least margin of each step.
+    lows: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         return self.prior + sum((t.values(x) for t in self.trees), np.zeros(len(x)))
@@ -65,6 +67,7 @@ class Boosted:
                 blocks[-1][3] = last
         self.steps = np.array([(b[2] + b[3]) / 2 for b in blocks])
         self.chances = np.array([b[0] / b[1] for b in blocks])
+        self.lows = np.array([b[2] for b in blocks])
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         """Calibrated probability; a hundredth of the plain logistic keeps the order within a step."""

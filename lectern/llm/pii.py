@@ -160,7 +160,7 @@ def selector(spark: SparkSession, train_rows: int = TRAIN_ROWS) -> tuple[boost.B
         held_x, held_y = x[part == 2], y[part == 2]
         model.calibrate(held_x, held_y)
         # the least margin from which on the calibrated chance is nine in ten
-        sure = model.steps[model.chances >= 0.9]
+        sure = model.lows[model.chances >= 0.9]
         _fitted[train_rows] = model, float(sure.min()) if len(sure) else float("inf")
     return _fitted[train_rows]
 
