@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from .text import CHUNK, RETRIEVAL, apply, is_garbage_line, is_noise, strip
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once, where a lambda in ``use`` would evaluate it for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _kept(parts: Column, clean: Callable[[Column], Column] = strip) -> Column:
     return F.filter(F.transform(parts, clean), lambda p: p != "")
 
@@ -31,9 +36,11 @@ def paper_sentences(c: Column) -> Column:
 
 
 def two_sentence_chunks(c: Column, min_chars: int = 8) -> Column:
-    s = sentences(c)
-    pairs = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0))), lambda i: (i % 2 == 0) & (i < F.size(s))), lambda i: F.array_join(F.slice(s, i + 1, 2), " "))
-    return F.filter(pairs, lambda x: ~is_noise(x, min_chars))
+    def paired(s: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0))), lambda i: (i % 2 == 0) & (i < F.size(s)))
+        return F.filter(F.transform(firsts, lambda i: F.array_join(F.slice(s, i + 1, 2), " ")), lambda x: ~is_noise(x, min_chars))
+
+    return let(sentences(c), paired)
 
 
 def lines(c: Column) -> Column:
@@ -46,9 +53,13 @@ def bullets_or_lines(c: Column) -> Column:
 
 def local_units(c: Column) -> Column:
     """Bullets, numbered items and sentences of three words or more; the whole text where none is left."""
-    t = apply(F.coalesce(c, F.lit("")), RETRIEVAL)
-    parts = F.filter(_kept(F.split(t, r"(?U)\u2022|\b\d+\.\s+|(?<=[.!?])\s+")), lambda p: n_words(p) >= 3)
-    return F.when(t == "", F.array().cast("array<string>")).when(F.size(parts) == 0, F.array(t)).otherwise(parts)
+
+    def cut(t: Column) -> Column:
+        parts = F.filter(_kept(F.split(t, r"(?U)\u2022|\b\d+\.\s+|(?<=[.!?])\s+")), lambda p: n_words(p) >= 3)
+        whole = lambda found: F.when(t == "", F.array().cast("array<string>")).when(F.size(found) == 0, F.array(t)).otherwise(found)
+        return let(parts, whole)
+
+    return let(apply(F.coalesce(c, F.lit("")), RETRIEVAL), cut)
 
 
 def pack(units: Column, fits: Callable[[Column], Column]) -> Column:

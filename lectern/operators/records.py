@@ -39,8 +39,7 @@ def title_chunks(slide: Column, title: Column) -> Column:
 
 
 def _pieces(raw: Column) -> Column:
-    parts = P.bullets_or_lines(raw)
-    return F.when(F.size(parts) <= 1, P.two_sentence_chunks(raw, MIN_CHARS["body"])).otherwise(P.pack_words(parts, 40))
+    return P.let(P.bullets_or_lines(raw), lambda parts: F.when(F.size(parts) <= 1, P.two_sentence_chunks(raw, MIN_CHARS["body"])).otherwise(P.pack_words(parts, 40)))
 
 
 def body_chunks(slide: Column, blocks: Column) -> Column:
@@ -64,8 +63,12 @@ def body_chunks(slide: Column, blocks: Column) -> Column:
 def body_chunks_from_text(slide: Column, text: Column) -> Column:
     """The fallback without blocks; numbers are those before short pieces go, which leaves gaps."""
     raw = apply(apply(F.coalesce(text, F.lit("")), CHUNK), LONE_LETTERS_V2)
-    made = F.transform(_pieces(raw), lambda p, i: chunk(slide, "body", p, i + FIRST["body"], i, meta(source="body_text_fallback")))
-    return F.when(is_noise(raw, MIN_CHARS["body"]), _none()).otherwise(F.filter(made, lambda c: ~is_noise(c["text"], MIN_CHARS["body"])))
+
+    def made(t: Column) -> Column:
+        listed = F.transform(_pieces(t), lambda p, i: chunk(slide, "body", p, i + FIRST["body"], i, meta(source="body_text_fallback")))
+        return F.when(is_noise(t, MIN_CHARS["body"]), _none()).otherwise(F.filter(listed, lambda c: ~is_noise(c["text"], MIN_CHARS["body"])))
+
+    return P.let(raw, made)
 
 
 def ocr_chunks(slide: Column, lines: Column, by_length: bool = False) -> Column:

@@ -361,8 +361,8 @@ def slide_records(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def chunk_records(spark: SparkSession, d: str) -> DataFrame:
-    c = slide_records(spark, d).select(F.explode("chunks").alias("c"))
-    return c.select("c.chunk_id", "c.slide_id", "c.field", "c.text", "c.order", "c.trust", "c.meta.source")
+    c = slide_records(spark, d).select(F.inline("chunks"))
+    return c.select("chunk_id", "slide_id", "field", "text", "order", "trust", "meta.source")
 
 
 @query()
