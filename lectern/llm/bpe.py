@@ -16,11 +16,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import caches, keep_only
+
 #: The split before merges of byte-level BPE (a published constant).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = np.int64(1 << 40)
 #: Pieces that a worker remembers; beyond it the memory is dropped and filled anew.
-REMEMBER = 400_000
+REMEMBER = 300_000
 #: Tree nodes advanced together.
 LOCKSTEP_NODES = 1 << 22
 
@@ -161,6 +163,7 @@ class SegmentTreeBPE:
 
 
 _loaded: dict[str, SegmentTreeBPE] = {}
+caches["bpe"] = _loaded.clear
 
 #: Characters encoded together.
 BATCH_CHARS = 1 << 21
@@ -181,6 +184,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = (
     schema = ", ".join([*[f"`{c}` {t}" for c, t in source.dtypes[:-1]], "n_tokens long, ids_sha256 string, decoded_sha256 string", *["ids array<int>"] * with_ids])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("bpe")
         if mark not in _loaded:
             _loaded.clear()
             _loaded[mark] = SegmentTreeBPE(shipped.value)

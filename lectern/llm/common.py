@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than the six ASCII white-space ones.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
+#: What Python workers remember between tasks, by operator: how to drop it.
+caches: dict[str, Callable[[], None]] = {}
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -48,6 +52,13 @@ def _sweep() -> None:
             return
 
 
+def keep_only(owner: str = "") -> None:
+    """Drop what the other operators left in this Python worker: a worker serves one after the other."""
+    for name, drop in caches.items():
+        if name != owner:
+            drop()
+
+
 def words(text: Column) -> Column:
     """The words of ``text``; an empty array for null or blank text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import caches, durable, keep_only
 from .graph import components
 
 #: A pair at similarity 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS = 6e-7.
@@ -40,7 +40,7 @@ BLOCK = 512
 #: Partners that a member tries first in step 5.
 TRIES = 4
 BROADCAST_ROWS = 1_000_000
-REMEMBER = 500_000
+REMEMBER = 200_000
 
 _rng = np.random.default_rng(20240229)
 MULTIPLY = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -55,6 +55,7 @@ class _WordHashes(dict):
 
 
 _words = _WordHashes()
+caches["minhash"] = _words.clear
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -113,6 +114,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n (set size), s1 and s2 (128-bit hash of the set), bands, sig of every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("minhash")
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.list_(pa.int64()))])
         for batch in batches:
             n, s1, s2, bands, sigs = [], [], [], [], []
@@ -161,6 +163,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     both = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v").join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("minhash")
         last: tuple[str, np.ndarray] = ("", np.zeros(0, np.uint64))
         for batch in batches:
             keep = []

@@ -23,14 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import caches, durable, keep_only
 
 LENGTH = 50
 GRAM = 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 BROADCAST_ROWS = 1_000_000
-REMEMBER = 500_000
+REMEMBER = 200_000
 
 
 class _WordHashes(dict):
@@ -40,6 +40,7 @@ class _WordHashes(dict):
 
 
 _words = _WordHashes()
+caches["substring"] = _words.clear
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -89,6 +90,7 @@ def _sketch(docs: DataFrame, length: int, gram: int) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("substring")
         for b in batches:
             n, q1, q2, low = [], [], [], []
             for t in b.column(2):

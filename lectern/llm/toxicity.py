@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import boost
-from .common import durable, words
+from .common import durable, keep_only, words
 
 #: Bound of the labelled sample that is fitted on the driver (its features, not its texts).
 TRAIN_ROWS = 20_000
@@ -150,6 +150,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
     model, learned = learn(docs, labels, train_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         for b in batches:
             x = np.array([text_features(t.as_py(), learned) for t in b.column(1)], np.float64).reshape(-1, len(FEATURES))
             p = model.probability(x) if model else x[:, 0] / (x[:, 0] + 0.01)
