@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import caches, keep_only
+from .common import caches, keep_only, tidied
 
 #: The split before merges of byte-level BPE (a published constant).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -217,4 +217,4 @@ def encode_documents(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = (
                 yield pa.RecordBatch.from_arrays([*kept, *made], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
                 start = stop
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidied(run), schema)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import caches, durable, keep_only
+from .common import caches, durable, keep_only, tidied, trim
 from .graph import components
 
 #: A pair at similarity 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS = 6e-7.
@@ -134,7 +134,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     sigs.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNED)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(run), SIGNED)
 
 
 def least_estimate() -> float:
@@ -176,7 +176,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
                 keep.append(common > 0 and 100 * common >= THRESHOLD * (len(x) + len(y) - common))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long").distinct()
+    return both.select("u", "v", "a", "b").mapInArrow(tidied(run), "u long, v long").distinct()
 
 
 def _open_pairs(pdf: pd.DataFrame, least: int, tries: int) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray]:
@@ -253,6 +253,9 @@ def _links(least: int, size: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
                 if x != y:
                     root[max(x, y)] = min(x, y)
                     found.append((min(ua[r], ub[partners[c]]), max(ua[r], ub[partners[c]])))
+        _words.clear()
+        sets.clear()
+        trim()
         return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
     return run

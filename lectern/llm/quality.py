@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from .common import durable, keep_only
+from .common import durable, keep_only, trim
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
@@ -76,7 +76,9 @@ def _counts(text: str | None) -> tuple[int, ...]:
 def quality_counts(text: pd.Series) -> pd.DataFrame:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, A-Z and words equal to their forerunner, of each whole text."""
     keep_only()
-    return pd.DataFrame([_counts(t) for t in text], columns=COUNTS.names)
+    made = pd.DataFrame([_counts(t) for t in text], columns=COUNTS.names)
+    trim()
+    return made
 
 
 def base_failed(m: Column | str = "__q") -> Column:

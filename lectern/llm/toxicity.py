@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import boost
-from .common import durable, keep_only, words
+from .common import durable, keep_only, tidied, words
 
 #: Bound of the labelled sample that is fitted on the driver (its features, not its texts).
 TRAIN_ROWS = 20_000
@@ -105,7 +105,7 @@ def _featured(docs: DataFrame, learned: Lexicon, keep: tuple[str, ...]) -> DataF
             x = np.array([text_features(t.as_py(), learned) for t in b.column(b.num_columns - 1)], np.float64).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *map(pa.array, x.T.copy())], names=[*keep, *FEATURES])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidied(run), schema)
 
 
 def fold() -> Column:
@@ -157,5 +157,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.clip(p, 0.0, 1.0), pa.float64())], names=["doc_id", "score"])
 
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
-    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, score double")
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
