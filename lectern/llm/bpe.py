@@ -24,7 +24,7 @@ NONE = np.int64(1 << 40)
 #: Pieces that a worker remembers; beyond it the memory is dropped and filled anew.
 REMEMBER = 300_000
 #: Tree nodes advanced together.
-LOCKSTEP_NODES = 1 << 22
+LOCKSTEP_NODES = 1 << 18
 
 
 def byte_alphabet() -> list[str]:
@@ -166,7 +166,7 @@ _loaded: dict[str, SegmentTreeBPE] = {}
 caches["bpe"] = _loaded.clear
 
 #: Characters encoded together.
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 20
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
