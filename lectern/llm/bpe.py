@@ -179,7 +179,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = (
     spark = docs.sparkSession
     with open(vocabulary, encoding="utf-8") as f:
         spec = f.read()
-    shipped, mark = spark.sparkContext.broadcast(spec), hashlib.sha256(spec.encode()).hexdigest()
+    # parsed once, here: workers get the arrays, whose size the vocabulary bounds
+    shipped, mark = spark.sparkContext.broadcast(SegmentTreeBPE(spec)), hashlib.sha256(spec.encode()).hexdigest()
     source = docs.select(*keep, docs["text"].alias("__text"))
     schema = ", ".join([*[f"`{c}` {t}" for c, t in source.dtypes[:-1]], "n_tokens long, ids_sha256 string, decoded_sha256 string", *["ids array<int>"] * with_ids])
 
@@ -187,7 +188,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = (
         keep_only("bpe")
         if mark not in _loaded:
             _loaded.clear()
-            _loaded[mark] = SegmentTreeBPE(shipped.value)
+            _loaded[mark] = shipped.value
         bpe = _loaded[mark]
         for whole in batches:
             texts = [t or "" for t in whole.column(whole.num_columns - 1).to_pylist()]
