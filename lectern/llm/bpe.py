@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -165,8 +166,8 @@ class SegmentTreeBPE:
 _loaded: dict[str, SegmentTreeBPE] = {}
 caches["bpe"] = _loaded.clear
 
-#: Characters encoded together.
-BATCH_CHARS = 1 << 20
+#: Bytes of text encoded together.
+BATCH_BYTES = 1 << 20
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
@@ -191,14 +192,16 @@ def encode_documents(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = (
             _loaded[mark] = shipped.value
         bpe = _loaded[mark]
         for whole in batches:
-            texts = [t or "" for t in whole.column(whole.num_columns - 1).to_pylist()]
+            # texts become Python strings a slice at a time: an Arrow batch of long texts is large already
+            texts = whole.column(whole.num_columns - 1)
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
             start = 0
-            while start < len(texts):
-                stop, chars = start, 0
-                while stop < len(texts) and (stop == start or chars + len(texts[stop]) <= BATCH_CHARS):
-                    chars += len(texts[stop])
+            while start < len(sizes):
+                stop, size = start, 0
+                while stop < len(sizes) and (stop == start or size + sizes[stop] <= BATCH_BYTES):
+                    size += sizes[stop]
                     stop += 1
-                cut = [bpe.pieces(t) for t in texts[start:stop]]
+                cut = [bpe.pieces(t or "") for t in texts.slice(start, stop - start).to_pylist()]
                 bpe.learn(cut)
                 get = bpe.memory.__getitem__
                 n, ids_sha, text_sha, lists = [], [], [], []
