@@ -81,6 +81,10 @@ def quality_counts(text: pd.Series) -> pd.DataFrame:
     return made
 
 
+# pure, but marked: the optimiser would push a filter on its result below a join and run it once more there
+quality_counts = quality_counts.asNondeterministic()
+
+
 def base_failed(m: Column | str = "__q") -> Column:
     c = lambda k: F.col(f"{m}.{k}")
     return (c("n_words") < MIN_WORDS) | (100 * c("n_repeat_words") > MAX_REPEAT_PERCENT * c("n_words"))
