@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import caches, keep_only, tidied
+from .common import caches, keep_only, small_batches, tidied
 
 #: The split before merges of byte-level BPE (a published constant).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -182,7 +182,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = (
         spec = f.read()
     # parsed once, here: workers get the arrays, whose size the vocabulary bounds
     shipped, mark = spark.sparkContext.broadcast(SegmentTreeBPE(spec)), hashlib.sha256(spec.encode()).hexdigest()
-    source = docs.select(*keep, docs["text"].alias("__text"))
+    source = small_batches(docs).select(*keep, docs["text"].alias("__text"))
     schema = ", ".join([*[f"`{c}` {t}" for c, t in source.dtypes[:-1]], "n_tokens long, ids_sha256 string, decoded_sha256 string", *["ids array<int>"] * with_ids])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

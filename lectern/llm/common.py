@@ -9,12 +9,16 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than the six ASCII white-space ones.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
+#: Bytes of an Arrow batch on its way to a Python worker; Spark's own default is eight times as much.
+ARROW_BYTES = 8 << 20
+
 #: What Python workers remember between tasks, by operator: how to drop it.
 caches: dict[str, Callable[[], None]] = {}
 
@@ -61,9 +65,21 @@ def keep_only(owner: str = "") -> None:
             drop()
 
 
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs`` as they are. Where the session doesn't say how large Arrow batches are, they stay small from now on.
+
+    Executor and worker each hold a whole batch of texts a task, beside what the operator needs.
+    """
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", docs.sparkSession.conf
+    if conf.get(key, None) is None:
+        conf.set(key, str(ARROW_BYTES))
+    return docs
+
+
 def trim() -> None:
     """Give freed memory back to the system, so that an idle worker leaves room for the next operator's."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # other C libraries have no such call

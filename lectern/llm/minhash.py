@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import caches, durable, keep_only, tidied, trim
+from .common import caches, durable, keep_only, small_batches, tidied, trim
 from .graph import components
 
 #: A pair at similarity 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS = 6e-7.
@@ -134,7 +134,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     sigs.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(run), SIGNED)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(run), SIGNED)
 
 
 def least_estimate() -> float:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from .common import durable, keep_only, trim
+from .common import durable, keep_only, small_batches, trim
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
@@ -129,7 +129,7 @@ def quality_report(docs: DataFrame) -> DataFrame:
     Null or blank text counts no words and fails the base rule. Null lang or source form groups of their own.
     Repeated rows are judged each. Extra columns are ignored. An empty table gives an empty result.
     """
-    counted = durable(docs.select("doc_id", "lang", "source", quality_counts("text").alias("__q")))
+    counted = durable(small_batches(docs).select("doc_id", "lang", "source", quality_counts("text").alias("__q")))
     return judge(counted, thresholds(counted)).select("doc_id", *[F.col(f"__q.{k}").alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
 
 
@@ -138,5 +138,5 @@ def quality_filter(docs: DataFrame) -> DataFrame:
 
     The texts stay in place: only the limits, one row per language and source, are joined to them.
     """
-    limits = durable(thresholds(docs.select("lang", "source", quality_counts("text").alias("__q"))))
+    limits = durable(thresholds(small_batches(docs).select("lang", "source", quality_counts("text").alias("__q"))))
     return judge(docs.withColumn("__q", quality_counts("text")), limits).where("__kept").select(*[docs[c] for c in docs.columns])

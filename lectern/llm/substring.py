@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import caches, durable, keep_only, tidied
+from .common import caches, durable, keep_only, small_batches, tidied
 
 LENGTH = 50
 GRAM = 16
@@ -102,7 +102,7 @@ def _sketch(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 low.append(np.unique(anchors(hashes(found), length, gram)).view(np.int64) if len(found) >= length else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(q1, pa.int64()), pa.array(q2, pa.int64()), pa.array(low, pa.list_(pa.int64()))], names=["doc_id", "text_key", "n", "q1", "q2", "anchors"])
 
-    return source.mapInArrow(tidied(run), "doc_id long, text_key long, n long, q1 long, q2 long, anchors array<long>")
+    return small_batches(source).mapInArrow(tidied(run), "doc_id long, text_key long, n long, q1 long, q2 long, anchors array<long>")
 
 
 def _windows(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -118,7 +118,7 @@ def _windows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 size = len(at)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(size, b.column(0)[i].as_py())), pa.array(np.full(size, b.column(1)[i].as_py())), pa.array(at.astype(np.int32)), pa.array(w1), pa.array(w2)], names=["doc_id", "text_key", "at", "w1", "w2"])
 
-    return docs.select("doc_id", "text_key", "text", "shared").mapInArrow(tidied(run), "doc_id long, text_key long, at int, w1 long, w2 long")
+    return small_batches(docs).select("doc_id", "text_key", "text", "shared").mapInArrow(tidied(run), "doc_id long, text_key long, at int, w1 long, w2 long")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:

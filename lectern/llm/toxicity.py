@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import boost
-from .common import durable, keep_only, tidied, words
+from .common import durable, keep_only, small_batches, tidied, words
 
 #: Bound of the labelled sample that is fitted on the driver (its features, not its texts).
 TRAIN_ROWS = 20_000
@@ -97,7 +97,7 @@ _NO_MARKS = dict.fromkeys(map(ord, "!?.,;:#*$%&|<>\"'()[]{}-_/\\@^~`+="))
 
 def _featured(docs: DataFrame, learned: Lexicon, keep: tuple[str, ...]) -> DataFrame:
     """The ``keep`` columns and one double for each feature."""
-    source = docs.select(*keep, "text")
+    source = small_batches(docs).select(*keep, "text")
     schema = ", ".join([f"`{c}` {t}" for c, t in source.dtypes[:-1]] + [f"{f} double" for f in FEATURES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,5 +157,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.clip(p, 0.0, 1.0), pa.float64())], names=["doc_id", "score"])
 
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
-    scored = docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, score double")
+    scored = small_batches(docs).select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, score double")
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
