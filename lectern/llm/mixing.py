@@ -26,6 +26,8 @@ MAX_REPEAT = 3.0
 #: Documents that one task settles in a sitting, and open documents that meet at each level of the tree.
 BLOCK = 4096
 SEED = 17
+#: At most so many repeated ids are broadcast, counted first; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def n_words(text: Column) -> Column:
@@ -142,8 +144,17 @@ def mix_documents(docs: DataFrame, **options: object) -> DataFrame:
 
     Rows of one doc_id are matched to their decisions by their order, so repeated rows keep their own.
     """
-    mine = docs.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(n_words(F.col("text")), F.xxhash64("source"))))
+    same = Window.partitionBy("doc_id")
+    nth = lambda size: F.row_number().over(same.orderBy(size, F.xxhash64("source")))
     chosen = mix(docs, **options)
-    chosen = chosen.select(F.col("doc_id").alias("__id"), "copies", F.row_number().over(Window.partitionBy("doc_id").orderBy("size", F.xxhash64("source"))).alias("__n")).where("copies > 0")
-    joined = mine.join(chosen, mine["doc_id"].eqNullSafe(chosen["__id"]) & (mine["__nth"] == chosen["__n"]))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    chosen = durable(chosen.select(F.col("doc_id").alias("__id"), "copies", nth(F.col("size")).alias("__n"), F.count("*").over(same).alias("__m")))
+    of = lambda a, b: a["doc_id"].eqNullSafe(b["__id"])
+    # an id that occurs once needs no order: its text is shuffled for the join alone
+    once = chosen.where("__m = 1 AND copies > 0")
+    taken = docs.join(once, of(docs, once)).select(*[docs[c] for c in docs.columns], F.col("copies").alias("__copies"))
+    repeated = chosen.where("__m > 1").select("__id").distinct()
+    if n := repeated.count():
+        found = docs.join(F.broadcast(repeated) if n <= BROADCAST_ROWS else repeated, of(docs, repeated), "left_semi")
+        mine, more = found.withColumn("__nth", nth(n_words(F.col("text")))), chosen.where("__m > 1 AND copies > 0")
+        taken = taken.unionByName(mine.join(more, of(mine, more) & (mine["__nth"] == more["__n"])).select(*[mine[c] for c in docs.columns], F.col("copies").alias("__copies")))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)

@@ -285,3 +285,13 @@ def test_pipeline(spark, sf):
     assert out and all(r["doc_id"] in docs and r["n_tokens"] == len(r["ids"]) for r in out)
     left = docs[out[0]["doc_id"]]["text"].split("\n")
     assert set(t.decode(out[0]["ids"]).split("\n")) <= set(left)
+
+
+def test_mixed_documents_follow_decisions(spark, docs, empty):
+    """Rows of ids that occur once, several times or are null appear as often as the mix takes them."""
+    odd = spark.createDataFrame([(None, "a b c"), (None, "a b c d"), (7000001, "x y"), (7000001, "x y"), (7000001, "x y z"), (7000002, None)], "doc_id long, text string").withColumn("source", F.lit("web"))
+    for x in (docs.select("doc_id", "text", "source"), docs.select("doc_id", "text", "source").unionByName(odd), empty.select("doc_id", "text", "source")):
+        want = collections.Counter()
+        for r in mixing.mix(x).where("copies > 0").collect():
+            want[r["doc_id"], r["size"], r["source"]] += r["copies"]
+        assert want == collections.Counter((r["doc_id"], len(WORD.findall(r["text"] or "")), r["source"]) for r in mixing.mix_documents(x).collect())
