@@ -130,6 +130,14 @@ def test_pii(spark, sf, tmp_path):
     assert clean[5000] is None and clean[5007] == "ssn <number>" and clean[5008] == made[-1][1]
 
 
+@pytest.mark.parametrize("ip", ["10.0.0.1", "192.168.0.1", "0.0.0.0", "00.000.1.0", "1.2.3.0", "0255.1.2.3"])
+def test_pii_zero_parts(spark, ip):
+    df = spark.createDataFrame([(1, f"at {ip} x"), (2, f"at {ip}256 x"), (3, "0" * 9000 + ".0.0." + "0" * 9000)], "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(x) for x in r["__spans"] if x["kind"] == "ip"] for r in pii.find_personal_data(df).collect()}
+    assert got == {1: [("ip", 3, 3 + len(ip), ip)], 2: [], 3: [("ip", 0, 18005, "0" * 9000 + ".0.0." + "0" * 9000)]}
+    assert {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}[1] == "at <ip> x"
+
+
 def test_substring(docs, rows, empty):
     found = {d: WORD.findall(t or "") for d, t in rows.items()}
     first = {}
