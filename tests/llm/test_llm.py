@@ -138,6 +138,12 @@ def test_pii_zero_parts(spark, ip):
     assert {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}[1] == "at <ip> x"
 
 
+def test_pii_long_secret(spark):
+    value = "24be64439e3e49cf" * 300
+    df = spark.createDataFrame([(1, f'token = "{value}" end'), (2, f"api_key={value}")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in pii.redact(df).collect()} == {1: '<secret>" end', 2: "<secret>"}
+
+
 def test_substring(docs, rows, empty):
     found = {d: WORD.findall(t or "") for d, t in rows.items()}
     first = {}
