@@ -249,10 +249,14 @@ def weighted_qadesc_rank(spark: SparkSession, d: str) -> DataFrame:
 # ---- phrases
 
 
+#: So many vectors in a row are a question, the first of them, and its candidates.
+CANDIDATES = 20
+
+
 @query()
 def mmr_select(spark: SparkSession, d: str) -> DataFrame:
-    g = vectors(spark, d).where("vec_id >= 10").groupBy((F.col("vec_id") % 10).alias("qid")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "emb"))).alias("c"))
-    g = g.join(questions(spark, d), "qid").withColumn("c", F.slice("c", 1, 12))
+    g = vectors(spark, d).groupBy(F.floor(F.col("vec_id") / CANDIDATES).alias("block")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "emb"))).alias("c"))
+    g = g.select(F.col("c")[0]["vec_id"].alias("qid"), F.col("c")[0]["emb"].alias("q_emb"), F.slice("c", 2, F.size("c")).alias("c"))
     names = F.transform("c", lambda s: F.when(s["vec_id"] % 3 == 0, F.concat(F.lit("phrase "), s["vec_id"])).otherwise(F.concat(F.lit("p"), s["vec_id"])))
     return g.select("qid", K.mmr(names, F.transform("c", lambda s: s["emb"]), F.col("q_emb")).alias("picked"))
 
