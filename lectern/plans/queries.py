@@ -355,7 +355,7 @@ def slides(spark: SparkSession, d: str) -> DataFrame:
     raw = F.split("text", "\n", -1)
     blocks = F.transform(raw, lambda x, i: F.struct(x.alias("text"), F.array(F.lit(0.0), i.cast("double")).alias("origin"), i.alias("block_idx")))
     ref = C.reference_from_parts(C.source_reference(F.concat("text", F.when(F.col("doc_id") % 2 == 0, F.lit(" Source: A study of words, ACL. 2019")).otherwise(""))))
-    return read(spark, d, "documents").select(F.col("doc_id").alias("slide_id"), title.alias("title"), body.alias("body"), F.when(F.col("doc_id") % 5 > 0, blocks).alias("blocks"), raw.alias("ocr_lines"), F.when(F.col("doc_id") % 3 > 0, F.substring("text", 1, 300)).alias("desc"), ref.alias("reference"))
+    return read(spark, d, "documents").select(F.col("doc_id").alias("slide_id"), title.alias("title"), body.alias("body"), F.when(F.col("doc_id") % 5 > 0, blocks).alias("blocks"), raw.alias("ocr_lines"), F.when(F.col("doc_id") % 3 > 0, F.col("text")).alias("desc"), ref.alias("reference"))
 
 
 @query()
@@ -421,7 +421,7 @@ def null_sentinels(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def title_similarity(spark: SparkSession, d: str) -> DataFrame:
-    titled = read(spark, d, "documents").select("doc_id", F.substring(T.title_and_body(F.col("text"))[0], 1, 60).alias("t"))
+    titled = read(spark, d, "documents").select("doc_id", T.title_and_body(F.col("text"))[0].alias("t"))
     asked_ = titled.where("doc_id < 10").select(F.col("t").alias("query_title"))
     entries = titled.select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("entry_id"), F.col("t").alias("entry_title"))
     return J.best_title_match(R.pair_up(asked_, entries)).withColumn("score", r6("score"))
@@ -429,7 +429,7 @@ def title_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def title_ratios(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "benchmark").select("item_id", r6(title_ratio(F.substring("text", 1, 40), F.substring("text", 11, 40))).alias("ratio"))
+    return read(spark, d, "benchmark").select("item_id", r6(title_ratio("text", F.expr("substring(text, 11)"))).alias("ratio"))
 
 
 # ---- layout
