@@ -37,7 +37,7 @@ def host_rule(name: str, verdict: str) -> Rule:
 
 def word_rule(word: str, verdict: str = "block") -> Rule:
     """A rule on one whole token anywhere in host or path, in any case of the path."""
-    return Rule(word, verdict, rf"(?<![A-Za-z0-9]){word}(?![A-Za-z0-9])", (word,))
+    return Rule(word, verdict, rf"(?i)(?<![A-Za-z0-9]){word}(?![A-Za-z0-9])", (word,))
 
 
 #: Rules that the contract of the query fixes.
@@ -45,13 +45,23 @@ FIXED = (host_rule("net/", "block"), host_rule("example.net/en/", "allow"), host
 #: The method's own rules: pages that carry no prose worth training on.
 GENERAL = (
     *map(word_rule, ("casino", "poker", "porn", "xxx", "viagra", "login", "signin", "signup", "logout", "cart", "checkout", "cgi", "ads", "adserver", "tracker", "unsubscribe", "captcha")),
-    *(Rule(f".{x}", "block", rf"\.{x}$", (x,)) for x in ("zip", "exe", "jpg", "png", "gif", "mp4", "css", "js", "woff", "iso")),
+    *(Rule(f".{x}", "block", rf"(?i)\.{x}$", (x,)) for x in ("zip", "exe", "jpg", "png", "gif", "mp4", "css", "js", "woff", "iso")),
 )
 DEFAULT_VERDICT = "allow"
 #: Up to so many bytes of rules are planned as one constant; a longer list is joined as a table.
 CONSTANT_BYTES = 1 << 20
 
 
+def _lower(text: Column) -> Column:
+    """A-Z only: other letters are no part of a token."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _tokens() -> Column:
+    """The distinct tokens of host and path in lower case."""
+    return F.array_distinct(F.regexp_extract_all(_lower(F.concat("__host", "__path")), F.lit(TOKEN), 0))
+
+
 def split_url(url: Column) -> tuple[Column, Column]:
     """Host and path as written, A-Z of the host lower-cased; both empty without ``://``."""
     url = F.coalesce(url, F.lit(""))
@@ -59,17 +69,17 @@ def split_url(url: Column) -> tuple[Column, Column]:
     rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
     host = F.regexp_extract(rest, r"^[^/?#]*", 0)
     path = F.regexp_extract(F.substring(rest, F.length(host) + 1, F.length(rest)), r"^[^?#]*", 0)
-    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
+    return _lower(host), path
 
 
 def _rarest(parted: DataFrame, rules: Sequence[Rule]) -> dict[Rule, str]:
     """The rarest token of each rule over all URLs. What comes to the driver is bounded by the rule list."""
-    contested = sorted({t for r in rules if len(set(r.tokens)) > 1 for t in r.tokens})
+    contested = sorted({t.lower() for r in rules if len(set(r.tokens)) > 1 for t in r.tokens})
     seen = {}
     if contested:
-        tokens = parted.select(F.explode(F.array_distinct(F.regexp_extract_all(F.concat("__host", "__path"), F.lit(TOKEN), 0))).alias("t"))
+        tokens = parted.select(F.explode(_tokens()).alias("t"))
         seen = {r["t"]: r["count"] for r in tokens.where(F.col("t").isin(contested)).groupBy("t").count().collect()}
-    return {r: min(r.tokens, key=lambda t: (seen.get(t, 0), t)) for r in rules}
+    return {r: min(map(str.lower, r.tokens), key=lambda t: (seen.get(t, 0), t)) for r in rules}
 
 
 def _folded(spark: SparkSession, text: str, n: int, kind: str) -> Column:
@@ -92,7 +102,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = (*FIXED, *GENERAL), de
     host, path = split_url(F.col("url"))
     parted = pages.withColumn("__host", host).withColumn("__path", path)
     index = _rarest(parted, rules)
-    found = F.array_distinct(F.regexp_extract_all(F.concat("__host", "__path"), F.lit(TOKEN), 0))
+    found = _tokens()
     place = lambda r: F.struct(r["level"].alias("level"), F.length(r["name"]).alias("size"), r["name"].alias("name"), r["verdict"].alias("verdict"))
     entries = [{"token": t, "level": r.level, "name": r.name, "verdict": r.verdict, "pattern": r.pattern} for r, t in index.items()]
     if len(text := json.dumps(entries)) <= constant_bytes:

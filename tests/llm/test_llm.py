@@ -73,6 +73,16 @@ def test_urls(spark):
         urls.filter_urls(df, rules=(urls.Rule("any", "block", ".", ()),))
 
 
+def test_urls_any_case_of_path(spark):
+    seen = ["http://a.com/Login", "http://a.com/x/CASINO?y", "http://a.com/a.ZIP", "http://a.com/a.ZIP/b", "http://a.com/LoginPage", "http://CASINO.com/", "http://x.example.com/DE/", "http://x.example.com/de/"]
+    df = spark.createDataFrame(list(enumerate(seen)), "page_id long, url string")
+    rules = (*urls.FIXED, *urls.GENERAL, urls.Rule("odd", "block", "OneTwo", ("OneTwo",)))
+    odd = spark.createDataFrame([(8, "http://a.com/OneTwo"), (9, "http://a.com/onetwo")], df.schema)
+    for size in (urls.CONSTANT_BYTES, 0):
+        got = {r["page_id"]: r["__rule"] for r in urls.filter_urls(df.unionByName(odd), rules, constant_bytes=size).collect()}
+        assert got == {0: "login", 1: "casino", 2: ".zip", 3: None, 4: None, 5: "casino", 6: None, 7: "example.com/de/", 8: "odd", 9: None}
+
+
 def test_ann(spark, sf):
     v = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").withColumn("score", F.lit("clash"))
     first = v.orderBy("vec_id").head()["embedding"]
