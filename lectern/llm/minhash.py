@@ -6,9 +6,10 @@
 3. Every band key hands its members to its smallest one: a hot key makes one pair a member, never all pairs.
 4. The share of equal b-bit fields, corrected for chance collisions, estimates a pair's similarity by bit counts; pairs
    clearly below the threshold go. What is left is confirmed on the full shingle sets.
-5. Members of a key that are not connected so far are compared with each other in bounded blocks: first each one's best
-   estimates, then, on the full sets and within the blocks, whatever is still open. Each pair of a key ends up connected,
-   confirmed or refuted, so no link between different texts is lost, and pairs never become rows of their own.
+5. In keys whose members aren't all connected by then, signatures alone are compared in memory; a key hands on a forest of
+   its open pairs, fewer rows than members. Members that such forests join are a cluster: a document is in one cluster,
+   however many hot keys it has, so its set travels once. Clusters are settled on full sets in bounded blocks. Each pair
+   of a key ends up connected, confirmed or refuted, so no link between different texts is lost.
 6. Components follow from alternating stars.
 """
 
@@ -18,13 +19,13 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import caches, durable, keep_only, small_batches, tidied, trim
+from .common import caches, durable, keep_only, small_batches, tidied
 from .graph import components
 
 #: A pair at similarity 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS = 6e-7.
@@ -35,10 +36,10 @@ EQUAL_MASK = 0x5555555555555555
 THRESHOLD = 80  # percent
 #: Pairs this many standard deviations of the estimate below the threshold are refuted without their sets.
 DEVIATIONS = 4.2
-#: Members of a key that meet in one task.
-BLOCK = 512
-#: Partners that a member tries first in step 5.
-TRIES = 4
+#: Members of a key, and members and shingles of a cluster, in a block; two blocks meet in one task.
+KEY_BLOCK, BLOCK, BLOCK_SHINGLES = 4096, 2048, 2_000_000
+#: Rows of a similarity matrix that are made at a time.
+STRIP = 256
 BROADCAST_ROWS = 1_000_000
 REMEMBER = 200_000
 
@@ -179,59 +180,68 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(tidied(run), "u long, v long").distinct()
 
 
-def _open_pairs(pdf: pd.DataFrame, least: int, tries: int) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray]:
-    """Both blocks of a group, and rows of the left and right one that form open pairs: in different components, fit by
-    size and estimate, and met here under the first of the keys that they share. Each left row's best ``tries`` only."""
-    i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-    left, right = pdf[pdf["b"] == i], pdf[pdf["b"] == j]
-    if not len(left) or not len(right):
-        return left, right, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = (np.array(x["sig"].tolist(), np.int64).view(np.uint64).reshape(len(x), -1) for x in (left, right))
-    unequal = np.zeros((len(a), len(b)), np.int64)
-    for k in range(a.shape[1]):
-        x = a[:, None, k] ^ b[None, :, k]
-        unequal += np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(EQUAL_MASK))
-    na, nb = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
-    open_ = (HASHES - unequal >= least) & (left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]) & (100 * np.minimum(na, nb) >= THRESHOLD * np.maximum(na, nb))
-    order = np.argsort(np.where(open_, unequal, HASHES + 1), axis=1, kind="stable")[:, :tries]
-    row = np.repeat(np.arange(len(a)), order.shape[1])
-    col = order.ravel()
-    ok = open_[row, col]
-    row, col = row[ok], col[ok]
-    ka, kb = (np.array(x["bands"].tolist(), np.int64).reshape(len(x), -1) for x in (left, right))
-    first = ka[row, np.argmax(ka[row] == kb[col], axis=1)] == pdf["key"].iloc[0]
-    return left, right, row[first], col[first]
-
-
-def _best_pairs(least: int, tries: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, row, col = _open_pairs(pdf, least, tries)
-        u, v = left["rep"].to_numpy()[row], right["rep"].to_numpy()[col]
-        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+def shingle_sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """id, s1 and set (sorted shingle hashes) of the documents named."""
 
-    return run
-
-
-def _open_members(least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """The members of a group that open pairs have: as many rows as members at most, however many pairs."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, row, col = _open_pairs(pdf, least, 1 << 40)
-        chosen = pd.concat([left.iloc[np.unique(row)], right.iloc[np.unique(col)]]).drop_duplicates("rep")
-        return chosen
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("minhash")
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), size) for t in batch.column(1)]
+            s1 = [_scramble(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s1, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "s1", "set"])
+
+    return _texts(ids, docs).mapInArrow(tidied(run), "id long, s1 long, set array<long>")
+
+
+def _open_matrix(t: pa.Table, least: int) -> np.ndarray:
+    """Which pairs of rows (sig, n, comp) are open: in different components, fit by size and by estimate."""
+    sig = pc.list_flatten(t["sig"]).to_numpy().view(np.uint64).reshape(t.num_rows, -1)
+    n, comp = t["n"].to_numpy(), t["comp"].to_numpy()
+    made = np.zeros((len(n), len(n)), bool)
+    for lo in range(0, len(n), STRIP):
+        own = slice(lo, lo + STRIP)
+        unequal = np.zeros((len(n[own]), len(n)), np.uint8)  # HASHES are fewer than 256
+        for k in range(sig.shape[1]):
+            x = sig[own, None, k] ^ sig[None, :, k]
+            unequal += np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(EQUAL_MASK))
+        fits = (100 * n[own, None] >= THRESHOLD * n[None, :]) & (100 * n[None, :] >= THRESHOLD * n[own, None])
+        made[own] = fits & (unequal <= HASHES - least) & (comp[own, None] != comp[None, :])
+    return made
+
+
+def _forest(least: int) -> Callable[[pa.Table], pa.Table]:
+    """A spanning forest of the open pairs of a group: fewer rows than members."""
+
+    def run(t: pa.Table) -> pa.Table:
+        open_, rep = _open_matrix(t, least), t["rep"].to_numpy()
+        new = open_.any(axis=1)
+        us, vs = [], []
+        while new.any():
+            front = [int(np.argmax(new))]
+            new[front] = False
+            while front:
+                u = front.pop()
+                got = np.flatnonzero(open_[u] & new)
+                new[got] = False
+                front += got.tolist()
+                us.append(np.full(len(got), rep[u]))
+                vs.append(rep[got])
+        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
+        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
 
     return run
 
 
-def _links(least: int, size: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _links(least: int) -> Callable[[pa.Table], pa.Table]:
     """Confirmed links of a group, on full sets; pairs that its earlier links connect are spared."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, row, col = _open_pairs(pdf, least, 1 << 40)
-        sets = {r: shingle_set(t, size) for r, t in zip(pdf["rep"], pdf["text"], strict=True)}
-        ua, ub = left["rep"].to_numpy(), right["rep"].to_numpy()
-        root = {c: c for c in pdf["comp"]}
-        comp_a, comp_b = left["comp"].to_numpy(), right["comp"].to_numpy()
+    def run(t: pa.Table) -> pa.Table:
+        open_, rep, comp, n = _open_matrix(t, least), t["rep"].to_numpy(), t["comp"].to_pylist(), t["n"].to_numpy()
+        ends = np.cumsum(n)
+        ids = np.unique(pc.list_flatten(t["set"]).to_numpy(), return_inverse=True)[1]
+        sets = np.split(ids, ends[:-1])
+        mark = np.zeros(len(ids) + 1, bool)
+        root = {c: c for c in comp}
 
         def find(c: int) -> int:
             while root[c] != c:
@@ -239,28 +249,52 @@ def _links(least: int, size: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
                 c = root[c]
             return c
 
-        found = []
-        for r in np.unique(row):
-            mine = sets[ua[r]]
-            partners = [c for c in col[row == r] if find(comp_a[r]) != find(comp_b[c])]
+        us, vs = [], []
+        for r in np.flatnonzero(open_.any(axis=1)):
+            mine = find(comp[r])
+            partners = [c for c in np.flatnonzero(open_[r, :r]) if find(comp[c]) != mine]
             if not partners:
                 continue
-            theirs = [sets[ub[c]] for c in partners]
-            sizes = np.fromiter(map(len, theirs), np.int64, len(theirs))
-            common = np.add.reduceat(np.isin(np.concatenate(theirs), mine).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-            for c in np.flatnonzero(100 * common >= THRESHOLD * (len(mine) + sizes - common)):
-                x, y = find(comp_a[r]), find(comp_b[partners[c]])
+            mark[sets[r]] = True
+            sizes = n[partners]
+            common = np.add.reduceat(mark[np.concatenate([sets[c] for c in partners])].astype(np.int64), np.cumsum(sizes) - sizes)
+            mark[sets[r]] = False
+            for i in np.flatnonzero(100 * common >= THRESHOLD * (n[r] + sizes - common)):
+                x, y = find(comp[r]), find(comp[partners[i]])
                 if x != y:
                     root[max(x, y)] = min(x, y)
-                    found.append((min(ua[r], ub[partners[c]]), max(ua[r], ub[partners[c]])))
-        _words.clear()
-        sets.clear()
-        trim()
-        return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
+                    us.append(rep[r])
+                    vs.append(rep[partners[i]])
+        u, v = np.array(us, np.int64), np.array(vs, np.int64)
+        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
 
     return run
 
 
+def _in_blocks(rows: DataFrame, blocks: str) -> DataFrame:
+    """Rows dealt to pairs of blocks i < j, so that any two of a group meet; a single block or two meet once."""
+    block = F.pmod(F.xxhash64("rep"), F.col(blocks)).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col(blocks).cast("int") - 1), lambda o: (o != F.col("__b")) | (F.col(blocks) == 1))
+    spread = rows.withColumn("__b", block).withColumn("__o", F.explode(others))
+    return spread.withColumns({"i": F.least("__b", "__o"), "j": F.greatest("__b", "__o")}).drop("__b", "__o", blocks)
+
+
+def _open_links(met: DataFrame, reps: DataFrame, found: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """Step 5: confirmed links between members of a key that ``found`` leaves in different components."""
+    least = math.ceil(least_estimate() * HASHES)
+    placed = met.where("m > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).where("low < high").select("key", F.ceil(F.col("m") / KEY_BLOCK).alias("blocks"))
+    dealt = _in_blocks(placed.join(mixed, "key").join(reps.select("rep", "n", "sig"), "rep"), "blocks")
+    forest = durable(dealt.groupBy("key", "i", "j").applyInArrow(_forest(least), "u long, v long").distinct())
+    hung = components(forest)
+    clusters = hung.unionByName(hung.select(F.col("component").alias("node"), "component").distinct()).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    rows = durable(reps.select("rep", "s1", "n", "sig").join(clusters, "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("cluster", "rep", "s1", "n", "sig", F.coalesce("component", "rep").alias("comp")))
+    sizes = rows.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    sets = shingle_sets(rows.select(F.col("rep").alias("id")), docs, size).withColumnRenamed("id", "rep")
+    full = _in_blocks(rows.join(sizes, "cluster"), "blocks").join(sets, ["rep", "s1"])
+    return durable(full.groupBy("cluster", "i", "j").applyInArrow(_links(least), "u long, v long").distinct())
+
+
 def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text).
 
@@ -272,7 +306,7 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     with_set = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = durable(with_set.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")))
     alone = classes.select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), "rep")
-    reps = durable(with_set.join(alone, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("doc_id") == F.col("rep"))).dropDuplicates(["doc_id", "s1", "s2"]).select("rep", "n", "bands", "sig"))
+    reps = durable(with_set.join(alone, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("doc_id") == F.col("rep"))).dropDuplicates(["doc_id", "s1", "s2"]).select("rep", "s1", "n", "bands", "sig"))
     least = math.ceil(least_estimate() * HASHES)
     members = reps.select("rep", F.explode("bands").alias("key"))
     leads = durable(members.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("high"), F.count("*").alias("m")).where("lead < high"))
@@ -281,32 +315,14 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     guessed = pairs.join(reps.select(F.col("rep").alias("v"), F.col("sig").alias("y"), F.col("n").alias("m")), "v").join(reps.select(F.col("rep").alias("u"), F.col("sig").alias("x"), "n"), "u")
     fits = 100 * F.least("n", "m") >= THRESHOLD * F.greatest("n", "m")
     hopeful = durable(guessed.where(fits & (equal_fields(F.col("x"), F.col("y")) >= least)).select("u", "v"))
-    linked = durable(confirm(hopeful, docs, size))
-    found = components(linked)
-
-    def unsettled() -> DataFrame:
-        """Members of keys that hold several components, dealt to pairs of blocks."""
-        placed = met.where("m > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).where("low < high").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-        dealt = placed.join(mixed, "key").join(reps, "rep").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        # block b meets every block: as the left one those from b on, as the right one those before
-        spread = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        return spread.select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "rep", "comp", "n", "bands", "sig")
-
-    # the best guesses first: they join most components, and then few pairs are left to refute
-    tried = unsettled().groupBy("key", "i", "j").applyInPandas(_best_pairs(least, TRIES), "u long, v long").distinct()
-    more = durable(confirm(durable(tried.join(hopeful, ["u", "v"], "left_anti")), docs, size))
-    edges = lambda: found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    linked = confirm(hopeful, docs, size)
+    # an id whose rows have different sets ties their classes together
+    several = with_set.groupBy("doc_id").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low != high").select("doc_id")
+    tied = with_set.join(several, "doc_id").join(classes, ["s1", "s2"]).select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
+    found = components(durable(linked.unionByName(tied.where("u != v").distinct())))
+    more = _open_links(met, reps, found, docs, size)
     if not more.isEmpty():
-        found = components(edges().unionByName(more))
-    rows = unsettled()
-    left = durable(rows.groupBy("key", "i", "j").applyInPandas(_open_members(least), rows.schema))
-    if not left.isEmpty():
-        texts = _texts(left.select(F.col("rep").alias("id")), docs).withColumnRenamed("id", "rep")
-        exact = left.join(texts, "rep").groupBy("key", "i", "j").applyInPandas(_links(least, size), "u long, v long")
-        more = durable(exact.distinct())
-        if not more.isEmpty():
-            found = components(edges().unionByName(more))
+        found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     many = classes.where("m > 1").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), "rep")
     own = signed.select("doc_id", "n", "s1", "s2").join(many, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     named = own.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
