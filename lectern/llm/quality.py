@@ -1,8 +1,16 @@
 """Quality rules with thresholds that adapt to each language and source.
 
-Per document a handful of counts is taken from the whole text. Mergeable quantile sketches of the derived rates,
-one set per (lang, source), replace fixed cutoffs: a document is rejected when a rate lies far outside the bulk of
-its own group. The sketches are partial aggregates, so a group with a third of all rows costs no more than any other.
+Per document a handful of counts is taken from the whole text. Mergeable quantile sketches of the derived rates, kept for
+every (lang, source), every language and the whole table in one rollup, replace fixed cutoffs:
+
+1. Of each rate the median and a tail quantile are read from the three sketches. A group's quantiles are shrunk to those of
+   its language, and these to the whole's, by the numbers of documents: a small group with a few junk pages doesn't take
+   them for its style, a large one sets its own.
+2. A limit lies ``fence`` times the distance from median to tail beyond the tail.
+3. A document is rejected when a rate passes its group's limit by more than chance allows in a text of its size, which
+   spares short documents.
+
+The sketches are partial aggregates, so a group with a third of all rows costs no more than any other.
 """
 
 from __future__ import annotations
@@ -25,17 +33,22 @@ MAX_REPEAT_PERCENT = 30
 
 COUNTS = T.StructType([T.StructField(k, T.LongType()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shouting", "n_stutter")])
 
-#: A rate is an outlier beyond its group's upper quantile + fence * (upper - lower quantile) + slack, or likewise below;
-#: slack keeps a very uniform group from rejecting ordinary documents.
+#: Of each rate: the share of documents beyond its tail quantile, and how far beyond the tail the limit lies, in distances
+#: from median to tail. Passages and lines repeat in a few clean documents of any source, so their tails reach further out.
 RATES = {
-    "symbol_rate": {"fence": 6.0, "slack": 0.05},
-    "dup_line_rate": {"fence": 6.0, "slack": 0.45},
-    "repeat_rate": {"fence": 6.0, "slack": 0.25},
-    "shout_rate": {"fence": 6.0, "slack": 0.30},
-    "stutter_rate": {"fence": 6.0, "slack": 0.20},
-    "word_length": {"fence": 6.0, "slack": 4.0, "low_slack": 2.5},
+    "symbol_rate": {"tail": 0.10, "fence": 3.0},
+    "dup_line_rate": {"tail": 0.01, "fence": 1.0},
+    "repeat_rate": {"tail": 0.01, "fence": 1.0},
+    "shout_rate": {"tail": 0.10, "fence": 3.0},
+    "stutter_rate": {"tail": 0.10, "fence": 3.0},
+    "word_length": {"tail": 0.10, "fence": 3.0},
 }
-LOW_Q, HIGH_Q = 0.25, 0.75
+#: The rate that has a lower limit too, at the same tail and fence.
+TWO_SIDED = "word_length"
+#: A group's own quantiles weigh as its documents do against so many of the level above.
+SHRINK = 200
+#: What chance allows beyond a limit: so many standard deviations of a count at the limit, and so many events.
+DEVIATIONS, EVENTS = 3.0, 8.0
 #: Rank error of the sketches is 1 / ACCURACY.
 ACCURACY = 1000
 
@@ -103,24 +116,49 @@ def _rates(m: str) -> dict[str, Column]:
     }
 
 
+def _sizes(m: str) -> dict[str, Column]:
+    """What each rate is a share of."""
+    c = lambda k: F.greatest(F.col(f"{m}.{k}"), F.lit(1)).cast("double")
+    return {"symbol_rate": c("word_chars"), "dup_line_rate": c("n_lines"), "repeat_rate": c("n_words"), "shout_rate": c("word_chars"), "stutter_rate": c("n_words"), "word_length": c("n_words")}
+
+
 def thresholds(counted: DataFrame, m: str = "__q") -> DataFrame:
-    """One row per (lang, source): the lower and upper limit of every rate, from quantile sketches."""
+    """One row per (lang, source): the limits of every rate, from quantile sketches of three levels."""
     rates = counted.where(F.col(f"{m}.n_words") > 0).select("lang", "source", *[v.alias(f"__{k}") for k, v in _rates(m).items()])
-    quantiles = rates.groupBy("lang", "source").agg(*[F.percentile_approx(f"__{k}", [LOW_Q, HIGH_Q], ACCURACY).alias(k) for k in RATES])
+    read = lambda k, r: F.percentile_approx(f"__{k}", [r["tail"], 0.5, 1 - r["tail"]], ACCURACY).alias(k)
+    levels = rates.rollup("lang", "source").agg(F.grouping_id().alias("__level"), F.count("*").alias("__n"), *[read(k, r) for k, r in RATES.items()])
+    levels = durable(levels)  # a row a group
+    group = levels.where("__level = 0")
+    above = lambda level, mark: levels.where(F.col("__level") == level).select(F.col("lang").alias(f"__{mark}_lang"), F.col("__n").alias(f"__{mark}_n"), *[F.col(k).alias(f"__{mark}_{k}") for k in RATES])
+    # one row a language, one in all
+    met = group.join(F.broadcast(above(1, "l")), F.col("lang").eqNullSafe(F.col("__l_lang"))).join(F.broadcast(above(3, "a").drop("__a_lang")))
+    towards = lambda n, own, rest: (n * own + SHRINK * rest) / (n + SHRINK)
     limits = []
     for k, r in RATES.items():
-        low, high = F.col(k)[0], F.col(k)[1]
-        limits += [(low - r["fence"] * (high - low) - r.get("low_slack", r["slack"])).alias(f"__lo_{k}"), (high + r["fence"] * (high - low) + r["slack"]).alias(f"__hi_{k}")]
-    return quantiles.select(F.col("lang").alias("__t_lang"), F.col("source").alias("__t_source"), *limits)
+        low, middle, high = (towards(F.col("__n"), F.col(k)[i], towards(F.col("__l_n"), F.col(f"__l_{k}")[i], F.col(f"__a_{k}")[i])) for i in range(3))
+        limits.append((high + r["fence"] * (high - middle)).alias(f"__hi_{k}"))
+        if k == TWO_SIDED:
+            limits.append((low - r["fence"] * (middle - low)).alias(f"__lo_{k}"))
+    return met.select(F.col("lang").alias("__t_lang"), F.col("source").alias("__t_source"), *limits)
+
+
+def _odd(m: str) -> Column:
+    """Whether a rate lies further beyond its limit than chance allows in a text of its size."""
+    odd = F.lit(False)
+    for k, v in _rates(m).items():
+        high, size = F.col(f"__hi_{k}"), _sizes(m)[k]
+        if k == TWO_SIDED:  # a mean: lengths of words spread about half as far as they reach
+            low = F.col(f"__lo_{k}")
+            odd = odd | (v > high + DEVIATIONS * high / (2 * F.sqrt(size))) | (v < low - DEVIATIONS * F.greatest(low, F.lit(1.0)) / (2 * F.sqrt(size)))
+        else:
+            odd = odd | (v > high + DEVIATIONS * F.sqrt(high / size) + EVENTS / size)
+    return odd
 
 
 def judge(counted: DataFrame, limits: DataFrame, m: str = "__q") -> DataFrame:
     """Add base_failed and kept (as __base_failed, __kept) to rows that carry counts ``m``, lang and source."""
     joined = counted.join(limits, counted["lang"].eqNullSafe(limits["__t_lang"]) & counted["source"].eqNullSafe(limits["__t_source"]), "left")
-    odd = F.lit(False)
-    for k, v in _rates(m).items():
-        odd = odd | (v < F.col(f"__lo_{k}")) | (v > F.col(f"__hi_{k}"))
-    return joined.withColumn("__base_failed", base_failed(m)).withColumn("__kept", ~F.col("__base_failed") & ~F.coalesce(odd, F.lit(False)))
+    return joined.withColumn("__base_failed", base_failed(m)).withColumn("__kept", ~F.col("__base_failed") & ~F.coalesce(_odd(m), F.lit(False)))
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
@@ -136,7 +174,7 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with all their columns.
 
-    The texts stay in place: only the limits, one row per language and source, are joined to them.
+    Counts are taken once and stored beside the texts; only the limits, one row per language and source, are joined.
     """
-    limits = durable(thresholds(small_batches(docs).select("lang", "source", quality_counts("text").alias("__q"))))
-    return judge(docs.withColumn("__q", quality_counts("text")), limits).where("__kept").select(*[docs[c] for c in docs.columns])
+    counted = durable(small_batches(docs).withColumn("__q", quality_counts("text")))
+    return judge(counted, thresholds(counted)).where("__kept").select(*[counted[c] for c in docs.columns])
