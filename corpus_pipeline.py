@@ -6,10 +6,12 @@ All but the last return the columns of documents.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm.bpe import encode_documents
-from lectern.llm.common import durable, table
+from lectern.llm.common import settled, table
 from lectern.llm.lines import drop_repeated_lines
 from lectern.llm.minhash import drop_near_duplicates
 from lectern.llm.mixing import mix_documents
@@ -18,20 +20,22 @@ from lectern.llm.queries import vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep. Null and blank texts fail them; null lang and source are groups of their own."""
     return quality_filter(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that an earlier line makes redundant; a document that lost its last word goes."""
     return drop_repeated_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity 0.8 or more; the smallest doc_id of each group stays."""
+    """Five-word shingles, similarity 0.8 or more; the smallest doc_id of each group stays. Rows without doc_id or without words stay."""
     return drop_near_duplicates(docs, size=5)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: a row for each copy."""
+    """Documents as often as the mix takes them: a row for each copy. Documents without words have no copy."""
     return mix_documents(docs)
 
 
@@ -47,8 +51,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``. A stage's output replaces that of the stage before in the shared folder."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        docs = durable(docs) if i + 1 < len(STAGES) else docs
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = settled(partial(stage, spark, docs, sf_dir), spent=docs)
+    return STAGES[-1][1](spark, docs, sf_dir)

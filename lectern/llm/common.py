@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -23,12 +24,16 @@ ARROW_BYTES = 8 << 20
 caches: dict[str, Callable[[], None]] = {}
 
 _written: list[tuple[SparkSession, str]] = []
+#: Tables that the ``settled`` calls of this thread have written so far.
+_open = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the cluster names none."""
+    """The folder that driver and executors share, as the session names it. Only a local session may go without."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = f"{tempfile.gettempdir()}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -43,13 +48,29 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/lectern-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
-        atexit.register(_sweep)
+        atexit.register(_sweep, _written)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    for mine in getattr(_open, "calls", []):
+        mine.append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = spark, path
+    return out
 
 
-def _sweep() -> None:
-    for spark, path in _written:
+def settled(make: Callable[[], DataFrame], spent: DataFrame | None = None) -> DataFrame:
+    """The result of ``make`` as a durable table. The durable tables that it wrote on the way, and ``spent``, are deleted."""
+    _open.calls = [*getattr(_open, "calls", []), mine := []]
+    try:
+        out = durable(make())
+        _sweep(mine[:-1])
+        _sweep([s] if spent is not None and (s := vars(spent).get("_stored")) else [])
+    finally:
+        _open.calls = _open.calls[:-1]
+    return out
+
+
+def _sweep(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in tables:
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
@@ -100,6 +121,11 @@ def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
     return inner
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once, where a lambda in ``use`` would evaluate it for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """The words of ``text``; an empty array for null or blank text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")

@@ -1,27 +1,33 @@
 """Line deduplication by a deletion-neighbourhood join, in native DataFrame operations only.
 
-Two lines are near copies when their word sequences are at most one edit apart: a word replaced, inserted or deleted.
-A line is dropped when an earlier line (by doc_id, then place in the document) is equal or a near copy.
+Two lines are near copies when at most one edit lies between them: a unit replaced, inserted or deleted. Units are words
+where both lines have ``LEAST_WORDS``, and characters where both have fewer words but ``LEAST_CHARS`` characters: one edit
+is always a small part of a line. A line is dropped when an earlier line (by doc_id, then place in the document) is equal
+or a near copy.
 
 1. Equal lines collapse to their earliest place by a partial aggregate, so a line that a third of all documents share
    is one row a task before the shuffle.
-2. Lines at one edit share their first or their last half word for word. A line whose halves nobody shares can't have
+2. Lines at one edit share their first or their last half unit by unit. A line whose halves nobody shares can't have
    a neighbour; only the others go on. This loses nothing and spares most of the deletion variants.
-3. Each remaining line emits itself and all its variants with one word deleted, as hashed keys. Equal variants at the
-   same place are a replaced word; a variant equal to a whole line is an inserted word. A key hands on its earliest
+3. Each remaining line emits itself and all its variants with one unit deleted, as hashed keys. Equal variants at the
+   same place are a replaced unit; a variant equal to a whole line is an inserted one. A key hands on its earliest
    line only, so no pairs within a group are made.
-4. The edit distance of each line and the earlier line that its key found is verified on the words.
+4. The edit distance of each line and the earlier line that its key found is verified on the units.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, durable
+from .common import WORD_GAP, durable, let, settled
 
-#: Lines with fewer words are only compared for equality: one edit of a line of three words is another line.
-LEAST_WORDS = 4
+#: Part of the definition of near copies: one edit in so many words or, with fewer words, in so many characters.
+LEAST_WORDS, LEAST_CHARS = 4, 12
+#: Lines of more units are scanned in two steps, which keeps the work of a very long line in bounds.
+SCAN = 256
 #: Keys of at most so many candidate lines (16 MB) are broadcast, counted first; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -53,18 +59,46 @@ def _part(line: Column, k: Column) -> Column:
     return F.call_function("substring_index", line, F.lit(" "), k)
 
 
-def _halves(line: Column, n: Column) -> Column:
-    """Keys of the first and last half of a line of ``n`` words, for its own length and for one word less."""
+def _halves(line: Column, n_words: Column) -> Column:
+    """Keys of the first and last half of a line, for its own length and for one unit less; null for the shortest lines."""
 
-    def of(length: Column) -> list[Column]:
+    def of(length: Column, kind: str, part: Callable[[Column], Column]) -> list[Column]:
         head, tail = F.ceil(length / 2).cast("int"), F.floor(length / 2).cast("int")
-        return [F.xxhash64(length, F.lit("head"), _part(line, head)), F.xxhash64(length, F.lit("tail"), _part(line, -tail))]
+        return [F.xxhash64(length, F.lit(kind + "head"), part(head)), F.xxhash64(length, F.lit(kind + "tail"), part(-tail))]
+
+    def both(n: Column, kind: str, part: Callable[[Column], Column]) -> Column:
+        return F.array(*of(n, kind, part), *of(n - 1, kind, part))
+
+    by_chars = both(F.length(line), "c", lambda k: F.when(k < 0, F.substring(line, k, -k)).otherwise(F.substring(line, F.lit(1), k)))
+    return F.when(n_words >= LEAST_WORDS, both(n_words, "w", lambda k: _part(line, k))).when(F.length(line) >= LEAST_CHARS, by_chars)
+
+
+def _units() -> Column:
+    return F.when(F.col("by_words"), F.split("line", " ")).otherwise(F.split("line", ""))
+
+
+def _running(h: Column) -> Column:
+    """XORs of the first 0, 1, 2 ... elements. A fold copies what it has at every step, so long arrays go in two steps."""
+
+    def fold(part: Column) -> Column:
+        return F.aggregate(part, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1).bitwiseXOR(x))))
+
+    def stepwise(h: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(h))).cast("int")
+        cut = F.transform(F.sequence(F.lit(1), F.size(h), step), lambda at: fold(F.slice(h, at, step)))
+
+        def joined(parts: Column) -> Column:
+            before = fold(F.transform(parts, lambda p: F.element_at(p, -1)))
+            moved = F.transform(parts, lambda p, i: F.transform(F.slice(p, F.lit(2), F.size(p) - 1), lambda x: x.bitwiseXOR(F.get(before, i))))
+            return F.concat(F.array(F.lit(0).cast("long")), F.flatten(moved))
+
+        return let(cut, joined)
 
-    return F.array(*of(n), *of(n - 1))
+    return let(h, lambda h: F.when(F.size(h) <= SCAN, fold(h)).otherwise(stepwise(h)))
 
 
 def one_edit(a: Column, b: Column) -> Column:
-    """Whether two word arrays differ by at most one replaced, inserted or deleted word."""
+    """Whether two arrays differ by at most one replaced, inserted or deleted element."""
     same = lambda s, l: F.zip_with(s, l, lambda x, y: x.eqNullSafe(y))  # noqa: E731, E741
     replaced = F.size(F.filter(same(a, b), lambda x: ~x)) <= 1
 
@@ -75,10 +109,9 @@ def one_edit(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), replaced).when(F.size(a) + 1 == F.size(b), inserted(a, b)).when(F.size(b) + 1 == F.size(a), inserted(b, a)).otherwise(False)
 
 
-def line_keys(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """key, spot and halves (null for short lines) of each line with a word: what all steps but two need of the texts."""
-    rows = _placed(docs).withColumn("words", _n_words(F.col("line")))
-    return rows.select("key", "spot", F.when(F.col("words") >= least_words, _halves(F.col("line"), F.col("words"))).alias("halves"))
+def line_keys(docs: DataFrame) -> DataFrame:
+    """key, spot and halves (null for the shortest lines) of each line with a word: what all steps but two need of the texts."""
+    return _placed(docs).select("key", "spot", _halves(F.col("line"), _n_words(F.col("line"))).alias("halves"))
 
 
 def near_copies(docs: DataFrame, keys: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -89,12 +122,13 @@ def near_copies(docs: DataFrame, keys: DataFrame, broadcast_rows: int = BROADCAS
     few = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
     hits = durable(halved.join(few(shared), "half", "left_semi").select("a").distinct())
     chosen = _placed(docs).withColumn("a", F.col("key.a")).join(few(hits), "a", "left_semi")
-    lines = durable(chosen.groupBy("key").agg(F.min("spot").alias("spot"), F.first("line").alias("line")))
+    distinct = chosen.groupBy("key").agg(F.min("spot").alias("spot"), F.first("line").alias("line"))
+    lines = durable(distinct.withColumn("by_words", _n_words(F.col("line")) >= LEAST_WORDS))
 
-    # a line's key is the XOR of its words' hashes with their places; running XORs of the words before a deleted one and of
-    # those after it, moved up by one place, give each variant's key without building it
-    running = lambda moved: F.aggregate(F.transform(F.split("line", " "), lambda x, i: F.xxhash64(x, i - moved)), F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1).bitwiseXOR(x))))
-    keyed = lines.select("spot", running(0).alias("p"), running(1).alias("m"))
+    # a line's key is the XOR of its units' hashes with their places; running XORs of the units before a deleted one and of
+    # those after it, moved up by one place, give each variant's key without building it. Words and characters never meet.
+    hashed = lambda moved: _running(F.transform(_units(), lambda x, i: F.xxhash64(x, i - moved, "by_words")))
+    keyed = lines.select("spot", hashed(0).alias("p"), hashed(1).alias("m"))
     n = F.size("p") - 1
     without = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get("p", i).bitwiseXOR(F.get("m", n)).bitwiseXOR(F.get("m", i + 1)).alias("variant"), i.alias("at")))
     itself = F.array(F.struct(F.get("p", n).alias("variant"), F.lit(-1).alias("at")))
@@ -104,16 +138,16 @@ def near_copies(docs: DataFrame, keys: DataFrame, broadcast_rows: int = BROADCAS
     ends = variants.groupBy("variant").agg(F.min(F.when(F.col("at") < 0, F.col("spot"))).alias("whole"), F.min(F.when(F.col("at") >= 0, F.col("spot"))).alias("longer")).where("whole IS NOT NULL AND longer IS NOT NULL")
     pairs = pairs.unionByName(variants.join(ends, "variant").select("spot", F.when(F.col("at") < 0, F.col("longer")).otherwise(F.col("whole")).alias("other")))
     pairs = pairs.where(F.col("other") < F.col("spot")).distinct()
-    mine = lines.select("spot", "key", F.split("line", " ").alias("w"))
-    theirs = lines.select(F.col("spot").alias("other"), F.split("line", " ").alias("w2"))
-    proven = pairs.join(mine, "spot").join(theirs, "other").where(one_edit(F.col("w"), F.col("w2")))
+    units = lines.select("spot", "key", "by_words", _units().alias("w"))
+    theirs = units.select(F.col("spot").alias("other"), F.col("by_words").alias("b2"), F.col("w").alias("w2"))
+    proven = pairs.join(units, "spot").join(theirs, "other").where((F.col("by_words") == F.col("b2")) & one_edit(F.col("w"), F.col("w2")))
     return proven.groupBy("key", "spot").agg(F.min("other").alias("other"))
 
 
-def dropped_lines(docs: DataFrame, least_words: int = LEAST_WORDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def dropped_lines(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id and line_no (from 0) of every line that an earlier one makes redundant."""
-    all_keys = durable(line_keys(docs, least_words))
-    near = durable(near_copies(docs, all_keys, broadcast_rows).select("key", F.lit(True).alias("near")))
+    all_keys = durable(line_keys(docs))
+    near = settled(lambda: near_copies(docs, all_keys, broadcast_rows).select("key", F.lit(True).alias("near")))
     placed = all_keys.select("key", "spot")
     # of all lines only those that occur twice or have a near copy matter; one row a key and task leaves for the count
     keys = placed.groupBy("key").agg(F.min("spot").alias("first"), F.count("*").alias("n"))
@@ -129,7 +163,7 @@ def drop_repeated_lines(docs: DataFrame, **options: object) -> DataFrame:
     their lines at the same place are one place. Null doc_ids come last in the order. Documents that no line leaves are
     returned unchanged, and so are documents without words. Nothing in an extra column matters.
     """
-    gone = dropped_lines(docs, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
+    gone = settled(lambda: dropped_lines(docs, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone")))
     joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left")
     left = F.filter(F.transform(_lines(F.col("text")), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda r: ~F.array_contains("__gone", r["i"]))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda r: r["x"]), "\n"))

@@ -26,7 +26,7 @@ MAX_REPEAT = 3.0
 #: Documents that one task settles in a sitting, and open documents that meet at each level of the tree.
 BLOCK = 4096
 SEED = 17
-#: At most so many repeated ids are broadcast, counted first; more are joined by a shuffle.
+#: At most so many ids with their copies (16 bytes each, 16 MB) are broadcast, counted first; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -149,8 +149,9 @@ def mix_documents(docs: DataFrame, **options: object) -> DataFrame:
     chosen = mix(docs, **options)
     chosen = durable(chosen.select(F.col("doc_id").alias("__id"), "copies", nth(F.col("size")).alias("__n"), F.count("*").over(same).alias("__m")))
     of = lambda a, b: a["doc_id"].eqNullSafe(b["__id"])
-    # an id that occurs once needs no order: its text is shuffled for the join alone
-    once = chosen.where("__m = 1 AND copies > 0")
+    # an id that occurs once needs no order: beyond the bound its text is shuffled for the join, and only for that
+    once = chosen.where("__m = 1 AND copies > 0").select("__id", "copies")
+    once = F.broadcast(once) if once.count() <= BROADCAST_ROWS else once
     taken = docs.join(once, of(docs, once)).select(*[docs[c] for c in docs.columns], F.col("copies").alias("__copies"))
     repeated = chosen.where("__m > 1").select("__id").distinct()
     if n := repeated.count():

@@ -187,7 +187,12 @@ def test_toxicity(spark, docs, empty):
 def one_edit(a, b):
     if a == b:
         return True
-    if min(len(a), len(b)) < 4 or abs(len(a) - len(b)) > 1:
+    if (len(a) < 4) != (len(b) < 4):
+        return False
+    least = 4
+    if len(a) < 4:
+        a, b, least = " ".join(a), " ".join(b), 12
+    if min(len(a), len(b)) < least or abs(len(a) - len(b)) > 1:
         return False
     if len(a) == len(b):
         return sum(x != y for x, y in zip(a, b)) <= 1
@@ -197,7 +202,7 @@ def one_edit(a, b):
 
 
 def test_lines(spark, docs, rows, empty):
-    more = [(990001, "alpha beta gamma delta\nalpha beta gamma\nalpha beta gamma delta eps"), (990002, "alpha BETA zeta delta\nbeta gamma delta eps\n\nalpha beta gamma delta eps phi"), (990005, "a a a a a\na a a a\na a a a a a a\n a a b a a")]
+    more = [(990001, "alpha beta gamma delta\nalpha beta gamma\nalpha beta gamma delta eps"), (990002, "alpha BETA zeta delta\nbeta gamma delta eps\n\nalpha beta gamma delta eps phi"), (990005, "a a a a a\na a a a\na a a a a a a\n a a b a a"), (990006, "read more here\nread  more hère\nread more her\nread more there\nread more hereabouts\nreadmorehere\nreadmorehere😀\nreadmorehe😀re x\nchapter 1\nchapter 2\n" + "x" * 3000), (990007, "x" * 1500 + "y" + "x" * 1499 + "\n" + " ".join(f"v{i}" for i in range(700))), (990008, "é" + "x" * 2999 + "\n" + " ".join(f"v{i}" for i in range(700) if i != 350) + "\nrea more there\nread more\na b c d e")]
     seen, gone = [], set()
     for d, t in sorted((rows | dict(more)).items()):
         for i, x in enumerate((t or "").split("\n")):
