@@ -28,8 +28,12 @@ from .common import WORD_GAP, durable, let, settled
 LEAST_WORDS, LEAST_CHARS = 4, 12
 #: Lines of more units are scanned in two steps, which keeps the work of a very long line in bounds.
 SCAN = 256
+#: Tells keys of characters from keys of words.
+CHARS = 0x5DEECE66D1234567
 #: Keys of at most so many candidate lines (16 MB) are broadcast, counted first; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Numbers of dropped lines that are broadcast at most (4 bytes each, 32 MB), of at most BROADCAST_ROWS documents.
+BROADCAST_LINES = 8_000_000
 
 
 def _cleaned(text: Column) -> Column:
@@ -59,7 +63,7 @@ def _part(line: Column, k: Column) -> Column:
     return F.call_function("substring_index", line, F.lit(" "), k)
 
 
-def _halves(line: Column, n_words: Column) -> Column:
+def _halves(line: Column, n_words: Column, n_chars: Column) -> Column:
     """Keys of the first and last half of a line, for its own length and for one unit less; null for the shortest lines."""
 
     def of(length: Column, kind: str, part: Callable[[Column], Column]) -> list[Column]:
@@ -69,32 +73,31 @@ def _halves(line: Column, n_words: Column) -> Column:
     def both(n: Column, kind: str, part: Callable[[Column], Column]) -> Column:
         return F.array(*of(n, kind, part), *of(n - 1, kind, part))
 
-    by_chars = both(F.length(line), "c", lambda k: F.when(k < 0, F.substring(line, k, -k)).otherwise(F.substring(line, F.lit(1), k)))
-    return F.when(n_words >= LEAST_WORDS, both(n_words, "w", lambda k: _part(line, k))).when(F.length(line) >= LEAST_CHARS, by_chars)
+    by_chars = both(n_chars, "c", lambda k: F.when(k < 0, F.substring(line, k, -k)).otherwise(F.substring(line, F.lit(1), k)))
+    return F.when(n_words >= LEAST_WORDS, both(n_words, "w", lambda k: _part(line, k))).when(n_chars >= LEAST_CHARS, by_chars)
 
 
 def _units() -> Column:
     return F.when(F.col("by_words"), F.split("line", " ")).otherwise(F.split("line", ""))
 
 
-def _running(h: Column) -> Column:
-    """XORs of the first 0, 1, 2 ... elements. A fold copies what it has at every step, so long arrays go in two steps."""
+def _running(h: Column, start: Column) -> Column:
+    """XORs of ``start`` and the first 0, 1, 2 ... elements. A fold copies what it has at every step, so long arrays go in
+    two steps. ``h`` is a stored column: it is named many times."""
 
-    def fold(part: Column) -> Column:
-        return F.aggregate(part, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1).bitwiseXOR(x))))
+    def fold(part: Column, start: Column) -> Column:
+        return F.aggregate(part, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1).bitwiseXOR(x))))
 
-    def stepwise(h: Column) -> Column:
-        step = F.ceil(F.sqrt(F.size(h))).cast("int")
-        cut = F.transform(F.sequence(F.lit(1), F.size(h), step), lambda at: fold(F.slice(h, at, step)))
+    step = F.ceil(F.sqrt(F.size(h))).cast("int")
+    cut = F.transform(F.sequence(F.lit(1), F.size(h), step), lambda at: fold(F.slice(h, at, step), F.lit(0).cast("long")))
 
-        def joined(parts: Column) -> Column:
-            before = fold(F.transform(parts, lambda p: F.element_at(p, -1)))
-            moved = F.transform(parts, lambda p, i: F.transform(F.slice(p, F.lit(2), F.size(p) - 1), lambda x: x.bitwiseXOR(F.get(before, i))))
-            return F.concat(F.array(F.lit(0).cast("long")), F.flatten(moved))
+    def joined(parts: Column) -> Column:
+        def moved(before: Column) -> Column:
+            return F.flatten(F.transform(parts, lambda p, i: F.transform(F.slice(p, F.lit(2), F.size(p) - 1), lambda x: x.bitwiseXOR(F.get(before, i)))))
 
-        return let(cut, joined)
+        return let(fold(F.transform(parts, lambda p: F.element_at(p, -1)), start), lambda before: F.concat(F.array(start), moved(before)))
 
-    return let(h, lambda h: F.when(F.size(h) <= SCAN, fold(h)).otherwise(stepwise(h)))
+    return F.when(F.size(h) <= SCAN, fold(h, start)).otherwise(let(cut, joined))
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -111,7 +114,9 @@ def one_edit(a: Column, b: Column) -> Column:
 
 def line_keys(docs: DataFrame) -> DataFrame:
     """key, spot and halves (null for the shortest lines) of each line with a word: what all steps but two need of the texts."""
-    return _placed(docs).select("key", "spot", _halves(F.col("line"), _n_words(F.col("line"))).alias("halves"))
+    rows = _placed(docs).withColumn("words", _n_words(F.col("line")))
+    rows = rows.withColumn("chars", F.when(F.col("words") < LEAST_WORDS, F.length("line")))
+    return rows.select("key", "spot", _halves(F.col("line"), F.col("words"), F.col("chars")).alias("halves"))
 
 
 def near_copies(docs: DataFrame, keys: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -127,8 +132,9 @@ def near_copies(docs: DataFrame, keys: DataFrame, broadcast_rows: int = BROADCAS
 
     # a line's key is the XOR of its units' hashes with their places; running XORs of the units before a deleted one and of
     # those after it, moved up by one place, give each variant's key without building it. Words and characters never meet.
-    hashed = lambda moved: _running(F.transform(_units(), lambda x, i: F.xxhash64(x, i - moved, "by_words")))
-    keyed = lines.select("spot", hashed(0).alias("p"), hashed(1).alias("m"))
+    hashed = lambda moved: F.transform(_units(), lambda x, i: F.xxhash64(x, i - moved))
+    start = F.when(F.col("by_words"), F.lit(0).cast("long")).otherwise(F.lit(CHARS))
+    keyed = lines.select("spot", "by_words", hashed(0).alias("h"), hashed(1).alias("g")).select("spot", _running(F.col("h"), start).alias("p"), _running(F.col("g"), F.lit(0).cast("long")).alias("m"))
     n = F.size("p") - 1
     without = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get("p", i).bitwiseXOR(F.get("m", n)).bitwiseXOR(F.get("m", i + 1)).alias("variant"), i.alias("at")))
     itself = F.array(F.struct(F.get("p", n).alias("variant"), F.lit(-1).alias("at")))
@@ -164,7 +170,9 @@ def drop_repeated_lines(docs: DataFrame, **options: object) -> DataFrame:
     returned unchanged, and so are documents without words. Nothing in an extra column matters.
     """
     gone = settled(lambda: dropped_lines(docs, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone")))
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left")
+    size = gone.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("__gone")), F.lit(0)).alias("lines")).head()
+    few = size["docs"] <= BROADCAST_ROWS and size["lines"] <= BROADCAST_LINES
+    joined = docs.join(F.broadcast(gone) if few else gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["__id"]), "left")
     left = F.filter(F.transform(_lines(F.col("text")), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda r: ~F.array_contains("__gone", r["i"]))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda r: r["x"]), "\n"))
     cut = joined.withColumn("__text", text).where(F.col("__gone").isNull() | F.col("__text").rlike(r"[^\x20\x09-\x0D]"))

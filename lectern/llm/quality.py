@@ -139,7 +139,8 @@ def thresholds(counted: DataFrame, m: str = "__q") -> DataFrame:
         limits.append((high + r["fence"] * (high - middle)).alias(f"__hi_{k}"))
         if k == TWO_SIDED:
             limits.append((low - r["fence"] * (middle - low)).alias(f"__lo_{k}"))
-    return met.select(F.col("lang").alias("__t_lang"), F.col("source").alias("__t_source"), *limits)
+    # stored, so that the planner knows how few they are
+    return durable(met.select(F.col("lang").alias("__t_lang"), F.col("source").alias("__t_source"), *limits))
 
 
 def _odd(m: str) -> Column:
