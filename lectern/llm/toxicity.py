@@ -29,15 +29,16 @@ LEARNED, LEARNED_SHARE, LEARNED_LEAST, LEARNED_ODDS = 400, 0.02, 4, 10.0
 STEMS = range(5, 10)
 FOLDS = 5
 
-#: Insults and second-person words of the four languages of the corpus.
+#: Insults and second-person words of the four languages of the corpus. Words that one of these languages uses
+#: in plain sentences (die, hate, kill, shut, trash, ihr, su ...) are left to the learned lexicon, which has seen the corpus.
 INSULTS = frozenset(
-    """idiot idiots stupid moron morons scum loser losers trash pathetic worthless disgusting clown dumb imbecile filth
-    filthy vermin bastard bitch asshole jerk freak hate kill die shut ugly garbage fool
-    dummkopf trottel abschaum widerlich wertlos arschloch verlierer dreck
-    imbécile ordure connard salaud abruti débile minable raclure
-    idiota estúpido imbécil basura asqueroso inútil escoria patético""".split()
+    """idiot idiots stupid moron morons scum loser losers pathetic worthless disgusting clown dumb imbecile
+    filthy vermin bastard bitch asshole jerk freak
+    dummkopf trottel abschaum widerlich wertlos arschloch dreckskerl
+    imbécile connard salaud abruti débile minable raclure
+    idiota estúpido imbécil asqueroso escoria patético""".split()
 )
-SECOND_PERSON = frozenset("you your yours you're u ur yourself du dich dir dein deine ihr euch tu te toi ton ta tes vous votre tú ti usted ustedes su vos".split())
+SECOND_PERSON = frozenset("you your yours you're yourself du dich dir dein deine euch tu toi ta tes vous votre tú ti usted ustedes".split())
 NEAR = 5
 STRETCH = 50
 _APART = {i: " " for i in range(128) if not chr(i).isalnum() and chr(i) not in "'"} | {ord(c): " " for c in "¡¿«»“”„…–—"}
