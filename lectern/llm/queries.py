@@ -17,7 +17,7 @@ from .pii import BASE, find_personal_data
 from .quality import quality_report
 from .substring import remove_repeats
 from .toxicity import score_toxicity
-from .urls import filter_urls
+from .urls import HOSTS, filter_urls
 
 #: Name of the public vocabulary file that op1 and the pipeline encode with.
 VOCABULARY = "byte_bpe_50k.json"
@@ -36,7 +36,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
     # the contract names only its own rules; the method's other rules show in the verdict
-    return judged.select("page_id", F.col("__host").alias("host"), F.col("__path").alias("path"), F.when(F.col("__level") == 1, F.col("__rule")).alias("rule"), F.col("__verdict").alias("verdict"))
+    return judged.select("page_id", F.col("__host").alias("host"), F.col("__path").alias("path"), F.when(F.col("__level") == HOSTS, F.col("__rule")).alias("rule"), F.col("__verdict").alias("verdict"))
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,19 @@
 A rule names literal tokens that every matching URL must contain whole. The rarest of them, counted over the URLs
 themselves, is the rule's only index entry. A URL's tokens fetch candidate rules and only those run their regular
 expressions, so the cost of a URL depends on the rules that its rare tokens name and not on the length of the rule list.
+
+Rules are written one a line and are matched without regard to case against host and path:
+
+=========== ==================================================================================================
+``word``    a bare word: a whole token anywhere
+``a/b``     anything else: a literal part
+``*``       any run of characters
+``^``       a separator, that is no letter, digit, ``_``, ``-``, ``.`` or ``%``; or the end
+``||``      at the start: the host begins here, or a label of it
+``|``       at the start or the end: the address begins or ends here
+``@@``      at the start: an exception, which allows and wins over all that block
+``!``       at the start: a comment
+=========== ==================================================================================================
 """
 
 from __future__ import annotations
@@ -18,6 +31,10 @@ from pyspark.sql import functions as F
 TOKEN = r"[A-Za-z0-9]+"
 
 
+#: Levels of rules: those that block, their exceptions, and rules on hosts, which stand above both.
+BLOCKS, EXCEPTIONS, HOSTS = 0, 1, 2
+
+
 @dataclass(frozen=True)
 class Rule:
     """``pattern`` is searched in host + path. The longest ``name`` wins among rules of the highest ``level``."""
@@ -26,27 +43,121 @@ class Rule:
     verdict: str
     pattern: str
     tokens: tuple[str, ...]
-    level: int = 0
+    level: int = BLOCKS
 
 
 def host_rule(name: str, verdict: str) -> Rule:
     """A rule such as ``example.net/en/``: its host and all subdomains, paths that start with the rule's path."""
     host, slash, rest = name.partition("/")
-    return Rule(name, verdict, r"^(?:[^/]*\.)?" + re.escape(host.lower()) + re.escape(slash + rest), tuple(re.findall(TOKEN, host.lower())), 1)
-
-
-def word_rule(word: str, verdict: str = "block") -> Rule:
-    """A rule on one whole token anywhere in host or path, in any case of the path."""
-    return Rule(word, verdict, rf"(?i)(?<![A-Za-z0-9]){word}(?![A-Za-z0-9])", (word,))
+    return Rule(name, verdict, r"^(?:[^/]*\.)?" + re.escape(host.lower()) + re.escape(slash + rest), tuple(re.findall(TOKEN, host.lower())), HOSTS)
+
+
+def parse_rule(line: str) -> Rule | None:
+    """The rule of a line; None for comments and blank lines. Tokens are those that no neighbouring text can lengthen."""
+    name = line.strip()
+    if not name or name.startswith("!"):
+        return None
+    body = name.removeprefix("@@")
+    verdict, level = ("allow", EXCEPTIONS) if body != name else ("block", BLOCKS)
+    if re.fullmatch(TOKEN, body):
+        return Rule(name, verdict, rf"(?i)(?<![A-Za-z0-9]){body}(?![A-Za-z0-9])", (body,), level)
+    domain, start = body.startswith("||"), body.startswith("|")
+    core = body.lstrip("|")
+    end = core.endswith("|")
+    core = core.removesuffix("|")
+    parts = re.findall(r"[*^]|[^*^]+", core)
+    said = {"*": ".*", "^": r"(?:[^A-Za-z0-9_.%-]|$)"}
+    pattern = "(?i)" + (r"^(?:[^/]*\.)?" if domain else "^" if start else "") + "".join(said.get(x) or re.escape(x) for x in parts) + ("$" if end else "")
+    tokens = []
+    for i, x in enumerate(parts):
+        if x in said:
+            continue
+        for m in re.finditer(TOKEN, x):
+            opens = m.start() > 0 or (i > 0 and parts[i - 1] == "^") or (i == 0 and start)
+            closes = m.end() < len(x) or (i + 1 < len(parts) and parts[i + 1] == "^") or (i + 1 == len(parts) and end)
+            if opens and closes:
+                tokens.append(m[0])
+    return Rule(name, verdict, pattern, tuple(tokens), level)
+
+
+def read_rules(spark: SparkSession, path: str) -> tuple[Rule, ...]:
+    """The rules of text files. They go to the driver: a rule list is bounded, as people keep it."""
+    return tuple(r for x in spark.read.text(path).distinct().orderBy("value").collect() if (r := parse_rule(x["value"])))
 
 
 #: Rules that the contract of the query fixes.
 FIXED = (host_rule("net/", "block"), host_rule("example.net/en/", "allow"), host_rule("example.com/de/", "block"), host_rule("org/fr/", "allow"))
-#: The method's own rules: pages that carry no prose worth training on.
-GENERAL = (
-    *map(word_rule, ("casino", "poker", "porn", "xxx", "viagra", "login", "signin", "signup", "logout", "cart", "checkout", "cgi", "ads", "adserver", "tracker", "unsubscribe", "captcha")),
-    *(Rule(f".{x}", "block", rf"(?i)\.{x}$", (x,)) for x in ("zip", "exe", "jpg", "png", "gif", "mp4", "css", "js", "woff", "iso")),
-)
+#: The method's own rules: pages that carry no prose worth training on, and such as look like them.
+LINES = """
+! trade, games of chance and adult pages
+casino
+poker
+porn
+xxx
+viagra
+||bet.*.com^
+||ads.
+||adserver.
+||track*.example.
+/adclick/
+/banner/*/click^
+/out.php^
+/redirect/
+||click.*/go/
+
+! doors and forms
+login
+signin
+signup
+logout
+unsubscribe
+captcha
+/user/register^
+/account/password^
+/wp-login.php|
+/wp-admin/
+/oauth/authorize^
+
+! shops
+cart
+checkout
+/shop/basket^
+/order/confirm^
+@@/cart/guide/
+@@/docs/login^
+@@/blog/*/checkout^
+
+! machines
+cgi
+tracker
+/cgi-bin/
+/feed/|
+/rss.xml|
+/sitemap.xml|
+/sitemap*.xml|
+/robots.txt|
+/api/v1/
+/api/v2/
+/xmlrpc.php^
+/search/*/page/
+/tag/*/page/
+/calendar/*/day/
+/print/view^
+
+! files
+.zip|
+.exe|
+.jpg|
+.png|
+.gif|
+.mp4|
+.css|
+.js|
+.woff|
+.iso|
+.tar.gz|
+"""
+GENERAL = tuple(r for x in LINES.splitlines() if (r := parse_rule(x)))
 DEFAULT_VERDICT = "allow"
 #: Up to so many bytes of rules are planned as one constant; a longer list is joined as a table.
 CONSTANT_BYTES = 1 << 20
@@ -74,7 +185,7 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 def _rarest(parted: DataFrame, rules: Sequence[Rule]) -> dict[Rule, str]:
     """The rarest token of each rule over all URLs. What comes to the driver is bounded by the rule list."""
-    contested = sorted({t.lower() for r in rules if len(set(r.tokens)) > 1 for t in r.tokens})
+    contested = sorted({t.lower() for r in rules if len({*map(str.lower, r.tokens)}) > 1 for t in r.tokens})
     seen = {}
     if contested:
         tokens = parted.select(F.explode(_tokens()).alias("t"))

@@ -1,0 +1,80 @@
+"""The URL rule language against a matcher on characters, and the lexicon of insults on plain sentences."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from lectern.llm import toxicity, urls
+
+
+def fits(line, text):
+    """Whether a rule's body matches, by trying every place."""
+    body = line.removeprefix("@@").lower()
+    text = text.lower()
+    if body.isalnum():
+        cut = "".join(c if c.isascii() and c.isalnum() else " " for c in text)
+        return body in cut.split()
+    host = text.split("/")[0]
+    places = range(len(text) + 1)
+    if body.startswith("||"):
+        places = [i for i in places if i <= len(host) and (i == 0 or host[i - 1] == ".")]
+    elif body.startswith("|"):
+        places = [0]
+    core = body.lstrip("|")
+    end = core.endswith("|")
+    core = core.removesuffix("|")
+
+    def at(i, k):
+        if k == len(core):
+            return not end or i == len(text)
+        if core[k] == "*":
+            return any(at(j, k + 1) for j in range(i, len(text) + 1))
+        if core[k] == "^":
+            plain = i < len(text) and ((text[i].isascii() and text[i].isalnum()) or text[i] in "_.%-")
+            return not plain and at(min(i + 1, len(text)), k + 1)
+        return i < len(text) and text[i] == core[k] and at(i + 1, k + 1)
+
+    return any(at(i, 0) for i in places)
+
+
+@pytest.mark.parametrize("constant_bytes", [1 << 20, 0])
+def test_rule_language(spark, tmp_path, constant_bytes):
+    rng = random.Random(5)
+    bits = ["ads", "shop", "x", "login", "cart", "guide", "track1", "a-b", "page", "zip", "net", "9", "feed", "ü"]
+    hosts = [".".join(rng.choice(bits) for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    seen = [f"http://{rng.choice(hosts)}" + "".join(rng.choice("/////.-_") + rng.choice([*bits, "Login", "CART"]) for _ in range(rng.randint(0, 5))) + rng.choice(["", "/", "|", "?q=ads"]) for _ in range(700)]
+    lines = ["! note", "", "login", "||ads.", "||shop.net^", "|x.zip/", "/cart/", "@@/cart/guide^", "^feed^*^page^", ".zip|", "-b.", "/page/*/9|", "||track*.x.", "@@||net^", "/a-b_", "^9/", "ar*t", "/sho"]
+    (tmp_path / "rules.txt").write_text("\n".join(lines))
+    rules = [r for r in urls.read_rules(spark, str(tmp_path / "rules.txt")) if r.tokens]
+    assert {x for x in lines if x and x[0] != "!"} - {r.name for r in rules} == {"ar*t", "/sho"}  # neighbours can lengthen their tokens
+    df = spark.createDataFrame(list(enumerate(seen)), "page_id long, url string")
+    got = {r["page_id"]: r for r in urls.filter_urls(df, rules, constant_bytes=constant_bytes).collect()}
+    hit = set()
+    for i, _ in enumerate(seen):
+        text = got[i]["__host"] + got[i]["__path"]
+        found = [r for r in rules if fits(r.name, text)]
+        best = max(found, key=lambda r: (r.level, len(r.name), r.name), default=None)
+        assert (got[i]["__rule"], got[i]["__verdict"]) == ((best.name, best.verdict) if best else (None, "allow")), text
+        hit.add(best and best.name)
+    assert len(hit) > 8
+    assert not [r.name for r in urls.GENERAL if not r.tokens]
+
+
+def test_thousands_of_rules(spark):
+    rules = [urls.parse_rule(f"||site{i}.example^") for i in range(5000)]
+    df = spark.range(300).select(F.col("id").alias("page_id"), F.concat(F.lit("https://www.site"), F.col("id") * 40, F.lit(".example/x")).alias("url"))
+    got = {r["page_id"]: r["__verdict"] for r in urls.filter_urls(df, rules).collect()}
+    assert got == {i: "block" if i * 40 < 5000 else "allow" for i in range(300)}
+
+
+@pytest.mark.parametrize("text", ["Die Katze liegt auf dem Sofa und die Maus schaut zu.", "Ihr Ton war freundlich und sie gab ihr das Buch.", "I hate to say it, but they kill the process and shut the door.", "Le ton de la lettre est doux et elle te plaira.", "Su casa está cerca de la playa y tira la basura."])
+def test_plain_sentences_have_no_insults(text):
+    assert toxicity.text_features(text, toxicity.Lexicon())[0] == 0
+
+
+def test_null_and_empty_texts_with_a_fitted_model(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, " "), (-4, "a" * 100_000), (-5, "x"), (-5, "x"), (None, "y")], "doc_id long, text string")
+    got = toxicity.score_toxicity(docs.select("doc_id", "text").unionByName(odd), labels).where("doc_id < 0 OR doc_id IS NULL").collect()
+    assert len(got) == 7 and all(0 <= r["score"] < 0.5 and r["predicted"] == 0 for r in got)
