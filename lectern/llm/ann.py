@@ -5,9 +5,11 @@ Spark range-partitions each ordering; positions cut it into blocks. A query meet
 every ordering, the neighbours of all its windows merge, and the best by exact cosine remain. Equal vectors are one
 point, so copies cost nothing; their ids come back at the end.
 
-A window is a share of its ordering (``WINDOW``), since the nearest of unclustered vectors are hardly nearer than the
-rest and no index finds them in a window of fixed length; with clustered vectors a smaller share does. Blocks are of
-fixed size, so a task's memory doesn't grow with the data.
+How far a window must reach is measured, not set: the true neighbours of a bounded number of pilot queries are found by
+brute force, and the window is as many places as bring ``TARGET`` of them into reach of their query in some ordering. With
+clustered vectors that is a number of places that doesn't grow with the data; the nearest of unclustered vectors are hardly
+nearer than the rest, and no index finds them without meeting a share of all points. Blocks are of fixed size, so a task's
+memory doesn't grow with the data.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ from .common import durable
 
 ORDERINGS = 12
 DIMENSIONS, BITS = 16, 4
-WINDOW = 0.12
-BLOCK_ROWS = 1024
+#: Share of the pilots' true neighbours that windows must reach, and the number of pilots.
+TARGET, PILOTS = 0.95, 64
+BLOCK_ROWS = 512
 NEIGHBOURS = 5
 EVERY = 50
 #: Vectors that scale the projections: a bounded sample of the smallest hashes of ids.
@@ -109,7 +112,43 @@ def _best(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def nearest(vectors: DataFrame, neighbours: int = NEIGHBOURS, every: int = EVERY, orderings: int = ORDERINGS, window: float = WINDOW, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _nearest_in_batch(pilots: np.ndarray, gids: np.ndarray, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The ``k`` points of a batch that are nearest to each pilot, by brute force."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                ids = b.column(0).to_numpy()
+                score = pilots @ _unit(b.column(1).to_pylist()).T
+                score[gids[:, None] == ids[None, :]] = -2.0
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                rows = np.arange(len(pilots))[:, None]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(gids, best.shape[1])), pa.array(ids[best].ravel()), pa.array(score[rows, best].ravel())], names=["pilot", "gid", "score"])
+
+    return run
+
+
+def window_places(groups: DataFrame, asking: DataFrame, placed: DataFrame, neighbours: int, target: float = TARGET, pilots: int = PILOTS) -> int:
+    """Places to each side of a query that bring ``target`` of the pilots' true neighbours into reach in some ordering.
+
+    ``placed`` has o, at and gid. The driver gets ``pilots`` vectors and the places of their neighbours.
+    """
+    chosen = groups.select("gid", "embedding").join(asking.select("gid"), "gid").orderBy(F.xxhash64("gid"), "gid").limit(pilots).collect()
+    if not chosen:
+        return 0
+    gids = np.array([r["gid"] for r in chosen], np.int64)
+    near = groups.select("gid", "embedding").mapInArrow(_nearest_in_batch(_unit([r["embedding"] for r in chosen]), gids, neighbours), "pilot long, gid long, score double")
+    best = near.withColumn("nth", F.row_number().over(Window.partitionBy("pilot").orderBy(F.desc("score"), "gid"))).where((F.col("nth") <= neighbours) & (F.col("score") > -2))
+    pairs = [(r["pilot"], r["gid"]) for r in best.select("pilot", "gid").collect()]
+    wanted = placed.sparkSession.createDataFrame([(int(g),) for g in {g for pair in pairs for g in pair}], "gid long")
+    at: dict[int, dict[int, int]] = {}
+    for r in placed.select("o", "at", "gid").join(F.broadcast(wanted), "gid").collect():
+        at.setdefault(r["gid"], {})[r["o"]] = r["at"]
+    far = sorted(min(abs(at[p][o] - at[g][o]) for o in at[p]) for p, g in pairs)
+    return far[min(len(far) - 1, int(np.ceil(target * len(far))) - 1)] if far else 0
+
+
+def nearest(vectors: DataFrame, neighbours: int = NEIGHBOURS, every: int = EVERY, orderings: int = ORDERINGS, block_rows: int = BLOCK_ROWS, target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest found of each row whose vec_id is divisible by ``every``.
 
     ``vectors`` has vec_id and embedding. Null, empty or zero vectors, those with null or non-finite components, and
@@ -149,9 +188,10 @@ def nearest(vectors: DataFrame, neighbours: int = NEIGHBOURS, every: int = EVERY
     counts = placed.groupBy("o", "part").agg(F.count("*").alias("n"), F.min("nth").alias("low"))
     starts = counts.select("o", "part", (F.coalesce(F.sum("n").over(Window.partitionBy("o").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("low")).alias("start"))
     # a row for each ordering and partition: bounded by the plan, not by the data
-    located = placed.join(F.broadcast(starts), ["o", "part"]).withColumn("block", F.floor((F.col("start") + F.col("nth")) / block_rows)).select("o", "block", "gid", "asks", "vec")
+    located = placed.join(F.broadcast(starts), ["o", "part"]).withColumn("at", F.col("start") + F.col("nth")).withColumn("block", F.floor(F.col("at") / block_rows))
+    reach = -(-window_places(groups, asking, located, neighbours, target) // block_rows)
+    located = located.select("o", "block", "gid", "asks", "vec")
     blocks = max(1, -(-groups.count() // block_rows))
-    reach = max(1, int(np.ceil(window / 2 * blocks)))
     around = F.sequence(F.greatest(F.col("block") - reach, F.lit(0)), F.least(F.col("block") + reach, F.lit(blocks - 1)))
     queries = located.where("asks").withColumn("block", F.explode(around)).select("o", "block", "gid", F.lit(True).alias("asks"), "vec")
     met = located.withColumn("asks", F.lit(False)).unionByName(queries).groupBy("o", "block").applyInPandas(_best(neighbours + 1), "query long, point long, score double")
