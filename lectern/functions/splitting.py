@@ -62,22 +62,33 @@ def local_units(c: Column) -> Column:
     return let(apply(F.coalesce(c, F.lit("")), RETRIEVAL), cut)
 
 
-def pack(units: Column, fits: Callable[[Column], Column]) -> Column:
-    """Greedy packing: a unit joins the last pack while the result ``fits``; an oversized unit is a pack of its own."""
-    def step(acc: Column, x: Column) -> Column:
-        joined = F.concat_ws(" ", F.element_at(acc, -1), x)
-        return F.when(F.size(acc) == 0, F.array(x)).when(fits(joined), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(x)))
+def pack(units: Column, weigh: Callable[[Column], Column], most: int, gap: int = 0) -> Column:
+    """Greedy packing: a unit joins the last pack while weights and gaps stay within ``most``; an oversized unit is a pack
+    of its own. Each unit is weighed once, and the fold keeps where packs start, not their texts."""
+    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("sum"), F.lit(0).alias("i"))
+
+    def step(acc: Column, w: Column) -> Column:
+        joined = acc["sum"] + gap + w
+        opens = (acc["i"] == 0) | (joined > most)
+        return F.struct(F.when(opens, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"]).alias("starts"), F.when(opens, w).otherwise(joined).alias("sum"), (acc["i"] + 1).alias("i"))
+
+    def cut(u: Column) -> Column:
+        def joined(starts: Column) -> Column:
+            return F.transform(starts, lambda s, k: F.array_join(F.slice(u, s + 1, F.coalesce(F.get(starts, k + 1), F.size(u)) - s), " "))
 
-    return F.aggregate(units, F.array().cast("array<string>"), step)
+        return let(F.aggregate(F.transform(u, lambda x: weigh(x).cast("int")), start, step, lambda acc: acc["starts"]), joined)
+
+    return let(units, cut)
 
 
 def pack_words(units: Column, max_words: int = 40) -> Column:
-    return pack(units, lambda t: n_words(t) <= max_words)
+    return pack(units, n_words, max_words)
 
 
 def pack_chars(units: Column, max_chars: int = 500, min_chars: int = 120) -> Column:
     """Packs up to ``max_chars``, then packs shorter than ``min_chars`` join the one before."""
-    packs = pack(units, lambda t: F.length(t) <= max_chars)
+    packs = pack(units, F.length, max_chars, gap=1)
+
     def step(acc: Column, x: Column) -> Column:
         tail = F.concat(F.element_at(acc, -1), F.lit(" "), x)
         return F.when((F.size(acc) > 0) & (F.length(x) < min_chars), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(tail))).otherwise(F.concat(acc, F.array(x)))

@@ -26,21 +26,46 @@ def ascii_fold(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
 
 
+#: Unicode white space, as the pattern class has it.
+SPACE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def apply(c: Column, steps: Steps) -> Column:
-    """The steps as one column expression; null stays null."""
-    for kind, *a in steps:
-        if kind == "sub":
-            c = F.regexp_replace(c, "(?U)" + a[0], re.sub(r"\\(\d)", r"$\1", a[1]))
-        elif kind == "lines":
-            c = F.regexp_replace(c, "(?Umd)" + a[0], re.sub(r"\\(\d)", r"$\1", a[1]))
+    """The steps as one column expression; null stays null.
+
+    Neighbouring swaps of single characters are one translation, white space is rewritten only where it isn't one blank
+    already, and patterns are Unicode-aware only while the text can hold other than ASCII.
+    """
+    wide = "U"
+    i = 0
+    while i < len(steps):
+        kind, *a = steps[i]
+        i += 1
+        wide = "U" if not all(map(str.isascii, a[1:])) else wide
+        if (kind, *a) == ("sub", r"\s+", " "):
+            c = F.regexp_replace(c, rf"(?{wide})[\s&&[^\x20]]\s*|\x20\s+" if wide else r"[\t\n\x0B\f\r]\s*|\x20\s+", " ")
+        elif kind in ("sub", "lines"):
+            flags = wide + ("md" if kind == "lines" else "")
+            c = F.regexp_replace(c, (f"(?{flags})" if flags else "") + a[0], re.sub(r"\\(\d)", r"$\1", a[1]))
         elif kind == "swap":
-            c = F.replace(c, F.lit(a[0]), F.lit(a[1]))
+            run = [a]
+            single = lambda s: len(s[0]) == 1 and len(s[1]) <= 1
+            while single(a) and i < len(steps) and steps[i][0] == "swap" and single(steps[i][1:]) and not {steps[i][1]} & {y for x in run for y in x}:
+                run.append(list(steps[i][1:]))
+                i += 1
+            wide = "U" if not all(b.isascii() for _, b in run) else wide
+            if len(run) == 1:
+                c = F.replace(c, F.lit(a[0]), F.lit(a[1]))
+            else:
+                run.sort(key=lambda x: x[1] == "")  # what translate has no counterpart for goes
+                c = F.translate(c, "".join(x[0] for x in run), "".join(x[1] for x in run))
         else:
             c = {"strip": strip, "lower": F.lower, "ascii": ascii_fold}[kind](c)
+            wide = "" if kind == "ascii" else wide
     return c
 
 
@@ -146,7 +171,7 @@ def overlap_tokens(c: Column) -> Column:
 
 
 # Words that carry no meaning in a question.
-STOPWORDS = tuple("the a an of to and in is are was were that this what which when why how does do for with on by from it as be into at or if their they them can used use".split())
+STOPWORDS = ("the", "a", "an", "of", "to", "and", "in", "is", "are", "was", "were", "that", "this", "what", "which", "when", "why", "how", "does", "do", "for", "with", "on", "by", "from", "it", "as", "be", "into", "at", "or", "if", "their", "they", "them", "can", "used", "use")
 
 
 def question_keywords(c: Column) -> Column:

@@ -2,27 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..functions.text import apply, CHUNK, clean
+from ..functions.text import CHUNK, apply, clean, strip
 
 FAR = 1e9
 
 
+def _origin(b: Column) -> Column:
+    """The origin of the first line whose first span has one: other spans don't count."""
+    firsts = F.transform(F.filter(b["lines"], lambda l: F.size(l["spans"]) > 0), lambda l: F.get(l["spans"], F.lit(0))["origin"])  # noqa: E741
+    return F.get(F.filter(firsts, lambda o: o.isNotNull()), F.lit(0))
+
+
 def text_blocks(blocks: Column) -> Column:
     """text, origin, block_idx of the text blocks (type 0) of a page; numbered before they are put in reading order."""
     def line(l: Column) -> Column:  # noqa: E741
         return F.array_join(F.transform(l["spans"], lambda s: F.coalesce(s["text"], F.lit(""))), "")
 
     said = lambda b: apply(F.array_join(F.transform(F.filter(F.transform(b["lines"], line), lambda t: F.trim(t) != ""), lambda t: F.concat(t, F.lit(" "))), ""), CHUNK)
-    origin = lambda b: F.get(F.filter(F.transform(F.flatten(F.transform(b["lines"], lambda l: l["spans"])), lambda s: s["origin"]), lambda o: o.isNotNull()), F.lit(0))
-    kept = F.filter(F.transform(F.filter(blocks, lambda b: b["type"] == 0), lambda b: F.struct(said(b).alias("text"), origin(b).alias("origin"))), lambda b: b["text"] != "")
+    kept = F.filter(F.transform(F.filter(blocks, lambda b: b["type"] == 0), lambda b: F.struct(said(b).alias("text"), _origin(b).alias("origin"))), lambda b: b["text"] != "")
     numbered = F.transform(kept, lambda b, i: F.struct(F.coalesce(F.get(b["origin"], F.lit(1)), F.lit(FAR)).alias("y"), F.coalesce(F.get(b["origin"], F.lit(0)), F.lit(FAR)).alias("x"), i.alias("block_idx"), b["text"].alias("text"), b["origin"].alias("origin")))
     return F.transform(F.array_sort(numbered), lambda b: F.struct(b["text"], b["origin"], b["block_idx"]))
 
 
+def merged_text(made: Column) -> Column:
+    """The texts of ``text_blocks`` one below the other."""
+    return F.array_join(F.transform(F.filter(made, lambda b: b["text"] != ""), lambda b: b["text"]), "\n")
+
+
+def text_of_blocks(blocks: Column) -> Column:
+    """The older form: whole texts of located blocks in reading order, each with a line end; nothing is cleaned."""
+    line = lambda l: F.concat(F.array_join(F.transform(l["spans"], lambda s: F.coalesce(s["text"], F.lit(""))), ""), F.lit(" "))
+    said = lambda b: strip(F.array_join(F.transform(F.filter(b["lines"], lambda l: F.size(l["spans"]) > 0), line), ""))
+    located = F.filter(F.transform(F.filter(blocks, lambda b: b["type"] == 0), lambda b: F.struct(said(b).alias("text"), _origin(b).alias("o"))), lambda b: b["o"].isNotNull() & (b["text"] != ""))
+    ordered = F.array_sort(F.transform(located, lambda b, i: F.struct(F.get(b["o"], F.lit(1)).alias("y"), F.get(b["o"], F.lit(0)).alias("x"), i.alias("i"), b["text"].alias("text"))))
+    return F.array_join(F.transform(ordered, lambda b: F.concat(b["text"], F.lit("\n"))), "")
+
+
 def images(blocks: Column) -> Column:
     return F.filter(blocks, lambda b: b["type"] == 1)
 
@@ -69,3 +88,33 @@ def tiles(height: Column, width: Column, share: float = 0.4, overlap: float = 0.
     ys = V.tile_starts(height, ph, F.floor(ph * overlap).cast("int"))
     xs = V.tile_starts(width, pw, F.floor(pw * overlap).cast("int"))
     return F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: F.struct(y.alias("y"), x.alias("x")))))
+
+
+def tiled_items(found: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """image_id, items of whole images from (image_id, tile, y, x, items) of their tiles.
+
+    Items (text, bbox, x1, y1, x2, y2, cx, cy) move by the place of their tile; of duplicates, which overlapping tiles see
+    twice, the first in order of tiles stays. A tile without items adds nothing.
+    """
+    moved = F.transform("items", lambda t: F.struct(
+        t["text"].alias("text"), F.transform(t["bbox"], lambda p, i: F.when(i % 2 == 0, p + F.col("x")).otherwise(p + F.col("y"))).alias("bbox"),
+        (t["x1"] + F.col("x")).alias("x1"), (t["y1"] + F.col("y")).alias("y1"), (t["x2"] + F.col("x")).alias("x2"), (t["y2"] + F.col("y")).alias("y2"), (t["cx"] + F.col("x")).alias("cx"), (t["cy"] + F.col("y")).alias("cy"),
+    ))
+    whole = found.select("image_id", "tile", moved.alias("items")).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("tile", "items"))).alias("t"))
+    every = F.flatten(F.transform("t", lambda t: t["items"]))
+    numbered = F.transform(distinct_boxes(every, threshold), lambda t, i: t.withField("seq", i))
+    return whole.select("image_id", numbered.alias("items"))
+
+
+def image_rows(items: Column, threshold: float = 100.0) -> Column:
+    return rows(items, threshold)
+
+
+def image_text(items: Column, threshold: float = 100.0) -> Column:
+    """The text of an image, a line a row."""
+    return F.array_join(rows_to_lines(rows(items, threshold)), "\n")
+
+
+def image_lines(items: Column, threshold: float = 100.0) -> Column:
+    """The cleaned lines of an image."""
+    return rows_to_lines(rows(items, threshold), cleaned=True)

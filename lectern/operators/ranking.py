@@ -13,15 +13,12 @@ from pyspark.sql.window import Window
 from ..functions import scoring as S
 from ..functions import vectors as V
 from ..functions.text import null_sentinel
-
-#: A question set of at most so many rows is broadcast to the pages.
-BROADCAST_QUESTIONS = 10_000
+from .shared import small
 
 
 def pair_up(questions: DataFrame, pages: DataFrame) -> DataFrame:
     """Every question with every page: the workload itself. Few questions travel; many are crossed in blocks."""
-    n = questions.limit(BROADCAST_QUESTIONS + 1).count()
-    return pages.crossJoin(F.broadcast(questions) if n <= BROADCAST_QUESTIONS else questions)
+    return pages.crossJoin(small(questions))
 
 
 def top_k(df: DataFrame, by: str, score: str, tie: str, k: int, rank: str = "rank") -> DataFrame:
@@ -37,9 +34,11 @@ def dense(questions: DataFrame, pages: DataFrame) -> DataFrame:
     return pair_up(q, p).select("qid", "page", V.dot(unit(F.col("q_unit")), F.col("unit")).alias("score"))
 
 
-def confidence(scored: DataFrame, temperature: float = 10.0) -> DataFrame:
+def confidence(scored: DataFrame, k: int, temperature: float = 10.0) -> DataFrame:
+    """The ``k`` best of each question with their share of its softmax. Sums are partial: only they and the best travel."""
     e = F.exp(temperature * F.col("score"))
-    return scored.withColumn("confidence", e / F.sum(e).over(Window.partitionBy("qid")))
+    sums = scored.groupBy("qid").agg(F.sum(e).alias("__all"))
+    return top_k(scored, "qid", "score", "page", k).join(sums, "qid").withColumn("confidence", e / F.col("__all")).drop("__all")
 
 
 def reciprocal_rank_fusion(lists: DataFrame, k: int = 60, weights: DataFrame | None = None) -> DataFrame:
@@ -48,7 +47,7 @@ def reciprocal_rank_fusion(lists: DataFrame, k: int = 60, weights: DataFrame | N
     Lists without a weight are left out, as the shorter of the two ends a pairing.
     """
     if weights is not None:
-        lists = lists.join(F.broadcast(weights), "list_id")
+        lists = lists.join(small(weights), "list_id")
     w = F.col("weight") if weights is not None else F.lit(1.0)
     first = F.struct("list_id", "rank")
     return lists.groupBy("page").agg(F.sum(w / (k + F.col("rank"))).alias("fused"), F.min_by("text", first).alias("text"), F.min(first).alias("first"))
@@ -94,17 +93,18 @@ def rank_by_descriptions(slides: DataFrame, described: DataFrame, weights: DataF
     """qid, slide_id, score, raw_score, used_weight, matched, rank.
 
     described: slide_id, qtype, text, emb; weights: qid, qtype, weight; queries: qid, q_emb. Slides without a usable
-    description score 0 and stay in the ranking.
+    description score 0 and stay in the ranking. Of fields that weigh the same the one that ``active`` names first leads.
     """
     usable = described.where(null_sentinel(F.col("text")).isNotNull() & F.col("emb").isNotNull())
     usable = usable.where(F.col("qtype").isin(*active)) if active else usable
     weighed = weights.where("weight > 0").join(queries, "qid")
-    met = usable.join(weighed, "qtype").withColumn("sim", V.cosine(F.col("q_emb"), F.col("emb"))).withColumn("weighted", F.col("weight") * F.col("sim"))
-    field = F.struct((-F.col("weighted")).alias("order"), "qtype", "weight", "sim", F.col("weighted").alias("weighted_sim"), null_sentinel(F.col("text")).alias("text"))
+    met = usable.join(small(weighed), "qtype").withColumn("sim", V.cosine(F.col("q_emb"), F.col("emb"))).withColumn("weighted", F.col("weight") * F.col("sim"))
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, active)), F.col("qtype")), F.lit(0)) if active else F.lit(0)
+    field = F.struct((-F.col("weighted")).alias("order"), place.alias("place"), "qtype", "weight", "sim", F.col("weighted").alias("weighted_sim"), null_sentinel(F.col("text")).alias("text"))
     per = met.groupBy("qid", "slide_id").agg(F.sum("weighted").alias("raw"), F.sum("weight").alias("used"), F.sort_array(F.collect_list(field)).alias("fields"))
     every = pair_up(queries.select("qid"), slides.select("slide_id")).join(per, ["qid", "slide_id"], "left").fillna(0.0, ["raw", "used"])
     score = F.when((F.col("used") > 0) & F.lit(normalize), F.col("raw") / F.col("used")).otherwise(F.col("raw"))
-    matched = F.transform(F.coalesce("fields", F.array().cast(per.schema["fields"].dataType)), lambda x: x.dropFields("order"))
+    matched = F.transform(F.coalesce("fields", F.array().cast(per.schema["fields"].dataType)), lambda x: x.dropFields("order", "place"))
     ranked = every.select("qid", "slide_id", score.alias("score"), F.col("raw").alias("raw_score"), F.col("used").alias("used_weight"), matched.alias("matched"))
     return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "slide_id")))
 
@@ -116,8 +116,16 @@ def mean_pool(tokens: DataFrame) -> DataFrame:
     return dims.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "v"))), lambda s: s["v"]).alias("emb"))
 
 
-def report(ranked: DataFrame, k: int = 5, width: int = 250) -> DataFrame:
+def intent_ranking(weights: DataFrame) -> DataFrame:
+    """Intents of each question by weight; equal weights keep the order of the prototypes."""
+    return weights.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("weight"), "ord")))
+
+
+def report(ranked: DataFrame, text: str = "best_text", k: int = 5, width: int = 250) -> DataFrame:
     """The top-k report: texts cut for reading."""
-    return ranked.where(F.col("rank") <= k).withColumn("shown", F.substring("best_text", 1, width)).drop("best_text")
+    return ranked.where(F.col("rank") <= k).withColumn("shown", F.substring(text, 1, width)).drop(text)
 
 
+def field_report(ranked: DataFrame, k: int = 10, fields: int = 3) -> DataFrame:
+    """The report of rank_by_descriptions: the first ``k`` slides of a question, each with its first ``fields`` fields."""
+    return ranked.where(F.col("rank") <= k).withColumn("matched", F.slice("matched", 1, fields))

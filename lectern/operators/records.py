@@ -104,6 +104,13 @@ def reference_type(title: Column, url: Column) -> Column:
     return F.when(F.coalesce(url, F.lit("")) != "", "url").when(F.coalesce(title, F.lit("")) != "", "paper").otherwise("structured")
 
 
+def detect_reference_type(ref: Column, raw: Column | None = None) -> Column:
+    """The type of a reference record (url, title ...) or of a raw string: none, url, paper, structured, raw or unknown."""
+    raw = F.lit(None).cast("string") if raw is None else raw
+    of_raw = F.when(raw.rlike("https?://"), "url").otherwise("raw")
+    return F.when(ref.isNotNull(), reference_type(ref["title"], ref["url"])).when(raw.isNotNull(), of_raw).otherwise("none")
+
+
 def reference_from_parts(parsed: Column, raw: Column | None = None, url: Column | None = None) -> Column:
     """type, raw, title, venue, year, url of a parsed reference; raw is rebuilt where it is missing."""
     url = F.lit(None).cast("string") if url is None else url

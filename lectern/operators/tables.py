@@ -7,23 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import clean
+from .shared import stored
 
 DROPPED = ("desc_text", "title_text", "body_text", "ocr_text", "desc_chunks")
 
 
-def join_by_position(left: DataFrame, right: DataFrame, left_order: str, right_order: str, parts: int = 200) -> DataFrame:
-    """Rows of both sides by their place, numbered from 0; the shorter side ends the result."""
+def join_by_position(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
+    """Rows of both sides by their place, numbered from 0; the shorter side ends the result. Rows of equal order go by a
+    hash of all their columns, and nulls come first."""
     return _numbered(left, left_order, "pos").join(_numbered(right, right_order, "pos"), "pos")
 
 
 def _numbered(df: DataFrame, order: str, name: str) -> DataFrame:
-    """Places without one global window: counts of ranges shift the places within them."""
-    ranged = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
-    local = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
-    counts = local.groupBy("__part").agg(F.count("*").alias("__c"))
+    """Places without one global window: rows are ranged and numbered within their range once, and that table is stored;
+    the counts of its ranges shift the numbers."""
+    keys = [F.col(order), F.col("__tie")]
+    ranged = df.withColumn("__tie", F.xxhash64(*df.columns)).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__tie")
+    # the low part of this id is the row's number within its partition
+    table = stored(ranged.withColumn("__part", F.spark_partition_id()).withColumn("__n", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    counts = table.groupBy("__part").agg(F.count("*").alias("__c"))
     # one row a range
     starts = counts.select("__part", F.coalesce(F.sum("__c").over(Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
-    return local.join(F.broadcast(starts), "__part").withColumn(name, (F.col("__s") + F.col("__n") - 1).cast("long")).drop("__part", "__n", "__s")
+    return table.join(F.broadcast(starts), "__part").withColumn(name, (F.col("__s") + F.col("__n")).cast("long")).drop("__part", "__n", "__s")
 
 
 def merge_descriptions(slides: DataFrame, described: DataFrame) -> DataFrame:

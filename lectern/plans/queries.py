@@ -86,7 +86,7 @@ def similarity_threshold(spark: SparkSession, d: str) -> DataFrame:
 
 @query(PAIRS + ", c AS (SELECT qid, page, score, exp(10 * score) / sum(exp(10 * score)) OVER (PARTITION BY qid) AS confidence FROM s) SELECT qid, page, round(confidence, 6) AS confidence FROM c QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, page) <= 10")
 def softmax_confidence(spark: SparkSession, d: str) -> DataFrame:
-    return R.top_k(R.confidence(scored(spark, d)), "qid", "score", "page", 10).select("qid", "page", r6("confidence").alias("confidence"))
+    return R.confidence(scored(spark, d), 10).select("qid", "page", r6("confidence").alias("confidence"))
 
 
 @query(f"WITH e AS ({EMB}) SELECT q.vec_id AS qid, p.vec_id AS page, round(CASE WHEN length(d.text) < 10 THEN list_cosine_similarity(q.emb, p.emb) ELSE 0.4 * list_cosine_similarity(q.emb, p.emb) + 0.6 * list_cosine_similarity(q.emb, list_reverse(p.emb)) END, 6) AS score FROM e q, e p, documents d WHERE q.vec_id < 10 AND p.vec_id >= 10 AND d.doc_id = p.vec_id")
