@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from .ann import nearest
 from .bpe import encode_documents
 from .common import table
-from .lines import drop_repeated_lines
+from .lines import LEAST_CHARS, LEAST_WORDS, drop_repeated_lines
 from .minhash import near_duplicates
 from .mixing import mix
+from .oracles import GROUPS, NEAREST, REPEATS, TARGETS, line_sql, pii_sql, quality_sql, url_sql
 from .pii import BASE, find_personal_data
 from .quality import quality_report
 from .substring import remove_repeats
@@ -79,6 +80,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def ann_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3 with scores that don't depend on the order of additions: on small tables windows meet every row."""
+    return op3_ann(spark, sf_dir).withColumn("score", F.round("score", 6))
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_pii(spark, sf_dir).drop("spans")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_url_filter": op2_url_filter,
@@ -90,6 +104,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    # what SQL can say of three more
+    "ann_rounded": ann_rounded,
+    "pii_base": pii_base,
+    "mixing_targets": mixing_targets,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_url_filter": url_sql(),
+    "op5_substring": REPEATS,
+    "op7_line_dedup": line_sql(LEAST_WORDS, LEAST_CHARS),
+    "op8_minhash": GROUPS,
+    "op10_quality": quality_sql(),
+    "ann_rounded": NEAREST,
+    "pii_base": pii_sql(),
+    "mixing_targets": TARGETS,
+}
