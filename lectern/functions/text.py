@@ -69,11 +69,35 @@ def apply(c: Column, steps: Steps) -> Column:
     return c
 
 
+#: Characters of words, as the Unicode-aware word boundary has them.
+IN_WORD = r"\p{L}\p{M}\p{Nd}\p{Pc}"
+_FROM, _TO = rf"(^|[^{IN_WORD}])", rf"($|[^{IN_WORD}])"
+#: Patterns with look-arounds or boundaries as RE2 patterns that take the neighbours and give them back. Neighbours that two
+#: matches share need a second pass.
+RE2: dict[str, tuple[str, str, int]] = {
+    r"\b[A-Za-z]\b": (f"{_FROM}[A-Za-z]{_TO}", r"\1 \2", 2),
+    r"\b[b-hj-z]\b": (f"{_FROM}[b-hj-z]{_TO}", r"\1 \2", 2),
+    r"\bn(?=[A-Z])": (f"{_FROM}n([A-Z])", "\\1 \u2022 \\2", 1),
+    r"\bl(?=[A-Z])": (f"{_FROM}l([A-Z])", "\\1 \u2022 \\2", 1),
+    r"(?<=[a-z0-9\)])(?=[A-Z])": (r"([a-z0-9\)])([A-Z])", r"\1 \2", 1),
+    r"(?<=[.:;,])(?=[A-Za-z])": (r"([.:;,])([A-Za-z])", r"\1 \2", 1),
+    r"\bSource:\s*": (rf"{_FROM}Source:\s*", r"\1 Source: ", 1),
+    r"[^\w\s.,:;()\-/%]": (rf"[^{IN_WORD}{SPACE}.,:;()\-/%]", "", 1),
+    r"\b\d+\b": (rf"{_FROM}\p{{Nd}}+{_TO}", r"\1\2", 2),
+    r"(\w)-\n(\w)": (rf"([{IN_WORD}])-\n([{IN_WORD}])", r"\1\2", 1),
+    r"(?<!\n)\n(?!\n)": (r"(^|[^\n])\n($|[^\n])", r"\1 \2", 2),
+}
+
+
 def sql(expression: str, steps: Steps) -> str:
-    """The steps as a DuckDB expression. Look-arounds and back-references have none."""
+    """The steps as a DuckDB expression. Back-references have none."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     for kind, *a in steps:
-        if kind in ("sub", "lines"):
+        if kind == "sub" and a[0] in RE2:
+            pattern, to, times = RE2[a[0]]
+            for _ in range(times):
+                expression = f"regexp_replace({expression}, {quote(pattern)}, {quote(to)}, 'g')"
+        elif kind in ("sub", "lines"):
             if re.search(r"\(\?[=!<]|\\[1-9]", a[0]):
                 raise ValueError(f"no such pattern in RE2: {a[0]}")
             expression = f"regexp_replace({expression}, {quote(('(?m)' if kind == 'lines' else '') + a[0])}, {quote(a[1])}, 'g')"

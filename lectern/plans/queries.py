@@ -1,6 +1,6 @@
 """The registered queries: every operator over the driver's tables, with DuckDB SQL where SQL can say the same.
 
-Stand-ins: vectors below 10 are questions and the rest pages; ``documents`` are slides, ``benchmark`` items questions,
+Stand-ins: vectors whose number is divisible by 50 are questions and the rest pages; ``documents`` are slides, ``benchmark`` items questions,
 ``events`` recognised items, ``part`` boxes and image sizes.
 """
 
@@ -16,18 +16,19 @@ from ..functions import scoring as S
 from ..functions import splitting as P
 from ..functions import text as T
 from ..functions import vectors as V
+from ..operators import index as I
 from ..operators import layout as L
 from ..operators import phrases as K
 from ..operators import ranking as R
 from ..operators import records as C
 from ..operators import tables as J
-from .models import title_ratio
+from .models import letters26, title_ratio
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 EMB = "SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS emb FROM embeddings"
-PAIRS = f"WITH e AS ({EMB}), s AS (SELECT q.vec_id AS qid, p.vec_id AS page, list_cosine_similarity(q.emb, p.emb) AS score FROM e q, e p WHERE q.vec_id < 10 AND p.vec_id >= 10)"
+PAIRS = f"WITH e AS ({EMB}), s AS (SELECT q.vec_id AS qid, p.vec_id AS page, list_cosine_similarity(q.emb, p.emb) AS score FROM e q, e p WHERE q.vec_id % 50 = 0 AND p.vec_id % 50 <> 0)"
 RANKED = PAIRS + ", r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, page) AS rank FROM s)"
 
 
@@ -54,11 +55,11 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    return vectors(spark, d).where("vec_id < 10").select(F.col("vec_id").alias("qid"), F.col("emb").alias("q_emb"))
+    return vectors(spark, d).where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("emb").alias("q_emb"))
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    return vectors(spark, d).where("vec_id >= 10").select(F.col("vec_id").alias("page"), "emb")
+    return vectors(spark, d).where("vec_id % 50 <> 0").select(F.col("vec_id").alias("page"), "emb")
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +90,7 @@ def softmax_confidence(spark: SparkSession, d: str) -> DataFrame:
     return R.confidence(scored(spark, d), 10).select("qid", "page", r6("confidence").alias("confidence"))
 
 
-@query(f"WITH e AS ({EMB}) SELECT q.vec_id AS qid, p.vec_id AS page, round(CASE WHEN length(d.text) < 10 THEN list_cosine_similarity(q.emb, p.emb) ELSE 0.4 * list_cosine_similarity(q.emb, p.emb) + 0.6 * list_cosine_similarity(q.emb, list_reverse(p.emb)) END, 6) AS score FROM e q, e p, documents d WHERE q.vec_id < 10 AND p.vec_id >= 10 AND d.doc_id = p.vec_id")
+@query(f"WITH e AS ({EMB}) SELECT q.vec_id AS qid, p.vec_id AS page, round(CASE WHEN length(d.text) < 10 THEN list_cosine_similarity(q.emb, p.emb) ELSE 0.4 * list_cosine_similarity(q.emb, p.emb) + 0.6 * list_cosine_similarity(q.emb, list_reverse(p.emb)) END, 6) AS score FROM e q, e p, documents d WHERE q.vec_id % 50 = 0 AND p.vec_id % 50 <> 0 AND d.doc_id = p.vec_id")
 def blend_scores(spark: SparkSession, d: str) -> DataFrame:
     shown = read(spark, d, "documents").select(F.col("doc_id").alias("page"), "text")
     met = R.pair_up(questions(spark, d), pages(spark, d)).join(shown, "page")
@@ -131,16 +132,16 @@ def rrf(spark: SparkSession, d: str) -> DataFrame:
     return R.reciprocal_rank_fusion(lists(spark, d)).select("page", F.round("fused", 8).alias("fused"), "text")
 
 
-@query(FUSED + " SELECT page, round(sum((1.0 / (1 + list_id)) / (60 + rank)), 8) AS fused, arg_min(text, (list_id, rank)) AS text FROM l WHERE list_id < 7 GROUP BY page")
+@query(FUSED + " SELECT page, round(sum((1.0 / (1 + list_id)) / (60 + rank)), 8) AS fused, arg_min(text, (list_id, rank)) AS text FROM l GROUP BY page")
 def weighted_rrf(spark: SparkSession, d: str) -> DataFrame:
-    weights = spark.range(7).select(F.col("id").alias("list_id"), (1.0 / (1 + F.col("id"))).alias("weight"))
+    weights = questions(spark, d).select(F.col("qid").alias("list_id"), (1.0 / (1 + F.col("qid"))).alias("weight"))
     return R.reciprocal_rank_fusion(lists(spark, d), weights=weights).select("page", F.round("fused", 8).alias("fused"), "text")
 
 
-@query(f"WITH e AS ({EMB}), p AS (SELECT range AS page FROM range(25)), c AS (SELECT vec_id % 20 AS page, vec_id AS chunk_idx, 'chunk ' || vec_id AS text, emb FROM e WHERE vec_id >= 10), m AS (SELECT q.vec_id AS qid, p.page, list_cosine_similarity(q.emb, c.emb) AS sim, c.text, c.chunk_idx FROM e q, p LEFT JOIN c ON c.page = p.page WHERE q.vec_id < 10) SELECT qid, page, round(coalesce(sim, -1), 6) AS best_sim, coalesce(text, '') AS best_text FROM m QUALIFY row_number() OVER (PARTITION BY qid, page ORDER BY sim DESC, chunk_idx) = 1")
+@query(f"WITH e AS ({EMB}), p AS (SELECT DISTINCT vec_id // 20 + 3 AS page FROM e), c AS (SELECT vec_id // 20 AS page, vec_id AS chunk_idx, 'chunk ' || vec_id AS text, emb FROM e WHERE vec_id % 50 <> 0), m AS (SELECT q.vec_id AS qid, p.page, list_cosine_similarity(q.emb, c.emb) AS sim, c.text, c.chunk_idx FROM e q, p LEFT JOIN c ON c.page = p.page WHERE q.vec_id % 50 = 0) SELECT qid, page, round(coalesce(sim, -1), 6) AS best_sim, coalesce(text, '') AS best_text FROM m QUALIFY row_number() OVER (PARTITION BY qid, page ORDER BY sim DESC, chunk_idx) = 1")
 def best_chunk(spark: SparkSession, d: str) -> DataFrame:
-    chunks = pages(spark, d).select((F.col("page") % 20).alias("page"), F.col("page").alias("chunk_idx"), F.concat(F.lit("chunk "), "page").alias("text"), F.col("emb").alias("chunk_emb"))
-    met = R.pair_up(questions(spark, d), spark.range(25).withColumnRenamed("id", "page"))
+    chunks = pages(spark, d).select(F.floor(F.col("page") / 20).alias("page"), F.col("page").alias("chunk_idx"), F.concat(F.lit("chunk "), "page").alias("text"), F.col("emb").alias("chunk_emb"))
+    met = R.pair_up(questions(spark, d), vectors(spark, d).select((F.floor(F.col("vec_id") / 20) + 3).alias("page")).distinct())
     return R.best_chunks(met, chunks).select("qid", "page", r6("best_sim").alias("best_sim"), "best_text")
 
 
@@ -186,9 +187,9 @@ def keywords(spark: SparkSession, d: str) -> DataFrame:
     return asked(spark, d).select("qid", F.array_join(T.question_keywords(F.col("question")), " ").alias("keywords"), F.size(T.overlap_tokens(F.col("question"))).alias("n_tokens"))
 
 
-TWO_STAGE = f"""WITH e AS ({EMB}), q AS (SELECT a.qid, question, emb, {', '.join(f'{_weight_sql(f)} AS w_{f}' for f in S.WEIGHTS)} FROM {ASKED} a JOIN e ON e.vec_id = a.qid WHERE a.qid < 10),
-p AS (SELECT doc_id AS page, text, emb FROM documents JOIN e ON vec_id = doc_id WHERE vec_id >= 10),
-c AS (SELECT vec_id AS chunk_idx, 10 + vec_id % 97 AS page, 'chunk ' || vec_id AS text, emb FROM e WHERE vec_id >= 10),
+TWO_STAGE = f"""WITH e AS ({EMB}), q AS (SELECT a.qid, question, emb, {', '.join(f'{_weight_sql(f)} AS w_{f}' for f in S.WEIGHTS)} FROM {ASKED} a JOIN e ON e.vec_id = a.qid),
+p AS (SELECT doc_id AS page, text, emb FROM documents JOIN e ON vec_id = doc_id),
+c AS (SELECT vec_id AS chunk_idx, 10 + vec_id % 97 AS page, 'chunk ' || vec_id AS text, emb FROM e),
 s AS (SELECT q.qid, p.page, list_cosine_similarity(q.emb, p.emb) AS a, list_cosine_similarity(q.emb, list_reverse(p.emb)) AS b FROM q, p),
 k AS (SELECT s.*, q.* EXCLUDE (qid), w_title * a + w_body * b - w_imgtext * a + w_desc * a AS coarse FROM s JOIN q USING (qid) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY w_title * a + w_body * b - w_imgtext * a + w_desc * a DESC, page) <= 30),
 n AS (SELECT qid, page, max(list_cosine_similarity(k.emb, c.emb)) AS best FROM k JOIN c USING (page) GROUP BY ALL),
@@ -199,20 +200,21 @@ SELECT qid, page, round(w_chunk * best + w_body * b + w_title * a - w_imgtext *
 @query(TWO_STAGE)
 def two_stage_retrieve(spark: SparkSession, d: str) -> DataFrame:
     e = vectors(spark, d)
-    q = asked(spark, d).join(e.where("vec_id < 10").select(F.col("vec_id").alias("qid"), F.col("emb").alias("q_emb")), "qid")
+    q = asked(spark, d).join(e.select(F.col("vec_id").alias("qid"), F.col("emb").alias("q_emb")), "qid")
+    every = e.select(F.col("vec_id").alias("page"), "emb")
     flipped = F.transform("emb", lambda x: -x)
-    p = read(spark, d, "documents").select(F.col("doc_id").alias("page"), "text").join(pages(spark, d), "page")
+    p = read(spark, d, "documents").select(F.col("doc_id").alias("page"), "text").join(every, "page")
     p = p.select("page", F.lit("").alias("title"), F.col("text").alias("body"), F.lit("").alias("imgtext"), F.lit("").alias("desc"), F.col("emb").alias("title_emb"), F.reverse("emb").alias("body_emb"), flipped.alias("imgtext_emb"), F.col("emb").alias("desc_emb"))
-    chunks = pages(spark, d).select(F.col("page").alias("chunk_idx"), (10 + F.col("page") % 97).alias("page"), F.concat(F.lit("chunk "), "page").alias("text"), F.col("emb").alias("chunk_emb"))
+    chunks = every.select(F.col("page").alias("chunk_idx"), (10 + F.col("page") % 97).alias("page"), F.concat(F.lit("chunk "), "page").alias("text"), F.col("emb").alias("chunk_emb"))
     return R.two_stage(q, p, chunks).select("qid", "page", r6("final_score").alias("final_score"), r6("coarse_score").alias("coarse_score"), r6("best_sim").alias("best_sim"))
 
 
-SIMS = f"WITH RECURSIVE e AS ({EMB}), s AS (SELECT q.vec_id AS qid, p.vec_id AS ord, list_cosine_similarity(q.emb, p.emb) AS sim FROM e q, e p WHERE q.vec_id BETWEEN 20 AND 29 AND p.vec_id < 18)"
+SIMS = f"WITH RECURSIVE e AS ({EMB}), s AS (SELECT q.vec_id AS qid, p.vec_id AS ord, list_cosine_similarity(q.emb, p.emb) AS sim FROM e q, e p WHERE q.vec_id >= 18 AND p.vec_id < 18)"
 
 
 def sims(spark: SparkSession, d: str) -> DataFrame:
     e = vectors(spark, d)
-    q = e.where("vec_id BETWEEN 20 AND 29").select(F.col("vec_id").alias("qid"), F.col("emb").alias("q_emb"))
+    q = e.where("vec_id >= 18").select(F.col("vec_id").alias("qid"), F.col("emb").alias("q_emb"))
     p = e.where("vec_id < 18").select(F.col("vec_id").alias("ord"), "emb")
     return R.pair_up(q, p).select("qid", "ord", V.cosine(F.col("q_emb"), F.col("emb")).alias("sim"))
 
@@ -229,8 +231,8 @@ def intent_plain(spark: SparkSession, d: str) -> DataFrame:
     return R.intent_weights(sims(spark, d), "plain").select("qid", "ord", r6("weight").alias("weight"))
 
 
-@query(f"""WITH e AS ({EMB}), t AS (SELECT vec_id // 12 AS slide_id, (vec_id % 12)::VARCHAR AS qtype, CASE vec_id % 7 WHEN 0 THEN NULL WHEN 1 THEN ' N/A ' WHEN 2 THEN '' ELSE 't' || vec_id END AS text, emb FROM e WHERE vec_id >= 30),
-u AS (SELECT * FROM t WHERE lower(trim(text)) NOT IN ('', 'none', 'null', 'n/a')), q AS (SELECT vec_id AS qid, emb FROM e WHERE vec_id < 3),
+@query(f"""WITH e AS ({EMB}), t AS (SELECT vec_id // 12 AS slide_id, (vec_id % 12)::VARCHAR AS qtype, CASE vec_id % 7 WHEN 0 THEN NULL WHEN 1 THEN ' N/A ' WHEN 2 THEN '' ELSE 't' || vec_id END AS text, emb FROM e WHERE vec_id % 50 <> 0),
+u AS (SELECT * FROM t WHERE lower(trim(text)) NOT IN ('', 'none', 'null', 'n/a')), q AS (SELECT vec_id AS qid, emb FROM e WHERE vec_id % 50 = 0),
 m AS (SELECT qid, slide_id, (qtype::INT + 1) / 78.0::DOUBLE AS w, list_cosine_similarity(q.emb, u.emb) AS sim FROM q, u WHERE qtype::INT < 9),
 a AS (SELECT qid, slide_id, sum(w * sim) AS raw, sum(w) AS used, count(*) AS n FROM m GROUP BY ALL),
 z AS (SELECT q.qid, s.slide_id, coalesce(raw, 0) AS raw, coalesce(used, 0) AS used, coalesce(n, 0) AS n FROM q, (SELECT DISTINCT slide_id FROM t) s LEFT JOIN a ON a.qid = q.qid AND a.slide_id = s.slide_id)
@@ -239,9 +241,9 @@ def weighted_qadesc_rank(spark: SparkSession, d: str) -> DataFrame:
     e = vectors(spark, d)
     v = F.col("vec_id")
     text = F.when(v % 7 == 0, None).when(v % 7 == 1, " N/A ").when(v % 7 == 2, "").otherwise(F.concat(F.lit("t"), v))
-    t = e.where("vec_id >= 30").select(F.floor(v / 12).alias("slide_id"), (v % 12).cast("string").alias("qtype"), text.alias("text"), "emb")
-    w = spark.range(3).select(F.col("id").alias("qid"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("i")).select("qid", F.col("i").cast("string").alias("qtype"), ((F.col("i") + 1) / 78).alias("weight"))
-    q = e.where("vec_id < 3").select(v.alias("qid"), F.col("emb").alias("q_emb"))
+    t = e.where("vec_id % 50 <> 0").select(F.floor(v / 12).alias("slide_id"), (v % 12).cast("string").alias("qtype"), text.alias("text"), "emb")
+    w = questions(spark, d).select("qid", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("i")).select("qid", F.col("i").cast("string").alias("qtype"), ((F.col("i") + 1) / 78).alias("weight"))
+    q = questions(spark, d)
     ranked = R.rank_by_descriptions(t.select("slide_id").distinct(), t, w, q, tuple(map(str, range(9))))
     return ranked.select("qid", "slide_id", r6("score").alias("score"), r6("raw_score").alias("raw_score"), r6("used_weight").alias("used_weight"), F.size("matched").alias("n_matched"))
 
@@ -273,8 +275,8 @@ def drop_subsumed_words(spark: SparkSession, d: str) -> DataFrame:
 # ---- text
 
 PREFIX = "nPreliminaries • see http:// arxiv .org/abs  “cat” – it didn't , they cant ( / ) wait... - ok\n- item -- one\n 12 \nAI Weekly Neur IPS Lets\tgo 表a b Source:  A title, NIPS. 2017\nend 7\nself-attention is good is good now\n"
-#: Cleaners that RE2 judges otherwise: its word boundaries and classes know ASCII only.
-ASCII_ONLY = {"remove_isolated_v1", "remove_isolated_v2", "clean_page_v1", "remove_noise", "slide_artifacts", "source_noise"}
+#: Cleaners that RE2 has no pattern for.
+BACK_REFERENCES = {"clean_page_v1", "clean_page_v2", "dedupe_phrases"}
 
 
 def _cleaner(name: str) -> Query:
@@ -286,7 +288,7 @@ def _cleaner(name: str) -> Query:
 
 for _name, _steps in T.CLEANERS.items():
     QUERIES[f"text_{_name}"] = _cleaner(_name)
-    if _name not in ASCII_ONLY:
+    if _name not in BACK_REFERENCES:
         try:
             _quoted = PREFIX.replace("'", "''")
             ORACLES[f"text_{_name}"] = f"SELECT doc_id, {T.sql(f'''('{_quoted}' || text)''', _steps)} AS cleaned FROM documents"
@@ -315,14 +317,14 @@ def urls(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", T.first_url(F.concat(F.lit("at "), "url", F.lit(" x"))).alias("url"), T.domain(F.col("url")).alias("domain"))
 
 
-@query(r"SELECT doc_id, length(regexp_replace(substr(text, 1, doc_id % 20), '\s+', '', 'g')) < 8 AS low FROM documents")
+@query(r"SELECT doc_id, length(regexp_replace(text, '\s+', '', 'g')) < 8 AS low FROM documents")
 def low_value_pages(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", T.is_low_value(F.expr("substring(text, 1, cast(doc_id % 20 as int))")).alias("low"))
+    return read(spark, d, "documents").select("doc_id", T.is_low_value(F.col("text")).alias("low"))
 
 
-@query(r"WITH t AS (SELECT doc_id, regexp_replace(CASE WHEN doc_id % 3 = 0 THEN regexp_replace(text, '\p{L}', '1', 'g') ELSE substr(text, 1, doc_id % 20) END, '^\s+|\s+$', '', 'g') AS t FROM documents) SELECT doc_id, length(t) < 8 OR NOT regexp_matches(t, '\p{L}') AS noise FROM t")
+@query(r"WITH t AS (SELECT doc_id, regexp_replace(CASE WHEN doc_id % 3 = 0 THEN regexp_replace(text, '\p{L}', '1', 'g') ELSE text END, '^\s+|\s+$', '', 'g') AS t FROM documents) SELECT doc_id, length(t) < 8 OR NOT regexp_matches(t, '\p{L}') AS noise FROM t")
 def noise_filter(spark: SparkSession, d: str) -> DataFrame:
-    t = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("text", r"\p{L}", "1")).otherwise(F.expr("substring(text, 1, cast(doc_id % 20 as int))"))
+    t = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("text", r"\p{L}", "1")).otherwise(F.col("text"))
     return read(spark, d, "documents").select("doc_id", T.is_noise(t).alias("noise"))
 
 
@@ -332,9 +334,13 @@ def garbage_lines(spark: SparkSession, d: str) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.count(F.when(T.is_garbage_line(F.col("t")), 1)).alias("garbage"))
 
 
+#: Parts in one text, as the SQL gives them.
+MARK = "\x01"
+
+
 def _split(f: Callable[[Column], Column]) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return read(spark, d, "documents").select("doc_id", f(F.col("text")).alias("parts"))
+        return read(spark, d, "documents").select("doc_id", F.array_join(f(F.col("text")), MARK).alias("parts"))
 
     return run
 
@@ -347,6 +353,57 @@ QUERIES |= {
 }
 
 
+def _strip_sql(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def _collapse_sql(x: str) -> str:
+    return _strip_sql(rf"regexp_replace({x}, '\s+', ' ', 'g')")
+
+
+def _kept_sql(parts: str, clean: Callable[[str], str] = _strip_sql) -> str:
+    return f"list_filter(list_transform({parts}, lambda x: {clean('x')}), lambda x: x <> '')"
+
+
+def _cut_sql(x: str, after: str, before: str) -> str:
+    """Parts at white space between two characters. Neither can be the other's end, so no match hides the next."""
+    return rf"string_split(regexp_replace({x}, '({after})\s+({before})', '\1' || chr(1) || '\2', 'g'), chr(1))"
+
+
+def _pack_sql(units: str, weight: str, most: int, gap: int = 0) -> str:
+    """A fold over texts: packs so far, by chr(1); the last one grows while it stays within ``most``."""
+    of = lambda x: weight.format(x)
+    last = "string_split(a, chr(1))[-1]"
+    return f"CASE WHEN len({units}) = 0 THEN '' ELSE list_reduce({units}, lambda a, x: a || CASE WHEN {of(last)} + {gap} + {of('x')} <= {most} THEN ' ' ELSE chr(1) END || x) END"
+
+
+LINES = _kept_sql("string_split(text, chr(10))", _collapse_sql)
+PAPER = _kept_sql(_cut_sql("text", "[.!?]", "[A-Z0-9]"))
+SENTENCES = _kept_sql(_cut_sql(f"replace(replace(replace({_collapse_sql('text')}, 'e.g.', 'eg'), 'i.e.', 'ie'), 'etc.', 'etc')", "[.!?]", r"[A-Z0-9(\[]"))
+IN_WORDS = r"len(regexp_extract_all({}, '\S+'))"
+GARBAGE = r"(length({0}) < 6 OR len(regexp_extract_all({0}, '\p{{L}}')) / greatest(length({0}), 1) < 0.35 OR NOT regexp_matches({0}, '[A-Za-z]{{3,}}'))"
+LOCAL = rf"string_split(regexp_replace(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), '(^|[^{T.IN_WORD}])\d+\.' || chr(1), '\1' || chr(1), 'g'), chr(1))"
+
+
+def _parts_sql(parts: str) -> str:
+    return f"SELECT doc_id, array_to_string({parts}, chr(1)) AS parts FROM documents"
+
+
+ORACLES |= {
+    "split_lines": _parts_sql(LINES),
+    "paper_sentences": _parts_sql(PAPER),
+    "split_sentences": _parts_sql(SENTENCES),
+    "two_sentence_chunks": rf"WITH s AS (SELECT doc_id, {SENTENCES} AS s FROM documents) SELECT doc_id, array_to_string(list_filter(list_transform(range(1, len(s) + 1, 2), lambda i: array_to_string(s[i:i + 1], ' ')), lambda x: length(x) >= 8 AND regexp_matches(x, '\p{{L}}')), chr(1)) AS parts FROM s",
+    "split_bullets": f"WITH t AS (SELECT doc_id, replace(replace(text, ', ', ' • '), '•', chr(10) || '• ') AS text FROM documents), l AS (SELECT doc_id, {LINES} AS l FROM t) SELECT doc_id, array_to_string({_kept_sql('l', lambda x: _collapse_sql(f"""regexp_replace({x}, '^\\s*[•\\-]\\s*', '')"""))}, chr(1)) AS parts FROM l",
+    "split_local_units": f"WITH t AS (SELECT doc_id, {_collapse_sql('text')} AS t FROM documents), p AS (SELECT doc_id, t, list_filter({_kept_sql(LOCAL)}, lambda x: {IN_WORDS.format('x')} >= 3) AS p FROM t) SELECT doc_id, CASE WHEN len(p) = 0 THEN t ELSE array_to_string(p, chr(1)) END AS parts FROM p",
+    "pack_words": f"WITH u AS (SELECT doc_id, {LINES} AS u FROM documents) SELECT doc_id, {_pack_sql('u', IN_WORDS, 40)} AS parts FROM u",
+    "pack_chars": f"WITH u AS (SELECT doc_id, {PAPER} AS u FROM documents), k AS (SELECT doc_id, string_split({_pack_sql('u', 'length({})', 500, 1)}, chr(1)) AS k FROM u) SELECT doc_id, list_reduce(k, lambda a, x: a || CASE WHEN length(x) < 120 THEN ' ' ELSE chr(1) END || x) AS parts FROM k",
+    "pack_ocr_lines": f"WITH u AS (SELECT doc_id, list_filter({_kept_sql('string_split(text, chr(10))')}, lambda x: NOT {GARBAGE.format('x')}) AS u FROM documents) SELECT doc_id, {_pack_sql('u', IN_WORDS, 28)} AS parts FROM u",
+    "pack_ocr_by_length": f"WITH u AS (SELECT doc_id, list_filter({LINES}, lambda x: length(x) >= 8) AS u FROM documents) SELECT doc_id, {_pack_sql('u', IN_WORDS, 25)} AS parts FROM u",
+    "merge_broken_titles": rf"SELECT doc_id, regexp_replace(array_to_string({_kept_sql("string_split('Deep' || chr(10) || '- Learning' || chr(10) || text, chr(10))")}, chr(10)), '\n-+[^\S\n]*', ' ', 'g') AS title FROM documents",
+}
+
+
 # ---- records and references
 
 
@@ -402,10 +459,21 @@ def join_positional(spark: SparkSession, d: str) -> DataFrame:
     return J.join_by_position(read(spark, d, "orders").select("o_orderkey"), read(spark, d, "documents").select("doc_id"), "o_orderkey", "doc_id")
 
 
-@query("SELECT doc_id, lang, text AS title, text AS body FROM documents WHERE doc_id < 5")
+@query("SELECT doc_id, lang, text AS title, text AS body FROM documents")
 def drop_columns(spark: SparkSession, d: str) -> DataFrame:
     s = read(spark, d, "documents").select("doc_id", "lang", F.col("text").alias("title"), F.col("text").alias("body"), *[F.lit("").alias(c) for c in J.DROPPED])
-    return J.first_pages(s.drop(*J.DROPPED), "doc_id")
+    return s.drop(*J.DROPPED)
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id < 5")
+def first_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The limit is the feature: a reader that takes the first five pages."""
+    return J.first_pages(read(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+
+
+@query("SELECT item_id AS qnum, text AS question FROM benchmark WHERE item_id < 200")
+def first_questions(spark: SparkSession, d: str) -> DataFrame:
+    return I.first_questions(read(spark, d, "benchmark").select(F.col("item_id").alias("qnum"), F.col("text").alias("question")))
 
 
 @query("SELECT text, min(doc_id) AS first_pos, arg_max(source, doc_id) AS source FROM documents GROUP BY text")
@@ -473,6 +541,86 @@ def tile_coords(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select(F.col("p_partkey").alias("k"), F.array_join(F.transform(V.tile_starts(n, p, F.floor(p * 0.8).cast("int")), lambda x: x.cast("string")), ",").alias("starts"))
 
 
-@query()
+def _starts_sql(n: str) -> str:
+    p = f"floor({n} * 0.4)::INT"
+    grid = f"range(0, greatest({n} - {p} + 1, 1), floor({p} * 0.8)::INT)"
+    return f"(len({grid}) + ({grid}[-1] <> greatest({n} - {p}, 0))::INT)"
+
+
+@query(f"SELECT p_partkey AS k, ({_starts_sql('(100 + p_size)')} * {_starts_sql('(200 + p_size)')})::INT AS n_tiles FROM part")
 def tile_grid(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select(F.col("p_partkey").alias("k"), F.size(L.tiles(100 + F.col("p_size"), 200 + F.col("p_size"))).alias("n_tiles"))
+
+
+# ---- index, keywords, references
+
+
+LETTERS = "list_transform(range(97, 123), lambda c: len(regexp_extract_all(lower({}), chr(c::INT)))::DOUBLE)"
+#: A vector as one number that every component moves.
+DIGEST = "round(list_sum(list_transform(range(1, 27), lambda i: i * {0}[i])) / greatest(sqrt(list_sum(list_transform({0}, lambda x: x * x))), 1e-12), 6)"
+
+
+def _digest(emb: str) -> Column:
+    return r6(F.aggregate(F.transform(emb, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x))
+
+
+def indexed(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as slides; every third has no recognised text, every fifth no description."""
+    t = F.col("text")
+    return read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("slide_key"), F.col("lang").alias("title"), t.alias("body"), F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("imgtext"), F.when(F.col("doc_id") % 5 > 0, t).otherwise(" \n").alias("desc"))
+
+
+@query(f"WITH t AS (SELECT doc_id + 1 AS page, {_collapse_sql('lang')} AS title, {_collapse_sql('text')} AS body, CASE WHEN doc_id % 3 > 0 THEN {_collapse_sql('source')} ELSE '' END AS imgtext, CASE WHEN doc_id % 5 > 0 THEN {_collapse_sql('text')} ELSE '' END AS descr FROM documents), v AS (SELECT *, {', '.join(f"""{LETTERS.format(f"CASE WHEN coalesce({f}, '') = '' THEN '[EMPTY]' ELSE {f} END")} AS v_{f}""" for f in ('title', 'body', 'imgtext', 'descr'))} FROM t) SELECT page, length(body) AS body_chars, {', '.join(f'{DIGEST.format(f"v_{f}")} AS {f}_digest' for f in ('title', 'body', 'imgtext', 'descr'))} FROM v")
+def slide_index_pages(spark: SparkSession, d: str) -> DataFrame:
+    made = I.index_pages(indexed(spark, d), letters26)
+    return made.select("page", F.length("body").cast("long").alias("body_chars"), _digest("title_emb").alias("title_digest"), _digest("body_emb").alias("body_digest"), _digest("imgtext_emb").alias("imgtext_digest"), _digest("desc_emb").alias("descr_digest"))
+
+
+@query(f"WITH t AS (SELECT doc_id + 1 AS page, {_collapse_sql('text')} AS t, CASE WHEN doc_id % 3 > 0 THEN coalesce({_collapse_sql('source')}, '') ELSE '' END AS i FROM documents), p AS (SELECT page, t, i, list_filter({_kept_sql(LOCAL)}, lambda x: {IN_WORDS.format('x')} >= 3) AS p FROM t), u AS (SELECT page, list_concat(CASE WHEN t = '' THEN [] WHEN len(p) = 0 THEN [t] ELSE p END, CASE WHEN i = '' THEN [] ELSE [i] END) AS u FROM p), c AS (SELECT page, unnest(u) AS text, generate_subscripts(u, 1) - 1 AS chunk_idx FROM u), v AS (SELECT *, {LETTERS.format('text')} AS v FROM c) SELECT page, chunk_idx::INT AS chunk_idx, text, {DIGEST.format('v')} AS digest FROM v")
+def slide_index_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return I.index_chunks(indexed(spark, d), letters26).select("page", "chunk_idx", "text", _digest("chunk_emb").alias("digest"))
+
+
+@query(f"WITH t AS (SELECT doc_id AS slide_id, unnest(['what', 'why', 'how']) AS qtype, unnest([CASE WHEN doc_id % 4 = 0 THEN ' N/A ' ELSE text END, source, lang]) AS text FROM documents), u AS (SELECT slide_id, qtype, {_strip_sql('text')} AS text FROM t WHERE qtype <> 'how' AND lower({_strip_sql('text')}) NOT IN ('', 'none', 'null', 'n/a')), v AS (SELECT *, {LETTERS.format('text')} AS v FROM u) SELECT slide_id, qtype, length(text) AS chars, {DIGEST.format('v')} AS digest FROM v")
+def description_vectors(spark: SparkSession, d: str) -> DataFrame:
+    told = F.create_map(F.lit("what"), F.when(F.col("doc_id") % 4 == 0, " N/A ").otherwise(F.col("text")), F.lit("why"), F.col("source"), F.lit("how"), F.col("lang"))
+    made = I.description_vectors(read(spark, d, "documents").select(F.col("doc_id").alias("slide_id"), told.alias("qa_descs")), ("what", "why"), letters26)
+    return made.select("slide_id", "qtype", F.length("text").cast("long").alias("chars"), _digest("emb").alias("digest"))
+
+
+def parsed(spark: SparkSession, d: str) -> DataFrame:
+    """Questions with a stand-in parse by place and length: every third word a noun, the next its verb; pairs are chunks."""
+    w = F.split("text", " ")
+    token = lambda t, i: F.struct(i.alias("i"), t.alias("text"), F.lower(t).alias("lemma"), F.when(i % 3 == 0, "NOUN").when(i % 3 == 1, "VERB").otherwise("ADJ").alias("pos"), F.when(i % 3 == 0, "dobj").otherwise("ROOT").alias("dep"), F.greatest(i - 2, F.lit(0)).alias("head"), (F.length(t) < 4).alias("is_stop"), (~t.rlike("[A-Za-z]")).alias("is_punct"), t.rlike("^[0-9]+$").alias("like_num"))
+    q = read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"), w.alias("w"))
+    return q.select("qid", "question", F.transform("w", token).alias("tokens"), F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(4)), lambda i: F.struct(i.alias("start"), F.least(i + 2, F.size("w")).alias("end"))).alias("noun_chunks"))
+
+
+@query()
+def semantic_keywords(spark: SparkSession, d: str) -> DataFrame:
+    return I.semantic_keywords(parsed(spark, d), letters26).select("qid", F.array_join("keywords", "|").alias("keywords"))
+
+
+@query()
+def surface_keywords(spark: SparkSession, d: str) -> DataFrame:
+    return parsed(spark, d).select("qid", F.array_join(K.surface_sources(F.col("tokens"), F.col("noun_chunks")), "|").alias("keywords"))
+
+
+@query(SIMS + ", w AS (SELECT qid, ord, round(exp(10 * sim) / sum(exp(10 * sim)) OVER (PARTITION BY qid), 6) AS weight FROM s) SELECT qid, ord, weight, row_number() OVER (PARTITION BY qid ORDER BY weight DESC, ord)::INT AS rank FROM w")
+def intent_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return R.intent_ranking(R.intent_weights(sims(spark, d), "plain").withColumn("weight", r6("weight")))
+
+
+@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'none' WHEN 1 THEN CASE WHEN url LIKE 'http%://%' THEN 'url' ELSE 'raw' END WHEN 2 THEN CASE WHEN coalesce(url, '') <> '' THEN 'url' ELSE 'paper' END WHEN 3 THEN 'paper' ELSE 'structured' END AS type FROM pages")
+def reference_types(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("page_id") % 5
+    ref = F.when(n >= 2, F.struct(F.when(n < 4, "A title").alias("title"), F.when(n == 2, F.col("url")).alias("url")))
+    return read(spark, d, "pages").select("page_id", C.detect_reference_type(ref, F.when(n == 1, F.col("url"))).alias("type"))
+
+
+@query("SELECT doc_id AS slide_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), chr(10)) AS text FROM documents")
+def text_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as blocks, dealt bottom up: reading order puts them back."""
+    line = lambda x, i: F.struct(F.lit(0).alias("type"), F.array(F.struct(F.array(F.struct(x.alias("text"), F.array(F.lit(0.0), i.cast("double")).alias("origin"))).alias("spans"))).alias("lines"))
+    blocks = F.reverse(F.transform(F.split("text", "\n", -1), line))
+    return read(spark, d, "documents").select(F.col("doc_id").alias("slide_id"), L.merged_text(L.text_blocks(blocks)).alias("text"))

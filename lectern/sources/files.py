@@ -8,6 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import clean
+from ..operators.shared import stored
+from ..operators.tables import best_title_match
+
 BLOCKS = "array<struct<type:int,lines:array<struct<spans:array<struct<text:string,origin:array<double>>>>>,image:binary>>"
 ATOM = "array<struct<id:string,title:string,link:array<struct<_title:string,_href:string>>>>"
 
@@ -92,6 +96,49 @@ def atom_entries(feeds: DataFrame) -> DataFrame:
     return e.select("query_title", "ord", F.col("e.id").alias("entry_id"), F.trim(F.regexp_replace("e.title", r"\s+", " ")).alias("entry_title"), pdf.alias("pdf_url"))
 
 
+def search_feeds(titles: DataFrame, fetch: Callable[[str, int], str], most: int = 5) -> DataFrame:
+    """query_title, xml of every distinct title: ``fetch`` asks a service for the feed of a title query of ``most`` entries."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame({"query_title": part["query_title"], "xml": [fetch(f'ti:"{t}"', most) for t in part["query_title"]]})
+
+    return titles.where("query_title IS NOT NULL").select("query_title").distinct().mapInPandas(run, "query_title string, xml string")
+
+
+def chosen_papers(entries: DataFrame, folder: str, least: float = 0.75) -> DataFrame:
+    """The likeliest entry of each title and the path it is stored under; null where it is too unlike or has no file.
+
+    Equal names of different papers are told apart by the entry.
+    """
+    best = best_title_match(entries, least).join(entries.select("query_title", "entry_id", F.col("pdf_url").alias("url")).distinct(), ["query_title", "entry_id"])
+    name = clean(F.col("entry_title"), "safe_filename")
+    shared = best.where("accepted AND url IS NOT NULL").groupBy(name.alias("name")).agg(F.count_distinct("entry_id").alias("n")).where("n > 1")
+    named = best.withColumn("name", name).join(shared, "name", "left")
+    own = F.when(F.col("n").isNull(), F.col("name")).otherwise(F.concat_ws("_", "name", clean(F.col("entry_id"), "safe_filename")))
+    target = F.when(F.col("accepted") & F.col("url").isNotNull(), F.concat(F.lit(folder.rstrip("/") + "/"), own, F.lit(".pdf")))
+    return named.select("query_title", "entry_id", "entry_title", "score", "accepted", "url", target.alias("target"))
+
+
+def find_and_download(titles: DataFrame, folder: str, search: Callable[[str, int], str], fetch: Callable[[str], Iterator[bytes]], put: Callable[[str, Iterator[bytes]], None], least: float = 0.75) -> DataFrame:
+    """Searches every title, stores the files of accepted entries once each, and returns the table of choices.
+
+    The choices are stored before anything is fetched, so a lost executor repeats no search with another answer.
+    """
+    chosen = stored(chosen_papers(atom_entries(search_feeds(titles, search)), folder, least))
+    download(chosen.where("target IS NOT NULL").select("url", "target").dropDuplicates(["target"]), fetch, put)
+    return chosen
+
+
+def write_embeddings(df: DataFrame, path: str) -> None:
+    """The cache of vectors: one row a distinct text (text, emb)."""
+    df.select("text", "emb").dropDuplicates(["text"]).write.mode("overwrite").parquet(path)
+
+
+def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select("text", "emb")
+
+
 def download(urls: DataFrame, fetch: Callable[[str], Iterator[bytes]], put: Callable[[str, Iterator[bytes]], None]) -> None:
     """Side effect a row (url, target): ``fetch`` yields blocks, ``put`` stores them where executors can."""
     urls.select("url", "target").foreachPartition(lambda rows: [put(r["target"], fetch(r["url"])) for r in rows] and None)
