@@ -9,7 +9,8 @@ every shard. Equal windows are found by content instead:
    equal anchors, and neighbouring windows mostly share theirs, so a document has about one anchor in twenty words.
 3. Anchors that only one document has rule out all windows that name them. Only windows of shared anchors go on.
 4. Those windows are grouped by 128-bit hashes of their words; each group keeps its smallest doc_id, by partial
-   aggregates, and every window of a larger doc_id is a repeat. A passage of a third of all documents is one row a task.
+   aggregates, and every window of a larger doc_id is a repeat. A passage of a third of all documents is one row a task
+   there; its places are dealt to many tasks before they meet that doc_id.
 """
 
 from __future__ import annotations
@@ -33,24 +34,39 @@ BROADCAST_ROWS = 1_000_000
 REMEMBER = 200_000
 
 
+#: Windows of more places than this are hot: their rows are dealt to so many parts before they meet their smallest doc_id.
+HOT, SALTS = 2000, 64
+
+
 class _WordHashes(dict):
+    def __init__(self, seed: int) -> None:
+        self.seed = seed
+
     def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
         return h
 
 
-_words = _WordHashes()
-caches["substring"] = _words.clear
+#: Two independent hashes of a word: anchors need one, windows both.
+_words, _others = _WordHashes(0), _WordHashes(1)
+
+
+def _forget() -> None:
+    _words.clear()
+    _others.clear()
+
+
+caches["substring"] = _forget
 
 
 def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()  # bytes split on the six ASCII white-space characters
 
 
-def hashes(found: list[bytes]) -> np.ndarray:
-    if len(_words) > REMEMBER:
-        _words.clear()
-    return np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
+def hashes(found: list[bytes], known: _WordHashes = _words) -> np.ndarray:
+    if len(known) > REMEMBER:
+        known.clear()
+    return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
 
 
 def grams(h: np.ndarray, k: int, by: np.uint64) -> np.ndarray:
@@ -109,19 +125,21 @@ def _windows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """doc_id, text_key, at, w1, w2 of the windows that name a shared anchor (column shared)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("substring")
         for b in batches:
             for i in range(b.num_rows):
-                h = hashes(split_words(b.column(2)[i].as_py()))
+                found = split_words(b.column(2)[i].as_py())
+                h = hashes(found)
                 own = np.array(b.column(3)[i].as_py(), np.int64).view(np.uint64)
                 at = np.flatnonzero(np.isin(anchors(h, length, gram), own))
-                w1, w2 = grams(h, length, MIX)[at].view(np.int64), grams(h, length, MIX2 | np.uint64(1))[at].view(np.int64)
+                w1, w2 = grams(h, length, MIX)[at].view(np.int64), grams(hashes(found, _others), length, MIX)[at].view(np.int64)
                 size = len(at)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(size, b.column(0)[i].as_py())), pa.array(np.full(size, b.column(1)[i].as_py())), pa.array(at.astype(np.int32)), pa.array(w1), pa.array(w2)], names=["doc_id", "text_key", "at", "w1", "w2"])
 
     return small_batches(docs).select("doc_id", "text_key", "text", "shared").mapInArrow(tidied(run), "doc_id long, text_key long, at int, w1 long, w2 long")
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, text_key, whole, starts: documents with windows that a smaller doc_id has too, and where they start.
 
     ``whole`` marks documents whose word sequence a smaller doc_id has as a whole; their starts are null.
@@ -138,19 +156,28 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     hopeful = keyed.join(few(own.select("doc_id", "text_key")), ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"]).join(own, ["doc_id", "text_key"])
     windows = durable(_windows(hopeful, length, gram))
-    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("w1", "w2", "low")
-    again = windows.join(first, ["w1", "w2"]).where("doc_id > low").groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("starts"))
+    first = durable(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("m")).where("low < high").select("w1", "w2", "low", (F.col("m") > hot).alias("hot")))
+    many = first.where("hot").select("w1", "w2", "hot")
+    # at most one hot window in ``hot`` rows; beyond the bound, adaptive execution splits what is skewed
+    salts = SALTS if 0 < many.count() <= BROADCAST_ROWS else 1
+    if salts > 1:
+        windows = windows.join(F.broadcast(many), ["w1", "w2"], "left")
+        windows = windows.withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "at"), F.lit(salts)).cast("int")).otherwise(0)).drop("hot")
+    else:
+        windows = windows.withColumn("part", F.lit(0))
+    dealt = first.withColumn("part", F.explode(F.when(F.col("hot") & F.lit(salts > 1), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
+    again = windows.join(dealt, ["w1", "w2", "part"]).where("doc_id > low").groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("starts"))
     return again.select("doc_id", "text_key", F.lit(False).alias("whole"), "starts").unionByName(whole.select("doc_id", "text_key", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts")))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept (words left, joined by one space), spans (start, end in words) of every row.
 
     A word goes when a window of ``length`` words covers it that also starts in a document of smaller doc_id; windows
     are judged on the input. Null, empty and shorter texts lose nothing. Rows of one doc_id are no reference for each
     other; rows without doc_id are neither cut nor a reference. Extra columns are ignored.
     """
-    marks = durable(repeats(docs, length, gram))
+    marks = durable(repeats(docs, length, gram, hot))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     ids = marks.select("doc_id", "text_key")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
