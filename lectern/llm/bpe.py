@@ -2,13 +2,16 @@
 
 Every piece of text that the pre-tokeniser yields is encoded with a segment tree whose leaves hold the ranks of its
 adjacent token pairs; the root is the leftmost lowest-rank merge, and a merge touches a logarithmic number of nodes.
-The trees of all pieces that are new to a worker advance in lockstep as NumPy arrays, so one step merges one pair in each.
+The trees of all pieces of about one length that are new to a worker advance in lockstep as NumPy arrays, so one step merges
+one pair in each; where they are few, as very long runs are, each goes through its tree alone.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,11 +24,13 @@ from .common import caches, keep_only, small_batches, tidied
 
 #: The split before merges of byte-level BPE (a published constant).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-NONE = np.int64(1 << 40)
+NONE = 1 << 40
 #: Pieces that a worker remembers; beyond it the memory is dropped and filled anew.
 REMEMBER = 300_000
 #: Tree nodes advanced together.
 LOCKSTEP_NODES = 1 << 18
+#: Fewer pieces of one width than this are encoded one by one: a step in lockstep costs as much as so many of theirs.
+LOCKSTEP_ROWS = 32
 
 
 def byte_alphabet() -> list[str]:
@@ -35,11 +40,26 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def refuse_others(doc: dict) -> None:
+    """Raises ValueError for vocabulary files that ask for more than plain byte-level BPE: their ids would differ."""
+    before, model = doc.get("pre_tokenizer") or {}, doc["model"]
+    odd = {
+        "normalizer": doc.get("normalizer") is not None,
+        "pre_tokenizer": before.get("type") != "ByteLevel" or before.get("add_prefix_space", True) or not before.get("use_regex", True),
+        "decoder": (doc.get("decoder") or {}).get("type") != "ByteLevel",
+        "model": model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+        "added_tokens": any(t.get(k) for t in doc.get("added_tokens") or [] for k in ("lstrip", "rstrip", "single_word")),
+    }
+    if found := [k for k, bad in odd.items() if bad]:
+        raise ValueError(f"not a plain byte-level vocabulary: {found}")
+
+
 class SegmentTreeBPE:
     """Encoder and decoder for one vocabulary file in the JSON format of public byte-level tokenisers."""
 
     def __init__(self, spec: str) -> None:
         doc = json.loads(spec)
+        refuse_others(doc)
         vocab = doc["model"]["vocab"]
         alphabet = byte_alphabet()
         of_char = {c: b for b, c in enumerate(alphabet)}
@@ -59,6 +79,7 @@ class SegmentTreeBPE:
         order = np.argsort(key, kind="stable")
         key, keep = np.unique(key[order], return_index=True)
         self.pair_key, self.pair_rank, self.pair_made = key, order[keep].astype(np.int64), made[order][keep]
+        self.keys, self.ranks, self.made, self.low = (array("q", x.astype(np.int64).tobytes()) for x in (self.pair_key, self.pair_rank, self.pair_made, self.first))
         self.pattern = regex.compile(PIECES)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.memory: dict[str, tuple[str, int, bytes]] = {}
@@ -78,12 +99,59 @@ class SegmentTreeBPE:
             by_width.setdefault(max(1, (len(p) - 1).bit_length()), []).append(i)
         for bits, members in by_width.items():
             step = max(1, LOCKSTEP_NODES >> bits)
+            if min(len(members), step) < LOCKSTEP_ROWS:
+                for i in members:
+                    out[i] = self._alone(pieces[i])
+                continue
             for k in range(0, len(members), step):
                 part = members[k : k + step]
                 for i, ids in zip(part, self._lockstep([pieces[i] for i in part], 1 << bits), strict=True):
                     out[i] = ids
         return out
 
+    def _alone(self, piece: bytes) -> list[int]:
+        """The same tree for one piece, node by node; a point update ends where a minimum stays as it was."""
+        keys, ranks, made, low = self.keys, self.ranks, self.made, self.low
+        n = len(piece)
+        width = 1 << max(0, n - 1).bit_length()
+        none = NONE * width
+        token = [low[b] for b in piece]
+        tree = [none] * (2 * width)
+
+        def place(i: int, j: int) -> tuple[int, int]:
+            """Leaf of the pair of the tokens at i and j, and the token that it makes."""
+            key = token[i] << 32 | token[j]
+            at = bisect_left(keys, key)
+            return (ranks[at] * width + i, made[at]) if at < len(keys) and keys[at] == key else (none, -1)
+
+        def put(i: int, value: int) -> None:
+            node = i + width
+            tree[node] = value
+            while node > 1:
+                least = min(value, tree[node ^ 1])
+                node >>= 1
+                if tree[node] == least:
+                    return
+                tree[node] = value = least
+
+        for i in range(n - 1):
+            tree[width + i] = place(i, i + 1)[0]
+        for node in range(width - 1, 0, -1):
+            tree[node] = min(tree[2 * node], tree[2 * node + 1])
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while tree[1] < none:
+            at = tree[1] % width
+            gone = after[at]
+            token[at], token[gone] = place(at, gone)[1], -1
+            after[at] = beyond = after[gone]
+            put(gone, none)
+            if beyond < n:
+                before[beyond] = at
+            put(at, place(at, beyond)[0] if beyond < n else none)
+            if (ahead := before[at]) >= 0:
+                put(ahead, place(ahead, at)[0])
+        return [t for t in token if t >= 0]
+
     def _lockstep(self, pieces: list[bytes], width: int) -> list[list[int]]:
         """One tree a row: nodes 1 .. 2 * width - 1, leaves from ``width`` on. A node is rank * width + position."""
         n = len(pieces)
