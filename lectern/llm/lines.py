@@ -174,6 +174,8 @@ def drop_repeated_lines(docs: DataFrame, **options: object) -> DataFrame:
     few = size["docs"] <= BROADCAST_ROWS and size["lines"] <= BROADCAST_LINES
     joined = docs.join(F.broadcast(gone) if few else gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["__id"]), "left")
     left = F.filter(F.transform(_lines(F.col("text")), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda r: ~F.array_contains("__gone", r["i"]))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda r: r["x"]), "\n"))
-    cut = joined.withColumn("__text", text).where(F.col("__gone").isNull() | F.col("__text").rlike(r"[^\x20\x09-\x0D]"))
+    # rows without a word lose nothing, even if another row of their id does
+    same = F.col("__gone").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    text = F.when(same, F.col("text")).otherwise(F.array_join(F.transform(left, lambda r: r["x"]), "\n"))
+    cut = joined.withColumn("__text", text).where(same | F.col("__text").rlike(r"[^\x20\x09-\x0D]"))
     return cut.select(*[F.col("__text").alias("text") if c == "text" else docs[c] for c in docs.columns])

@@ -140,22 +140,23 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: float
 
 
 def mix_documents(docs: DataFrame, **options: object) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, with all their columns.
+    """The rows of ``docs``, each as often as the mix takes it, with all their columns, whatever their names.
 
+    Null and blank texts have no words and so no copy; an empty table gives an empty result.
     Rows of one doc_id are matched to their decisions by their order, so repeated rows keep their own.
     """
     same = Window.partitionBy("doc_id")
     nth = lambda size: F.row_number().over(same.orderBy(size, F.xxhash64("source")))
     chosen = mix(docs, **options)
-    chosen = durable(chosen.select(F.col("doc_id").alias("__id"), "copies", nth(F.col("size")).alias("__n"), F.count("*").over(same).alias("__m")))
+    chosen = durable(chosen.select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"), nth(F.col("size")).alias("__n"), F.count("*").over(same).alias("__m")))
     of = lambda a, b: a["doc_id"].eqNullSafe(b["__id"])
     # an id that occurs once needs no order: beyond the bound its text is shuffled for the join, and only for that
-    once = chosen.where("__m = 1 AND copies > 0").select("__id", "copies")
+    once = chosen.where("__m = 1 AND __copies > 0").select("__id", "__copies")
     once = F.broadcast(once) if once.count() <= BROADCAST_ROWS else once
-    taken = docs.join(once, of(docs, once)).select(*[docs[c] for c in docs.columns], F.col("copies").alias("__copies"))
+    taken = docs.join(once, of(docs, once)).select(*[docs[c] for c in docs.columns], "__copies")
     repeated = chosen.where("__m > 1").select("__id").distinct()
     if n := repeated.count():
         found = docs.join(F.broadcast(repeated) if n <= BROADCAST_ROWS else repeated, of(docs, repeated), "left_semi")
-        mine, more = found.withColumn("__nth", nth(n_words(F.col("text")))), chosen.where("__m > 1 AND copies > 0")
-        taken = taken.unionByName(mine.join(more, of(mine, more) & (mine["__nth"] == more["__n"])).select(*[mine[c] for c in docs.columns], F.col("copies").alias("__copies")))
+        mine, more = found.withColumn("__nth", nth(n_words(F.col("text")))), chosen.where("__m > 1 AND __copies > 0")
+        taken = taken.unionByName(mine.join(more, of(mine, more) & (mine["__nth"] == more["__n"])).select(*[mine[c] for c in docs.columns], "__copies"))
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
