@@ -48,6 +48,32 @@ def test_bpe(docs, rows):
         assert r["decoded_sha256"] == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_bpe_alone_and_in_lockstep():
+    """Both ways through the trees agree with the library, on runs of a megabyte too."""
+    from tokenizers import Tokenizer
+
+    with open(queries.vocabulary(), encoding="utf-8") as f:
+        spec = f.read()
+    mine, theirs = bpe.SegmentTreeBPE(spec), Tokenizer.from_file(queries.vocabulary())
+    rng = random.Random(9)
+    pieces = ["".join(rng.choice("abcdeéß本😀 ".strip()) for _ in range(rng.choice([1, 2, 3, 7, 30]))).encode() for _ in range(300)]
+    alone = [mine._alone(p) for p in pieces]
+    assert alone == [mine._lockstep([p], 1 << max(1, (len(p) - 1).bit_length()))[0] for p in pieces] == mine.encode_pieces(pieces)
+    for run in ("x" * 1_000_000, "".join(rng.choice("etaoinshr") for _ in range(200_000)), "é" * 1000, "-" * 5000):
+        ids = theirs.encode(run, add_special_tokens=False).ids
+        assert mine.encode(run) == ids and mine.decode(ids) == run
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"decoder": None}, {"added_tokens": [{"content": "a", "id": 1, "lstrip": True}]}])
+def test_bpe_refuses_other_vocabularies(change):
+    import json
+
+    with open(queries.vocabulary(), encoding="utf-8") as f:
+        doc = json.load(f)
+    with pytest.raises(ValueError):
+        bpe.SegmentTreeBPE(json.dumps(doc | change))
+
+
 def test_urls(spark):
     seen = [None, "", "no scheme", "http://", "HTTP://A.Example.NET/en/x?q", "https://b.net", "https://b.net/", "http://c.example.com/de/#f", "http://org/fr/", "http://x.org/fr", "http://a.net:80/", "http://www.casino.com/p", "http://é.net/é", "http://a.com/x.ZIP", "http://a.com/x.zip?y", "http://a.com/x.zip?y"]
     df = spark.createDataFrame(list(enumerate(seen)), "page_id long, url string").withColumn("host", F.lit(1))
@@ -169,6 +195,8 @@ def test_substring(docs, rows, empty):
                 gone[i : i + 50] = [True] * 50
         assert (got[d]["n_words"], got[d]["n_removed"], got[d]["kept"]) == (len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g))
         assert sum(s["end"] - s["start"] for s in got[d]["spans"]) == sum(gone)
+    dealt = {r["doc_id"]: r["kept"] for r in substring.remove_repeats(docs, hot=1).collect()}
+    assert dealt == {d: r["kept"] for d, r in got.items()}
     assert substring.remove_repeats(empty).count() == 0
 
 
