@@ -46,6 +46,14 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id and text for work that is long a row. A scan of fewer parts than there are cores, as of one small file, is dealt
+    out; a large table's isn't."""
+    t = read(spark, d, "documents").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return t.repartition(cores) if t.rdd.getNumPartitions() < cores else t
+
+
 def r6(c: Column | str) -> Column:
     return F.round(c, 6)
 
@@ -281,7 +289,7 @@ BACK_REFERENCES = {"clean_page_v1", "clean_page_v2", "dedupe_phrases"}
 
 def _cleaner(name: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return read(spark, d, "documents").select("doc_id", T.clean(F.concat(F.lit(PREFIX), "text"), name).alias("cleaned"))
+        return texts(spark, d).select("doc_id", T.clean(F.concat(F.lit(PREFIX), "text"), name).alias("cleaned"))
 
     return run
 
@@ -299,7 +307,7 @@ for _name, _steps in T.CLEANERS.items():
 def _slide(version: int) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         title, body = T.clean_slide(F.concat(F.lit(PREFIX), "text"), version)
-        return read(spark, d, "documents").select("doc_id", title.alias("title"), body.alias("body"))
+        return texts(spark, d).select("doc_id", title.alias("title"), body.alias("body"))
 
     return run
 
@@ -340,7 +348,7 @@ MARK = "\x01"
 
 def _split(f: Callable[[Column], Column]) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return read(spark, d, "documents").select("doc_id", F.array_join(f(F.col("text")), MARK).alias("parts"))
+        return texts(spark, d).select("doc_id", F.array_join(f(F.col("text")), MARK).alias("parts"))
 
     return run
 
@@ -412,7 +420,7 @@ def slides(spark: SparkSession, d: str) -> DataFrame:
     raw = F.split("text", "\n", -1)
     blocks = F.transform(raw, lambda x, i: F.struct(x.alias("text"), F.array(F.lit(0.0), i.cast("double")).alias("origin"), i.alias("block_idx")))
     ref = C.reference_from_parts(C.source_reference(F.concat("text", F.when(F.col("doc_id") % 2 == 0, F.lit(" Source: A study of words, ACL. 2019")).otherwise(""))))
-    return read(spark, d, "documents").select(F.col("doc_id").alias("slide_id"), title.alias("title"), body.alias("body"), F.when(F.col("doc_id") % 5 > 0, blocks).alias("blocks"), raw.alias("ocr_lines"), F.when(F.col("doc_id") % 3 > 0, F.col("text")).alias("desc"), ref.alias("reference"))
+    return texts(spark, d).select(F.col("doc_id").alias("slide_id"), title.alias("title"), body.alias("body"), F.when(F.col("doc_id") % 5 > 0, blocks).alias("blocks"), raw.alias("ocr_lines"), F.when(F.col("doc_id") % 3 > 0, F.col("text")).alias("desc"), ref.alias("reference"))
 
 
 @query()
