@@ -30,11 +30,11 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: Generators of the method, with more recall than precision.
+#: Generators of the method, with more recall than precision. None has an upper length but account numbers, whose format has one.
 GENERATORS = {
     "secret": r"(?i)(?<![\p{L}0-9])(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key)[\x22']?\s{0,3}[:=]\s{0,3}[\x22']?[^\s\x22',;]{4,}+",
-    "number": r"(?<![0-9\p{L}+.])\(?[0-9]{2,4}\)?(?:[\x20./-][0-9]{2,6}){1,5}(?![0-9\p{L}])|(?<![0-9\p{L}])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![0-9\p{L}])",
-    "masked": r"(?i)[\p{L}0-9._-]{1,64}\s?[(\[{]\s?at\s?[)\]}]\s?[\p{L}0-9.-]{1,64}(?:\s?[(\[{]\s?dot\s?[)\]}]\s?[\p{L}0-9]{1,20})*",
+    "number": r"(?<![0-9\p{L}+.])\(?[0-9]{2,4}\)?(?:[\x20./-][0-9]{2,6}(?![0-9\p{L}]))++|(?<![0-9\p{L}])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[0-9]{1,3})?(?![0-9\p{L}])",
+    "masked": r"(?i)(?:(?<![\p{L}0-9._-])|\G)[\p{L}0-9._-]++\s?[(\[{]\s?at\s?[)\]}]\s?[\p{L}0-9.-]++(?:\s?[(\[{]\s?dot\s?[)\]}]\s?[\p{L}0-9]++)*+",
 }
 KINDS = (*BASE, *GENERATORS)
 #: Characters before a candidate that are its context.

@@ -50,7 +50,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda k: lambda s: s["kind"] == k
     counts = [F.size(F.filter("__spans", of(k))).cast("long").alias(f"n_{k}") for k in BASE]
     base = F.filter("__spans", lambda s: s["kind"].isin(*BASE))
-    return found.select("doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("__spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("__spans")).alias("spans"), F.size("__spans").cast("long").alias("n_spans"))
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +86,7 @@ def ann_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op4_pii(spark, sf_dir).drop("spans")
+    return op4_pii(spark, sf_dir).drop("spans", "n_spans")
 
 
 def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:

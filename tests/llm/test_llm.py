@@ -174,6 +174,17 @@ def test_pii_zero_parts(spark, ip):
     assert {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}[1] == "at <ip> x"
 
 
+def test_pii_long_candidates(spark):
+    """Numbers of many groups, long masked addresses and account numbers of any tail are redacted whole."""
+    groups = "(030) " + " ".join(f"{i:03d}" for i in range(100, 140))
+    masked = "a" * 300 + "[at]" + "b" * 300 + " [dot] " + "c" * 50
+    df = spark.createDataFrame([(1, f"phone {groups} end"), (2, f"mail {masked} end"), (3, "iban DE89 3704 0044 0532 0130 00 end"), (4, "1 " * 50_000 + "x"), (5, "10 " * 50_000 + "x"), (6, "a" * 50_000)], "doc_id long, text string")
+    got = {r["doc_id"]: [x["hit"] for x in r["__spans"]] for r in pii.find_personal_data(df).collect()}
+    assert got[3] == ["DE89 3704 0044 0532 0130 00"] and got[2] == [masked] and got[4] == got[6] == []
+    proposed = pii._proposed(df, "text", pii.GENERATORS).collect()
+    assert [[s["hit"] for s in r["__s_number"]] for r in sorted(proposed, key=lambda r: r["doc_id"])] == [[groups], [], ["DE89 3704 0044 0532 0130 00"], [], [("10 " * 50_000).strip()], []]
+
+
 def test_pii_long_secret(spark):
     value = "24be64439e3e49cf" * 300
     df = spark.createDataFrame([(1, f'token = "{value}" end'), (2, f"api_key={value}")], "doc_id long, text string")
