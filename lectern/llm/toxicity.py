@@ -87,7 +87,7 @@ def text_features(text: str | None, learned: Lexicon) -> tuple[float, ...]:
     unmasked = sum(m.translate(_LEET).translate(_APART).replace(" ", "") in INSULTS for m in masked)
     chars = max(1, len(text))
     capitals = sum(map(str.isupper, text)) if not text.isascii() else len(text) - len(text.translate(_NO_CAPITALS))
-    shouted = sum(1 for w in text.split() if len(w) > 2 and w.isupper()) if capitals > 0.2 * chars else 0
+    shouted = sum(1 for w in text.split() if len(w) > 2 and w.isupper()) if capitals else 0
     marks = len(text) - len(text.translate(_NO_MARKS))
     return (fixed / n, learned_n / n, min(fixed, 50), min(learned_n, 50), near, second / n, most, capitals / chars, shouted / n, text.count("!") / n, marks / chars, len(masked) / n, min(unmasked, 20), float(np.log1p(len(found))))
 

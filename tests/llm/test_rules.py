@@ -73,6 +73,15 @@ def test_plain_sentences_have_no_insults(text):
     assert toxicity.text_features(text, toxicity.Lexicon())[0] == 0
 
 
+def test_every_shouted_word_counts():
+    """A few shouted words in a long plain text are counted as they are in a short one."""
+    rate = toxicity.FEATURES.index("shouted_rate")
+    for plain in (0, 10, 10_000):
+        got = toxicity.text_features("GO AWAY NOW " + "plain " * plain, toxicity.Lexicon())
+        assert got[rate] == 2 / (3 + plain)
+    assert toxicity.text_features("ÄRGER é", toxicity.Lexicon())[rate] == 0.5
+
+
 def test_null_and_empty_texts_with_a_fitted_model(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, " "), (-4, "a" * 100_000), (-5, "x"), (-5, "x"), (None, "y")], "doc_id long, text string")
