@@ -149,3 +149,20 @@ a AS (SELECT {read} FROM v WHERE n_words > 0),
 m AS (SELECT g.lang AS m_lang, g.source AS m_source, {limits}, {low} FROM g JOIN l ON l.lang IS NOT DISTINCT FROM g.lang CROSS JOIN a)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed, NOT {failed} AND NOT coalesce({' OR '.join(odd)}, false) AS kept
 FROM v LEFT JOIN m ON m_lang IS NOT DISTINCT FROM lang AND m_source IS NOT DISTINCT FROM source"""
+
+
+#: CRC-32 by its bits: a byte comes in, eight shifts follow.
+CRC = "xor(list_reduce(flatten(list_transform(string_split({0}::VARCHAR, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+#: Every prefix of every conversation is a row; each node adds to all that are above it.
+TRIE = rf"""WITH RECURSIVE t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base, {CRC.format('conv_id')} % 4 AS h FROM t),
+m AS (SELECT c.conv_id, pos, role, text FROM c JOIN t ON t.conv_id = base AND pos < h UNION ALL SELECT c.conv_id, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos >= h),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS depth, sha256(role) || sha256(text) AS turn, len(regexp_extract_all(text, '{WORD}')) AS words FROM m),
+p AS (SELECT conv_id, 0::BIGINT AS depth, '' AS key, NULL::VARCHAR AS above, 0::BIGINT AS words FROM c UNION ALL SELECT p.conv_id, o.depth, sha256(key || turn), key, o.words FROM p JOIN o ON o.conv_id = p.conv_id AND o.depth = p.depth + 1),
+l AS (SELECT conv_id, max(depth) AS len FROM p GROUP BY conv_id),
+n AS (SELECT key, any_value(depth) AS depth, any_value(above) AS above, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len = depth), '')) AS ends_sha256 FROM p JOIN l USING (conv_id) GROUP BY key),
+k AS (SELECT above AS key, count(*) AS n_children FROM n WHERE above IS NOT NULL GROUP BY above),
+s AS (SELECT p.key, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves, sum((n_convs - 1) * n.words) AS saved FROM n JOIN p ON p.conv_id = n.conv_id AND p.depth <= n.depth LEFT JOIN k ON k.key = n.key GROUP BY p.key)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM n LEFT JOIN n u ON u.key = n.above LEFT JOIN k ON k.key = n.key JOIN s ON s.key = n.key"""

@@ -13,11 +13,12 @@ from .common import table
 from .lines import LEAST_CHARS, LEAST_WORDS, drop_repeated_lines
 from .minhash import near_duplicates
 from .mixing import mix
-from .oracles import GROUPS, NEAREST, REPEATS, TARGETS, line_sql, pii_sql, quality_sql, url_sql
+from .oracles import GROUPS, NEAREST, REPEATS, TARGETS, TRIE, line_sql, pii_sql, quality_sql, url_sql
 from .pii import BASE, find_personal_data
 from .quality import quality_report
 from .substring import remove_repeats
 from .toxicity import score_toxicity
+from .trie import prefix_trie
 from .urls import HOSTS, filter_urls
 
 #: Name of the public vocabulary file that op1 and the pipeline encode with.
@@ -80,6 +81,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def ann_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3 with scores that don't depend on the order of additions: on small tables windows meet every row."""
     return op3_ann(spark, sf_dir).withColumn("score", F.round("score", 6))
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op11_trie": op11_trie,
     # what SQL can say of three more
     "ann_rounded": ann_rounded,
     "pii_base": pii_base,
@@ -116,6 +122,7 @@ ORACLES: dict[str, str] = {
     "op7_line_dedup": line_sql(LEAST_WORDS, LEAST_CHARS),
     "op8_minhash": GROUPS,
     "op10_quality": quality_sql(),
+    "op11_trie": TRIE,
     "ann_rounded": NEAREST,
     "pii_base": pii_sql(),
     "mixing_targets": TARGETS,
