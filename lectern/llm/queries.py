@@ -16,6 +16,7 @@ from .mixing import mix
 from .oracles import GROUPS, NEAREST, REPEATS, TARGETS, TRIE, line_sql, pii_sql, quality_sql, url_sql
 from .pii import BASE, find_personal_data
 from .quality import quality_report
+from .simhash import simhash_groups
 from .substring import remove_repeats
 from .toxicity import score_toxicity
 from .trie import prefix_trie
@@ -85,6 +86,10 @@ def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def ann_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3 with scores that don't depend on the order of additions: on small tables windows meet every row."""
     return op3_ann(spark, sf_dir).withColumn("score", F.round("score", 6))
@@ -110,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
     "op11_trie": op11_trie,
+    "op12_simhash": op12_simhash,
     # what SQL can say of three more
     "ann_rounded": ann_rounded,
     "pii_base": pii_base,
