@@ -8,11 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import CHUNK, RETRIEVAL, apply, is_garbage_line, is_noise, strip
-
-
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value evaluated once, where a lambda in ``use`` would evaluate it for each element."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+from .vectors import let
 
 
 def _kept(parts: Column, clean: Callable[[Column], Column] = strip) -> Column:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once, where a lambda in ``use`` would evaluate it for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
@@ -22,13 +29,9 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.greatest(norm(a) * norm(b), F.lit(1e-8))
 
 
-def scaled_cosine(a: Column, b: Column) -> Column:
-    return 1000 * cosine(a, b)
-
-
 def l2_normalize(a: Column) -> Column:
-    n = F.greatest(norm(a), F.lit(1e-12))
-    return F.transform(a, lambda x: x.cast("double") / n)
+    divided = lambda v: let(F.greatest(norm(v), F.lit(1e-12)), lambda n: F.transform(v, lambda x: x.cast("double") / n))
+    return let(a, divided)
 
 
 def mean_squared_distance(a: Column, b: Column) -> Column:
@@ -37,8 +40,7 @@ def mean_squared_distance(a: Column, b: Column) -> Column:
 
 
 def softmax(a: Column) -> Column:
-    e = F.transform(a, F.exp)
-    return F.transform(e, lambda x: x / _sum(e))
+    return let(F.transform(a, F.exp), lambda e: let(_sum(e), lambda n: F.transform(e, lambda x: x / n)))
 
 
 def intent_fold(sims: Column, temperature: float = 10.0) -> Column:

@@ -37,10 +37,11 @@ def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def letters26(text: Column) -> Column:
     """A stand-in encoder in pure SQL: unit vectors of letter counts."""
-    from ..functions.vectors import l2_normalize
+    from ..functions.vectors import l2_normalize, let
 
     t = F.lower(F.coalesce(text, F.lit("")))
-    return l2_normalize(F.array(*[F.regexp_count(t, F.lit(chr(c))).cast("double") for c in range(97, 123)]))
+    counts = lambda x: F.array(*[(F.length(x) - F.length(F.replace(x, F.lit(chr(c)), F.lit("")))).cast("double") for c in range(97, 123)])
+    return l2_normalize(let(t, counts))
 
 
 def encoder(encode: Callable[[list[str]], list[list[float]]], batch: int = BATCH) -> Callable[[Column], Column]:

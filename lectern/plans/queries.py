@@ -47,10 +47,13 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id and text for work that is long a row. A scan of fewer parts than there are cores, as of one small file, is dealt
-    out; a large table's isn't."""
-    t = read(spark, d, "documents").select("doc_id", "text")
-    cores = spark.sparkContext.defaultParallelism
+    """doc_id and text for work that is long a row."""
+    return dealt(read(spark, d, "documents").select("doc_id", "text"))
+
+
+def dealt(t: DataFrame) -> DataFrame:
+    """A scan of fewer parts than there are cores, as of one small file, is dealt out; a large table's isn't."""
+    cores = t.sparkSession.sparkContext.defaultParallelism
     return t.repartition(cores) if t.rdd.getNumPartitions() < cores else t
 
 
@@ -575,7 +578,8 @@ def _digest(emb: str) -> Column:
 def indexed(spark: SparkSession, d: str) -> DataFrame:
     """Documents as slides; every third has no recognised text, every fifth no description."""
     t = F.col("text")
-    return read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("slide_key"), F.col("lang").alias("title"), t.alias("body"), F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("imgtext"), F.when(F.col("doc_id") % 5 > 0, t).otherwise(" \n").alias("desc"))
+    docs = dealt(read(spark, d, "documents").select("doc_id", "text", "lang", "source"))
+    return docs.select(F.col("doc_id").cast("string").alias("slide_key"), F.col("lang").alias("title"), t.alias("body"), F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("imgtext"), F.when(F.col("doc_id") % 5 > 0, t).otherwise(" \n").alias("desc"))
 
 
 @query(f"WITH t AS (SELECT doc_id + 1 AS page, {_collapse_sql('lang')} AS title, {_collapse_sql('text')} AS body, CASE WHEN doc_id % 3 > 0 THEN {_collapse_sql('source')} ELSE '' END AS imgtext, CASE WHEN doc_id % 5 > 0 THEN {_collapse_sql('text')} ELSE '' END AS descr FROM documents), v AS (SELECT *, {', '.join(f"""{LETTERS.format(f"CASE WHEN coalesce({f}, '') = '' THEN '[EMPTY]' ELSE {f} END")} AS v_{f}""" for f in ('title', 'body', 'imgtext', 'descr'))} FROM t) SELECT page, length(body) AS body_chars, {', '.join(f'{DIGEST.format(f"v_{f}")} AS {f}_digest' for f in ('title', 'body', 'imgtext', 'descr'))} FROM v")
@@ -592,7 +596,7 @@ def slide_index_chunks(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH t AS (SELECT doc_id AS slide_id, unnest(['what', 'why', 'how']) AS qtype, unnest([CASE WHEN doc_id % 4 = 0 THEN ' N/A ' ELSE text END, source, lang]) AS text FROM documents), u AS (SELECT slide_id, qtype, {_strip_sql('text')} AS text FROM t WHERE qtype <> 'how' AND lower({_strip_sql('text')}) NOT IN ('', 'none', 'null', 'n/a')), v AS (SELECT *, {LETTERS.format('text')} AS v FROM u) SELECT slide_id, qtype, length(text) AS chars, {DIGEST.format('v')} AS digest FROM v")
 def description_vectors(spark: SparkSession, d: str) -> DataFrame:
     told = F.create_map(F.lit("what"), F.when(F.col("doc_id") % 4 == 0, " N/A ").otherwise(F.col("text")), F.lit("why"), F.col("source"), F.lit("how"), F.col("lang"))
-    made = I.description_vectors(read(spark, d, "documents").select(F.col("doc_id").alias("slide_id"), told.alias("qa_descs")), ("what", "why"), letters26)
+    made = I.description_vectors(dealt(read(spark, d, "documents").select("doc_id", "text", "lang", "source")).select(F.col("doc_id").alias("slide_id"), told.alias("qa_descs")), ("what", "why"), letters26)
     return made.select("slide_id", "qtype", F.length("text").cast("long").alias("chars"), _digest("emb").alias("digest"))
 
 
