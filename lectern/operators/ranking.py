@@ -1,7 +1,7 @@
 """Ranking operators: dense retrieval, confidence, fusion, two-stage reranking and the intent-weighted ranker.
 
-Questions are the small side: they are crossed with pages only behind a check of their number, and all top-k limits are
-row numbers per question, which Spark applies before the shuffle.
+Scores of questions and pages come from matrix products of blocks (``blocks``); only the best of each question are rows. Top-k
+limits are row numbers per question, which Spark applies before the shuffle.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions import scoring as S
 from ..functions import vectors as V
 from ..functions.text import null_sentinel
+from .blocks import best_per_page, pages_above, top_pages
 from .shared import small
 
 
@@ -26,19 +27,24 @@ def top_k(df: DataFrame, by: str, score: str, tie: str, k: int, rank: str = "ran
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def dense(questions: DataFrame, pages: DataFrame) -> DataFrame:
-    """qid, page, score; questions (qid, q_emb), pages (page, emb). Norms are taken once a row, not once a pair."""
-    unit = lambda c: F.transform(c, lambda x: x.cast("double"))
-    q = questions.select("qid", V.l2_normalize(F.col("q_emb")).alias("q_unit"))
-    p = pages.select("page", V.l2_normalize(F.col("emb")).alias("unit"))
-    return pair_up(q, p).select("qid", "page", V.dot(unit(F.col("q_unit")), F.col("unit")).alias("score"))
+def _units(questions: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides as unit vectors v, so that cosines are dot products: norms are taken once a row, not once a pair."""
+    return questions.select("qid", V.l2_normalize(F.col("q_emb")).alias("v")), pages.select("page", V.l2_normalize(F.col("emb")).alias("v"))
 
 
-def confidence(scored: DataFrame, k: int, temperature: float = 10.0) -> DataFrame:
-    """The ``k`` best of each question with their share of its softmax. Sums are partial: only they and the best travel."""
-    e = F.exp(temperature * F.col("score"))
-    sums = scored.groupBy("qid").agg(F.sum(e).alias("__all"))
-    return top_k(scored, "qid", "score", "page", k).join(sums, "qid").withColumn("confidence", e / F.col("__all")).drop("__all")
+def dense(questions: DataFrame, pages: DataFrame, k: int) -> DataFrame:
+    """qid, page, score, rank of the ``k`` pages most similar to each question, by matrix products of blocks; questions (qid, q_emb), pages (page, emb)."""
+    return top_pages(*_units(questions, pages), k)
+
+
+def similar(questions: DataFrame, pages: DataFrame, least: float) -> DataFrame:
+    """qid, page, score of all pages at cosine ``least`` or more."""
+    return pages_above(*_units(questions, pages), least)
+
+
+def confidence(questions: DataFrame, pages: DataFrame, k: int, temperature: float = 10.0) -> DataFrame:
+    """``dense`` with confidence: the page's share of the question's softmax over all pages. Blocks sum it up; no pair is a row."""
+    return top_pages(*_units(questions, pages), k, temperature)
 
 
 def reciprocal_rank_fusion(lists: DataFrame, k: int = 60, weights: DataFrame | None = None) -> DataFrame:
@@ -54,10 +60,23 @@ def reciprocal_rank_fusion(lists: DataFrame, k: int = 60, weights: DataFrame | N
 
 
 def best_chunks(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Add best_sim and best_text: the most similar chunk of each (qid, page, q_emb); -1 and empty where there is none."""
-    met = pairs.select("qid", "page", "q_emb").join(chunks, "page").withColumn("sim", V.cosine(F.col("q_emb"), F.col("chunk_emb")))
-    best = met.groupBy("qid", "page").agg(F.max_by(F.struct("sim", "text"), F.struct(F.col("sim"), -F.col("chunk_idx"))).alias("best"))
-    return pairs.join(best, ["qid", "page"], "left").withColumns({"best_sim": F.coalesce("best.sim", F.lit(-1.0)), "best_text": F.coalesce("best.text", F.lit(""))}).drop("best")
+    """Add best_sim and best_text: the most similar chunk of each (qid, page, q_unit); -1 and empty where there is none. For few pages a question."""
+    units = chunks.select("page", "chunk_idx", V.l2_normalize(F.col("chunk_emb")).alias("v"))
+    met = pairs.select("qid", "page", "q_unit").join(units, "page").select("qid", "page", "chunk_idx", V.dot(F.col("q_unit"), F.col("v")).alias("sim"))
+    best = met.groupBy("qid", "page").agg(F.max(F.struct("sim", (-F.col("chunk_idx")).alias("c"))).alias("b"))
+    return _with_texts(pairs, best.select("qid", "page", "b.sim", (-F.col("b.c")).alias("chunk_idx")), chunks)
+
+
+def best_chunks_of_all(questions: DataFrame, pages: DataFrame, chunks: DataFrame) -> DataFrame:
+    """qid, page, best_sim, best_text of every question (qid, q_emb) and every page, by matrix products of blocks."""
+    asked, units = questions.select("qid", V.l2_normalize(F.col("q_emb")).alias("v")), chunks.select("page", "chunk_idx", V.l2_normalize(F.col("chunk_emb")).alias("v"))
+    return _with_texts(pair_up(questions.select("qid"), pages.select("page")), best_per_page(asked, units), chunks)
+
+
+def _with_texts(pairs: DataFrame, best: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Texts join the best chunks alone."""
+    named = best.join(chunks.select("page", "chunk_idx", "text"), ["page", "chunk_idx"]).select("qid", "page", F.col("sim").alias("best_sim"), F.col("text").alias("best_text"))
+    return pairs.join(named, ["qid", "page"], "left").fillna({"best_sim": -1.0, "best_text": ""})
 
 
 def two_stage(questions: DataFrame, pages: DataFrame, chunks: DataFrame, candidates: int = 30) -> DataFrame:
@@ -65,14 +84,17 @@ def two_stage(questions: DataFrame, pages: DataFrame, chunks: DataFrame, candida
 
     questions: qid, question, q_emb; pages: page, title, body, imgtext, desc and an emb of each (title_emb ...);
     chunks: page, chunk_idx, text, chunk_emb. Returns one row a question and candidate with final_score and rank.
+
+    A question's weights times its vector, field after field, meet a page's vectors in the same order: the coarse score is one dot
+    product, so candidates come from matrix products of blocks. Only their pages give up vectors and texts.
     """
     fields = ("title", "body", "imgtext", "desc")
-    weighted = questions.withColumns({f"w_{k}": w for k, w in S.question_weights(F.col("question")).items()})
-    met = pair_up(weighted, pages.select("page", *[f"{f}_emb" for f in fields]))
-    met = met.withColumns({f"sim_{f}": V.cosine(F.col("q_emb"), F.col(f"{f}_emb")) for f in fields}).drop(*[f"{f}_emb" for f in fields])
-    coarse = top_k(met.withColumn("coarse_score", sum((F.col(f"w_{f}") * F.col(f"sim_{f}") for f in fields), F.lit(0.0))), "qid", "coarse_score", "page", candidates, "coarse_rank")
-    # texts join the few candidates, not all pairs
-    shown = best_chunks(coarse, chunks).join(pages.select("page", *fields), "page")
+    weighted = questions.withColumns({f"w_{k}": w for k, w in S.question_weights(F.col("question")).items()}).withColumn("q_unit", V.l2_normalize(F.col("q_emb")))
+    units = pages.select("page", *fields, *[V.l2_normalize(F.col(f"{f}_emb")).alias(f"{f}_unit") for f in fields])
+    asked = weighted.select("qid", F.concat(*[V.let(F.col(f"w_{f}"), lambda w: F.transform("q_unit", lambda x: w * x)) for f in fields]).alias("v"))
+    found = top_pages(asked, units.select("page", F.concat(*[f"{f}_unit" for f in fields]).alias("v")), candidates)
+    coarse = found.withColumnsRenamed({"score": "coarse_score", "rank": "coarse_rank"}).join(weighted, "qid")
+    shown = best_chunks(coarse, chunks).join(units, "page").withColumns({f"sim_{f}": V.dot(F.col("q_unit"), F.col(f"{f}_unit")) for f in fields}).drop("q_unit", *[f"{f}_unit" for f in fields])
     local = F.trim(F.concat_ws(" ", *[F.coalesce(f, F.lit("")) for f in fields]))
     lexical = S.lexical_overlap(F.col("question"), local)
     final = F.col("w_chunk") * F.col("best_sim") + sum((F.col(f"w_{f}") * F.col(f"sim_{f}") for f in ("body", "title", "imgtext", "desc")), F.lit(0.0)) + F.col("w_lexical") * lexical + S.number_boost(F.col("question"), local) + S.phrase_boost(local)

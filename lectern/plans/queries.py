@@ -73,8 +73,8 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
     return vectors(spark, d).where("vec_id % 50 <> 0").select(F.col("vec_id").alias("page"), "emb")
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
-    return R.dense(questions(spark, d), pages(spark, d))
+def best(spark: SparkSession, d: str, k: int) -> DataFrame:
+    return R.dense(questions(spark, d), dealt(pages(spark, d)), k)
 
 
 # ---- dense retrieval
@@ -82,23 +82,22 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
 
 @query(RANKED + " SELECT qid, page, round(score, 6) AS score FROM r WHERE rank = 1")
 def dense_top1(spark: SparkSession, d: str) -> DataFrame:
-    return R.top_k(scored(spark, d), "qid", "score", "page", 1).select("qid", "page", r6("score").alias("score"))
+    return best(spark, d, 1).select("qid", "page", r6("score").alias("score"))
 
 
 @query(RANKED + " SELECT qid, page, rank, round(score, 6) AS score FROM r WHERE rank <= 5")
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
-    return R.top_k(scored(spark, d), "qid", "score", "page", 5).select("qid", "page", "rank", r6("score").alias("score"))
+    return best(spark, d, 5).select("qid", "page", "rank", r6("score").alias("score"))
 
 
 @query(PAIRS + " SELECT qid, page, round(1000 * score, 4) AS score FROM s WHERE 1000 * score >= 305")
 def similarity_threshold(spark: SparkSession, d: str) -> DataFrame:
-    s = scored(spark, d).withColumn("scaled", 1000 * F.col("score"))
-    return s.where("scaled >= 305").select("qid", "page", F.round("scaled", 4).alias("score"))
+    return R.similar(questions(spark, d), dealt(pages(spark, d)), 0.305).select("qid", "page", F.round(1000 * F.col("score"), 4).alias("score"))
 
 
 @query(PAIRS + ", c AS (SELECT qid, page, score, exp(10 * score) / sum(exp(10 * score)) OVER (PARTITION BY qid) AS confidence FROM s) SELECT qid, page, round(confidence, 6) AS confidence FROM c QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, page) <= 10")
 def softmax_confidence(spark: SparkSession, d: str) -> DataFrame:
-    return R.confidence(scored(spark, d), 10).select("qid", "page", r6("confidence").alias("confidence"))
+    return R.confidence(questions(spark, d), dealt(pages(spark, d)), 10).select("qid", "page", r6("confidence").alias("confidence"))
 
 
 @query(f"WITH e AS ({EMB}) SELECT q.vec_id AS qid, p.vec_id AS page, round(CASE WHEN length(d.text) < 10 THEN list_cosine_similarity(q.emb, p.emb) ELSE 0.4 * list_cosine_similarity(q.emb, p.emb) + 0.6 * list_cosine_similarity(q.emb, list_reverse(p.emb)) END, 6) AS score FROM e q, e p, documents d WHERE q.vec_id % 50 = 0 AND p.vec_id % 50 <> 0 AND d.doc_id = p.vec_id")
@@ -131,8 +130,7 @@ def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lists(spark: SparkSession, d: str) -> DataFrame:
-    top = R.top_k(scored(spark, d), "qid", "score", "page", 40)
-    return top.select(F.col("qid").alias("list_id"), "rank", "page", F.concat(F.lit("t"), F.col("qid"), F.lit("_"), F.col("rank")).alias("text"))
+    return best(spark, d, 40).select(F.col("qid").alias("list_id"), "rank", "page", F.concat(F.lit("t"), F.col("qid"), F.lit("_"), F.col("rank")).alias("text"))
 
 
 FUSED = RANKED + ", l AS (SELECT qid AS list_id, rank, page, 't' || qid || '_' || rank AS text FROM r WHERE rank <= 40)"
@@ -152,8 +150,8 @@ def weighted_rrf(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH e AS ({EMB}), p AS (SELECT DISTINCT vec_id // 20 + 3 AS page FROM e), c AS (SELECT vec_id // 20 AS page, vec_id AS chunk_idx, 'chunk ' || vec_id AS text, emb FROM e WHERE vec_id % 50 <> 0), m AS (SELECT q.vec_id AS qid, p.page, list_cosine_similarity(q.emb, c.emb) AS sim, c.text, c.chunk_idx FROM e q, p LEFT JOIN c ON c.page = p.page WHERE q.vec_id % 50 = 0) SELECT qid, page, round(coalesce(sim, -1), 6) AS best_sim, coalesce(text, '') AS best_text FROM m QUALIFY row_number() OVER (PARTITION BY qid, page ORDER BY sim DESC, chunk_idx) = 1")
 def best_chunk(spark: SparkSession, d: str) -> DataFrame:
     chunks = pages(spark, d).select(F.floor(F.col("page") / 20).alias("page"), F.col("page").alias("chunk_idx"), F.concat(F.lit("chunk "), "page").alias("text"), F.col("emb").alias("chunk_emb"))
-    met = R.pair_up(questions(spark, d), vectors(spark, d).select((F.floor(F.col("vec_id") / 20) + 3).alias("page")).distinct())
-    return R.best_chunks(met, chunks).select("qid", "page", r6("best_sim").alias("best_sim"), "best_text")
+    every = vectors(spark, d).select((F.floor(F.col("vec_id") / 20) + 3).alias("page")).distinct()
+    return R.best_chunks_of_all(questions(spark, d), every, chunks).select("qid", "page", r6("best_sim").alias("best_sim"), "best_text")
 
 
 # ---- question signals

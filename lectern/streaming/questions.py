@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..operators.ranking import dense, top_k
+from ..operators.ranking import dense
 
 
 def answer_stream(questions: DataFrame, pages: DataFrame, sink: str, k: int = 1) -> DataStreamWriter:
@@ -15,6 +15,6 @@ def answer_stream(questions: DataFrame, pages: DataFrame, sink: str, k: int = 1)
     """
 
     def each(batch: DataFrame, epoch: int) -> None:
-        top_k(dense(batch, pages), "qid", "score", "page", k).write.mode("overwrite").parquet(f"{sink}/batch={epoch}")
+        dense(batch, pages, k).write.mode("overwrite").parquet(f"{sink}/batch={epoch}")
 
     return questions.writeStream.foreachBatch(each)
