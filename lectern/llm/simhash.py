@@ -33,8 +33,8 @@ WITHIN = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PIECES = WITHIN + 1
 PIVOTS = 32
-#: Rows of a cell beyond which it is cut into pieces, and rows of a block.
-CELL, BLOCK = 2048, 2048
+#: Fingerprints of a segment beyond which its cells are cut into pieces, and rows of a block.
+CROWD, BLOCK = 128, 2048
 #: Pairs compared at a time.
 PAIRS = 1 << 20
 #: Hashes whose bits are counted at a time.
@@ -81,15 +81,25 @@ def _bits(fp: Column, first: int, width: int) -> Column:
     return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1))
 
 
+def _near(here: Column, s: int) -> Column:
+    """cell, own: the cell of a segment and, where its distance to the segment's zero is odd, those next to it."""
+    told = lambda at, own: F.struct((at * len(SEGMENTS) + s).cast("long").alias("cell"), F.lit(own).alias("own"))
+    own = F.array(told(here, True))
+    next_to = F.transform(F.array(*[F.lit(1 << b).cast("long") for b in range(SEGMENTS[s][1])]), lambda b: told(here.bitwiseXOR(b), False))
+    return F.when(F.bit_count(here) % 2 == 1, F.concat(own, next_to)).otherwise(own)
+
+
 def _cells(classes: DataFrame) -> DataFrame:
-    """fp, cell, own: the cells that a fingerprint lies in and, where its distance to the segment's zero is odd, those next to them."""
-    met = []
-    for s, (first, width) in enumerate(SEGMENTS):
-        here = _bits(F.col("fp"), first, width)
-        near = F.transform(F.array(*[F.lit(1 << b).cast("long") for b in range(width)]), lambda b: F.struct(here.bitwiseXOR(b).alias("at"), F.lit(False).alias("own")))
-        own = F.array(F.struct(here.alias("at"), F.lit(True).alias("own")))
-        met.append(F.transform(F.when(F.bit_count(here) % 2 == 1, F.concat(own, near)).otherwise(own), lambda c: F.struct(F.concat(c["at"] * len(SEGMENTS) + s).cast("long").alias("cell"), c["own"].alias("own"))))
-    return classes.select("fp", F.inline(F.concat(*met)))
+    """fp, cell, own of every cell that a fingerprint lies in or visits."""
+    return classes.select("fp", F.inline(F.concat(*[_near(_bits(F.col("fp"), *at), s) for s, at in enumerate(SEGMENTS)])))
+
+
+def _large(classes: DataFrame) -> DataFrame:
+    """Cells that a crowd lies in or visits: no other can have more than ``CROWD`` rows of each of the segments next to it."""
+    said = classes.select(F.explode(F.array(*[F.struct(F.lit(s).alias("s"), _bits(F.col("fp"), *at).alias("at")) for s, at in enumerate(SEGMENTS)])).alias("x")).select("x.s", "x.at")
+    crowds = said.groupBy("s", "at").agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
+    cells = F.when(F.col("s") == 0, _near(F.col("at"), 0)).when(F.col("s") == 1, _near(F.col("at"), 1)).otherwise(_near(F.col("at"), 2))
+    return crowds.select(F.inline(cells)).select("cell").distinct()
 
 
 def _piece(fp: Column, cell: Column) -> Column:
@@ -142,30 +152,29 @@ def _forest(fp: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _links(dealt: DataFrame) -> DataFrame:
-    """u, v: links between fingerprints of a (cell, i, j), group by group as the sorted rows stream by."""
+    """u, v: links between fingerprints of a (cell, part), group by group as the sorted rows stream by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only("simhash")
         held: list[tuple[np.ndarray, ...]] = []
 
         def settle() -> pa.RecordBatch:
-            keys = np.stack([np.concatenate([h[c] for h in held]) for c in range(3)])
-            fp, own = (np.concatenate([h[c] for h in held]) for c in (3, 4))
-            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), len(fp)]
-            met = [_forest(fp[a:b], own[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1 and own[a:b].any()]
-            u, v = (np.concatenate([m[c] for m in met]) if met else np.zeros(0, np.uint64) for c in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u.view(np.int64), v.view(np.int64))), pa.array(np.maximum(u.view(np.int64), v.view(np.int64)))], names=["u", "v"])
+            cell, part, fp, own = (np.concatenate(c) for c in zip(*held, strict=True))
+            starts = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])]))
+            sizes = np.diff([*starts, len(fp)])
+            # a cell without one of its own, or with one alone, has no pair
+            some = (sizes > 1) & np.logical_or.reduceat(own, starts)
+            met = [_forest(fp[a : a + m], own[a : a + m]) for a, m in zip(starts[some].tolist(), sizes[some].tolist(), strict=True)]
+            u, v = (np.concatenate([m[c] for m in met]).view(np.int64) if met else np.zeros(0, np.int64) for c in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(5)]
-            rows[3] = rows[3].view(np.uint64)
-            same = np.ones(batch.num_rows, bool)
-            for c in range(3):
-                same &= rows[c] == rows[c][-1]
-            last = int(batch.num_rows - np.argmin(same[::-1])) if not same.all() else 0
-            if last or held and any(held[-1][c][-1] != rows[c][0] for c in range(3)):
+            cell, part, fp, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+            rows = (cell, part, fp.view(np.uint64), own)
+            last = int(np.argmax((cell == cell[-1]) & (part == part[-1])))  # where the batch's last group begins
+            if last or held and (held[-1][0][-1], held[-1][1][-1]) != (cell[0], part[0]):
                 if last:
                     held.append(tuple(r[:last] for r in rows))
                 yield settle()
@@ -174,28 +183,23 @@ def _links(dealt: DataFrame) -> DataFrame:
         if held:
             yield settle()
 
-    placed = dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    return placed.select("cell", "i", "j", "fp", "own").mapInArrow(tidied(run), "u long, v long")
+    placed = dealt.repartition("cell", "part").sortWithinPartitions("cell", "part")
+    return placed.select("cell", "part", "fp", "own").mapInArrow(tidied(run), "u long, v long")
 
 
 def fingerprint_links(classes: DataFrame) -> DataFrame:
     """u, v: links of distinct fingerprints (fp) that connect all whose bits differ in at most ``WITHIN`` places."""
-    cells = durable(_cells(classes))
-    # a cell without one of its own, or with one alone, has no pair
-    counts = durable(cells.groupBy("cell").agg(F.count("*").alias("m"), F.max("own").alias("owned")).where("m > 1 AND owned"))
-    none = F.lit(0).cast("long")
-    met = cells.join(counts, "cell")
-    low = met.where(F.col("m") <= CELL).select("cell", none.alias("i"), none.alias("j"), "fp", "own")
-    found = _links(low)
-    if counts.where(F.col("m") > CELL).isEmpty():
+    cells, large = _cells(classes), durable(_large(classes))
+    found = _links(cells.join(large, "cell", "left_anti").select("cell", F.lit(0).cast("long").alias("part"), "fp", "own"))
+    if large.isEmpty():
         return found.distinct()
-    cut = durable(met.where(F.col("m") > CELL).select("fp", "own", "cell", F.explode(_piece(F.col("fp"), F.col("cell"))).alias("piece")))
-    sizes = cut.groupBy("cell", "piece").agg(F.count("*").alias("m"), F.max("own").alias("owned")).where("m > 1 AND owned").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    held = cut.join(sizes, ["cell", "piece"]).withColumn("b", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (o != F.col("b")) | (F.col("blocks") == 1))
+    cut = durable(cells.join(large, "cell").select("fp", "own", "cell", F.explode(_piece(F.col("fp"), F.col("cell"))).alias("piece")))
+    sizes = cut.groupBy("cell", "piece").agg(F.count("*").alias("m"), F.max("own").alias("owned")).where("m > 1 AND owned").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("long"))
+    held = cut.join(sizes, ["cell", "piece"]).withColumn("b", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: (o != F.col("b")) | (F.col("blocks") == 1))
     spread = held.withColumn("o", F.explode(others))
     pair = F.least("b", "o") * F.col("blocks") + F.greatest("b", "o")
-    return found.unionByName(_links(spread.select("cell", (F.col("piece") + 1).alias("i"), pair.cast("long").alias("j"), "fp", "own"))).distinct()
+    return found.unionByName(_links(spread.select("cell", (pair * (PIECES << 16) + F.col("piece") + 1).alias("part"), "fp", "own"))).distinct()
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
@@ -207,7 +211,7 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     """
     made = durable(fingerprints(docs.select("doc_id", "text")))
     named = made.where("doc_id IS NOT NULL")
-    classes = durable(named.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    classes = durable(named.groupBy("fp").agg(F.min("doc_id").alias("rep")))  # read by each pass over the cells
     linked = durable(fingerprint_links(classes.select("fp")))
     rep = classes.select("fp", "rep")
     edges = linked.join(rep.withColumnsRenamed({"fp": "u", "rep": "a"}), "u").join(rep.withColumnsRenamed({"fp": "v", "rep": "b"}), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))

@@ -88,7 +88,7 @@ def test_links(spark, seed):
 
 def test_links_of_large_cells(spark, monkeypatch):
     """Cells beyond the bound are cut into pieces and blocks; no link is lost."""
-    monkeypatch.setattr(S, "CELL", 8)
+    monkeypatch.setattr(S, "CROWD", 3)
     monkeypatch.setattr(S, "BLOCK", 8)
     rng = np.random.default_rng(9)
     base = int(rng.integers(0, 1 << 64, dtype=np.uint64))
