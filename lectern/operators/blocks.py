@@ -54,26 +54,37 @@ def _met(questions: DataFrame, pages: DataFrame, keys: tuple[str, ...] = ("page"
     return _packed(pages, keys, BLOCK, "p").crossJoin(small(tiles, TILES)).select("tile", "q_keys", "q_vectors", "p_keys", "p_vectors")
 
 
-def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """tile, question keys, page keys (a row each), scores (questions x pages) of each block and tile."""
+def _pairs_of_blocks(batches: Iterator[pa.RecordBatch], width: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """tile, question keys and vectors, page keys (``width`` each) and vectors of each block and tile."""
     for batch in batches:
         tiles, qk, qv, pk, pv = (batch.column(i) for i in range(5))
         for r in range(batch.num_rows):
-            questions = np.frombuffer(qv[r].as_buffer(), np.float64).reshape(len(q := np.frombuffer(qk[r].as_buffer(), np.int64)), -1)
-            vectors = np.frombuffer(pv[r].as_buffer(), np.float64).reshape(-1, questions.shape[1])
-            p = np.frombuffer(pk[r].as_buffer(), np.int64).reshape(len(vectors), -1)
-            yield tiles[r].as_py(), q, p, np.round(questions @ vectors.T, DIGITS)
+            q, p = (np.frombuffer(x[r].as_buffer(), np.int64) for x in (qk, pk))
+            asked, said = np.frombuffer(qv[r].as_buffer(), np.float64), np.frombuffer(pv[r].as_buffer(), np.float64)
+            p = p.reshape(-1, width)
+            yield tiles[r].as_py(), q, asked.reshape(len(q), -1), p, said.reshape(len(p), -1)
+
+
+def _products(batches: Iterator[pa.RecordBatch], width: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """tile, question keys, page keys, scores (questions x pages) of each block and tile."""
+    for tile, q, asked, p, said in _pairs_of_blocks(batches, width):
+        yield tile, q, p, np.round(asked @ said.T, DIGITS)
+
+
+def _places(keys: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Where the k best columns of each row are, best first, equal ones by key."""
+    if scores.shape[1] <= k:
+        return np.lexsort((keys, -scores), axis=1)
+    kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k, None]
+    wide = int((scores >= kth).sum(axis=1).max())  # ties of the k-th come along
+    at = np.argpartition(-scores, wide - 1, axis=1)[:, :wide]
+    order = np.lexsort((np.take_along_axis(keys, at, axis=1), -np.take_along_axis(scores, at, axis=1)), axis=1)[:, :k]
+    return np.take_along_axis(at, order, axis=1)
 
 
 def _best(keys: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best columns of each row, best first, equal ones by key."""
-    if scores.shape[1] > k:
-        kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k, None]
-        wide = int((scores >= kth).sum(axis=1).max())  # ties of the k-th come along
-        at = np.argpartition(-scores, min(wide, scores.shape[1]) - 1, axis=1)[:, :wide]
-        keys, scores = np.take_along_axis(keys, at, axis=1), np.take_along_axis(scores, at, axis=1)
-    order = np.lexsort((keys, -scores), axis=1)[:, :k]
-    return np.take_along_axis(keys, order, axis=1), np.take_along_axis(scores, order, axis=1)
+    at = _places(keys, scores, k)
+    return np.take_along_axis(keys, at, axis=1), np.take_along_axis(scores, at, axis=1)
 
 
 def _top(k: int, temperature: float | None, most: int) -> Run:
@@ -136,7 +147,7 @@ def best_per_page(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, q, p, scores in _products(batches):
+        for _, q, p, scores in _products(batches, 2):
             order = np.lexsort((p[:, 1], p[:, 0]))
             p, scores = p[order], scores[:, order]
             starts = np.flatnonzero(np.concatenate([[True], p[1:, 0] != p[:-1, 0]]))
@@ -148,3 +159,57 @@ def best_per_page(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     met = _met(questions, chunks, ("page", "chunk_idx")).mapInArrow(run, "qid long, page long, sim double, chunk_idx long")
     best = met.groupBy("qid", "page").agg(F.max(F.struct("sim", (-F.col("chunk_idx")).alias("c"))).alias("b"))
     return best.select("qid", "page", "b.sim", (-F.col("b.c")).alias("chunk_idx"))
+
+
+def weigh_fields(question: np.ndarray, weights: np.ndarray, has: np.ndarray, fields: np.ndarray, least: np.ndarray, normalize: bool) -> tuple[np.ndarray, ...]:
+    """Places of the slides that may still be among a question's best, and their score, raw sum and used weight for each question.
+
+    question: Q x d; weights: Q x T; has: n x T, 1 where a slide has a field; fields: n x T x d, all unit vectors; ``least``: the
+    score that a slide must reach for each question. Fields are added by falling weight. A cosine is 1 at most, so a slide's sum
+    so far and its unused weights bound its score: what is below ``least`` for every question is dropped before its next field.
+    """
+    at, used, raw = np.arange(len(has)), weights @ has.T, np.zeros((len(question), len(has)))
+    rest = used.copy()
+
+    def scored(total: np.ndarray) -> np.ndarray:
+        return np.where(used > 0, total / np.where(used > 0, used, 1.0), 0.0) if normalize else total
+
+    for t in np.argsort(-weights.sum(axis=0), kind="stable"):
+        own = np.flatnonzero(has[at, t])
+        raw[:, own] += weights[:, t, None] * (question @ fields[at[own], t].T)
+        rest -= weights[:, t, None] * has[at, t]
+        alive = (scored(raw + rest) >= least[:, None] - 1e-9).any(axis=0)
+        if not alive.all():
+            at, used, raw, rest = at[alive], used[:, alive], raw[:, alive], rest[:, alive]
+    return at, np.round(scored(raw), DIGITS), raw, used
+
+
+def _top_weighted(k: int, n_fields: int, normalize: bool) -> Run:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states: dict[int, tuple[np.ndarray, ...]] = {}
+        for tile, q, asked, p, told in _pairs_of_blocks(batches):
+            d = asked.shape[1] - n_fields
+            had = states.get(tile)
+            least = had[1][:, -1] if had and had[1].shape[1] == k else np.full(len(q), -np.inf)
+            at, *found = weigh_fields(asked[:, :d], asked[:, d:], told[:, :n_fields], told[:, n_fields:].reshape(len(told), n_fields, d), least, normalize)
+            found = [np.broadcast_to(p[at, 0], found[0].shape), *found]
+            if had:
+                found = [np.concatenate(x, axis=1) for x in zip(had[:4], found, strict=True)]
+            best = _places(found[0], found[1], k)
+            states[tile] = (*[np.take_along_axis(x, best, axis=1) for x in found], q)
+        for *found, q in states.values():
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, found[0].shape[1])), *[pa.array(x.ravel()) for x in found]], names=["qid", "slide_id", "score", "raw_score", "used_weight"])
+
+    return run
+
+
+def top_weighted(questions: DataFrame, slides: DataFrame, k: int, n_fields: int, normalize: bool = True) -> DataFrame:
+    """qid, slide_id, score, raw_score, used_weight, rank of the ``k`` slides with the largest weighted mean of field similarities.
+
+    questions: qid, v (unit vector, then ``n_fields`` weights); slides: slide_id, v (1 or 0 for each field, then the fields' unit vectors,
+    zeros where there is none). Slides without a field score 0. Equal scores go by slide_id. A task keeps the states of all tiles it
+    meets: k x 32 bytes a question.
+    """
+    best = _met(questions, slides, ("slide_id",)).mapInArrow(_top_weighted(k, n_fields, normalize), "qid long, slide_id long, score double, raw_score double, used_weight double")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "slide_id")))
+    return ranked.where(F.col("rank") <= k)

@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 from ..functions import scoring as S
 from ..functions import vectors as V
 from ..functions.text import null_sentinel
-from .blocks import best_per_page, pages_above, top_pages
-from .shared import small
+from .blocks import best_per_page, pages_above, top_pages, top_weighted
+from .shared import small, stored
 
 
 def pair_up(questions: DataFrame, pages: DataFrame) -> DataFrame:
@@ -131,6 +131,35 @@ def rank_by_descriptions(slides: DataFrame, described: DataFrame, weights: DataF
     return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "slide_id")))
 
 
+def top_by_descriptions(slides: DataFrame, described: DataFrame, weights: DataFrame, queries: DataFrame, active: tuple[str, ...], k: int = 10, normalize: bool = True) -> DataFrame:
+    """The first ``k`` slides of each question as ``rank_by_descriptions`` ranks them, with what matched.
+
+    Only numbers are ranked: a slide's description vectors are one row, questions and slides meet in blocks, and slides that can't reach a
+    question's k best any more are dropped between fields. Texts are looked up for the slides found. ``described`` has one row a slide and
+    type; slide_id and qid are whole numbers.
+    """
+    first = queries.select(F.size("q_emb").alias("d")).where("d > 0").head()
+    width = first["d"] if first else 1
+    types = F.array(*map(F.lit, active))
+    usable = described.where(null_sentinel(F.col("text")).isNotNull() & F.col("emb").isNotNull() & F.col("qtype").isin(*active))
+    vectors = usable.select("slide_id", F.array_position(types, F.col("qtype")).alias("at"), V.l2_normalize(F.col("emb")).alias("unit"))
+    rows = slides.select("slide_id").distinct().join(vectors.groupBy("slide_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "unit"))).alias("f")), "slide_id", "left")
+    places, none = F.sequence(F.lit(1), F.lit(len(active))), F.array_repeat(F.lit(0.0), width)
+    has = F.transform(places, lambda t: F.when(F.try_element_at("f", t.cast("long")).isNotNull(), 1.0).otherwise(0.0))
+    fields = F.flatten(F.transform(places, lambda t: F.coalesce(F.try_element_at("f", t.cast("long")), none)))
+    weighed = weights.where("weight > 0").where(F.col("qtype").isin(*active)).groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("qtype", "weight"))).alias("w"))
+    asked = queries.select("qid", V.l2_normalize(F.col("q_emb")).alias("unit")).join(weighed, "qid", "left")
+    given = F.transform(types, lambda t: F.coalesce(F.try_element_at("w", t), F.lit(0.0)))
+    best = stored(top_weighted(asked.select("qid", F.concat("unit", given).alias("v")), rows.select("slide_id", F.concat(has, fields).alias("v")), k, len(active), normalize))
+    # the few slides found meet their texts
+    met = usable.select("slide_id", "qtype", null_sentinel(F.col("text")).alias("text"), V.l2_normalize(F.col("emb")).alias("v")).join(small(best.select("qid", "slide_id")), "slide_id").join(weights.where("weight > 0"), ["qid", "qtype"]).join(asked.select("qid", "unit"), "qid")
+    scored = met.withColumn("sim", V.dot(F.col("unit"), F.col("v"))).withColumn("weighted_sim", F.col("weight") * F.col("sim"))
+    field = F.struct((-F.col("weighted_sim")).alias("order"), F.array_position(types, F.col("qtype")).alias("place"), "qtype", "weight", "sim", "weighted_sim", "text")
+    matched = scored.groupBy("qid", "slide_id").agg(F.sort_array(F.collect_list(field)).alias("m"))
+    shown = F.transform(F.coalesce("m", F.array().cast(matched.schema["m"].dataType)), lambda x: x.dropFields("order", "place"))
+    return best.join(matched, ["qid", "slide_id"], "left").withColumn("matched", shown).drop("m")
+
+
 def mean_pool(tokens: DataFrame) -> DataFrame:
     """id, emb: masked mean of (id, mask, emb) rows, dimension by dimension."""
     flat = tokens.select("id", "mask", F.posexplode("emb").alias("d", "x"))

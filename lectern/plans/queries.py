@@ -240,21 +240,48 @@ def intent_plain(spark: SparkSession, d: str) -> DataFrame:
     return R.intent_weights(sims(spark, d), "plain").select("qid", "ord", r6("weight").alias("weight"))
 
 
-@query(f"""WITH e AS ({EMB}), t AS (SELECT vec_id // 12 AS slide_id, (vec_id % 12)::VARCHAR AS qtype, CASE vec_id % 7 WHEN 0 THEN NULL WHEN 1 THEN ' N/A ' WHEN 2 THEN '' ELSE 't' || vec_id END AS text, emb FROM e WHERE vec_id % 50 <> 0),
+DESCRIBED = f"""WITH e AS ({EMB}), t AS (SELECT vec_id // 12 AS slide_id, (vec_id % 12)::VARCHAR AS qtype, CASE vec_id % 7 WHEN 0 THEN NULL WHEN 1 THEN ' N/A ' WHEN 2 THEN '' ELSE 't' || vec_id END AS text, emb FROM e WHERE vec_id % 50 <> 0),
 u AS (SELECT * FROM t WHERE lower(trim(text)) NOT IN ('', 'none', 'null', 'n/a')), q AS (SELECT vec_id AS qid, emb FROM e WHERE vec_id % 50 = 0),
 m AS (SELECT qid, slide_id, (qtype::INT + 1) / 78.0::DOUBLE AS w, list_cosine_similarity(q.emb, u.emb) AS sim FROM q, u WHERE qtype::INT < 9),
 a AS (SELECT qid, slide_id, sum(w * sim) AS raw, sum(w) AS used, count(*) AS n FROM m GROUP BY ALL),
-z AS (SELECT q.qid, s.slide_id, coalesce(raw, 0) AS raw, coalesce(used, 0) AS used, coalesce(n, 0) AS n FROM q, (SELECT DISTINCT slide_id FROM t) s LEFT JOIN a ON a.qid = q.qid AND a.slide_id = s.slide_id)
-SELECT qid, slide_id, round(CASE WHEN used > 0 THEN raw / used ELSE raw END, 6) AS score, round(raw, 6) AS raw_score, round(used, 6) AS used_weight, n::INT AS n_matched FROM z""")
+z AS (SELECT q.qid, s.slide_id, coalesce(raw, 0) AS raw, coalesce(used, 0) AS used, coalesce(n, 0) AS n FROM q, (SELECT DISTINCT slide_id FROM t) s LEFT JOIN a ON a.qid = q.qid AND a.slide_id = s.slide_id)"""
+
+
+@query(DESCRIBED + " SELECT qid, slide_id, round(CASE WHEN used > 0 THEN raw / used ELSE raw END, 6) AS score, round(raw, 6) AS raw_score, round(used, 6) AS used_weight, n::INT AS n_matched FROM z")
 def weighted_qadesc_rank(spark: SparkSession, d: str) -> DataFrame:
+    ranked = R.rank_by_descriptions(*described(spark, d))
+    return ranked.select("qid", "slide_id", r6("score").alias("score"), r6("raw_score").alias("raw_score"), r6("used_weight").alias("used_weight"), F.size("matched").alias("n_matched"))
+
+
+def described(spark: SparkSession, d: str) -> tuple:
     e = vectors(spark, d)
     v = F.col("vec_id")
     text = F.when(v % 7 == 0, None).when(v % 7 == 1, " N/A ").when(v % 7 == 2, "").otherwise(F.concat(F.lit("t"), v))
     t = e.where("vec_id % 50 <> 0").select(F.floor(v / 12).alias("slide_id"), (v % 12).cast("string").alias("qtype"), text.alias("text"), "emb")
     w = questions(spark, d).select("qid", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("i")).select("qid", F.col("i").cast("string").alias("qtype"), ((F.col("i") + 1) / 78).alias("weight"))
-    q = questions(spark, d)
-    ranked = R.rank_by_descriptions(t.select("slide_id").distinct(), t, w, q, tuple(map(str, range(9))))
-    return ranked.select("qid", "slide_id", r6("score").alias("score"), r6("raw_score").alias("raw_score"), r6("used_weight").alias("used_weight"), F.size("matched").alias("n_matched"))
+    return t.select("slide_id").distinct(), t, w, questions(spark, d), tuple(map(str, range(9)))
+
+
+TOP_DESCRIBED = DESCRIBED + """, r AS (SELECT qid, slide_id, CASE WHEN used > 0 THEN raw / used ELSE raw END AS score, row_number() OVER (PARTITION BY qid ORDER BY round(CASE WHEN used > 0 THEN raw / used ELSE raw END, 12) DESC, slide_id) AS rank FROM z),
+f AS (SELECT q.qid, u.slide_id, u.qtype, (u.qtype::INT + 1) / 78.0::DOUBLE AS weight, list_cosine_similarity(q.emb, u.emb) AS sim, u.text FROM q, u WHERE u.qtype::INT < 9),
+h AS (SELECT *, row_number() OVER (PARTITION BY qid, slide_id ORDER BY weight * sim DESC, qtype::INT) - 1 AS pos FROM f)
+SELECT r.qid, r.slide_id, r.rank::INT AS rank, round(r.score, 6) AS score, pos::INT AS pos, qtype, round(weight, 6) AS weight, round(sim, 6) AS sim, round(weight * sim, 6) AS weighted_sim, text FROM r LEFT JOIN h ON h.qid = r.qid AND h.slide_id = r.slide_id{} WHERE rank <= 10"""
+
+
+def _matched(ranked: DataFrame) -> DataFrame:
+    each = ranked.select("qid", "slide_id", "rank", r6("score").alias("score"), F.posexplode_outer("matched").alias("pos", "m"))
+    return each.select("qid", "slide_id", "rank", "score", "pos", "m.qtype", r6("m.weight").alias("weight"), r6("m.sim").alias("sim"), r6("m.weighted_sim").alias("weighted_sim"), "m.text")
+
+
+@query(TOP_DESCRIBED.format(""))
+def weighted_qadesc_top(spark: SparkSession, d: str) -> DataFrame:
+    return _matched(R.top_by_descriptions(*described(spark, d), k=10))
+
+
+@query(TOP_DESCRIBED.format(" AND pos < 3"))
+def field_report(spark: SparkSession, d: str) -> DataFrame:
+    """The report of the ranker: ten slides of a question, three fields of each."""
+    return _matched(R.field_report(R.top_by_descriptions(*described(spark, d), k=10)))
 
 
 # ---- phrases

@@ -76,3 +76,43 @@ def test_no_pair_of_vectors_in_the_plan(spark):
     cross = plan[plan.index("Join Cross") :]
     assert "v#" not in cross.splitlines()[0]
     assert cross.count("MapInArrow") == 2  # both sides are blocks before they meet
+
+
+def slow_top(slides, described, weights, questions, active, k, normalize):
+    unit = lambda v: [x / max(math.sqrt(sum(y * y for y in v)), 1e-12) for x in v]
+    for qid, q in questions:
+        told = []
+        for s in slides:
+            fields = [(w, dot(unit(q), unit(e)), t, x) for i, t, x, e in described if i == s and t in active and (x or "").strip() not in ("", "none") and (w := weights.get((qid, t), 0)) > 0]
+            raw, used = sum(w * c for w, c, *_ in fields), sum(f[0] for f in fields)
+            told.append((-round(raw / used if used and normalize else raw, 12), s, used, sorted((-w * c, active.index(t), x) for w, c, t, x in fields)))
+        for r, (score, s, used, fields) in enumerate(sorted(told, key=lambda t: t[:2])[:k], 1):
+            yield qid, s, r, round(-score, 9), round(used, 9), [f[2] for f in fields]
+
+
+@pytest.mark.parametrize("normalize", [True, False])
+def test_top_by_descriptions(spark, small_blocks, normalize):
+    rng, active = random.Random(8), ("a", "b", "c", "d")
+    v = lambda: [rng.gauss(0, 1) for _ in range(5)]
+    slides, questions = list(range(100)), [(i, v()) for i in range(20)]
+    described = [(s, t, rng.choice(["x", "y", None, "none"]), v()) for s in slides if s % 9 for t in (*active, "e") if rng.random() < 0.7]
+    weights = {(i, t): rng.choice([0.0, 0.1, 0.5, 2.0]) for i, _ in questions for t in (*active, "e")}
+    frame = lambda rows, s: spark.createDataFrame(rows, s).repartition(3)
+    got = R.top_by_descriptions(frame([(s,) for s in slides], "slide_id long"), frame(described, "slide_id long, qtype string, text string, emb array<double>"), frame([(*key, w) for key, w in weights.items()], "qid long, qtype string, weight double"), frame(questions, "qid long, q_emb array<double>"), active, 6, normalize)
+    mine = sorted((r["qid"], r["slide_id"], r["rank"], round(r["score"], 9), round(r["used_weight"], 9), [m["text"] for m in r["matched"]]) for r in got.collect())
+    assert mine == sorted(slow_top(slides, described, weights, questions, active, 6, normalize))
+
+
+def test_bounds_drop_slides_between_fields():
+    """Slides that can't reach the least score lose their later fields, and nobody else."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    unit = lambda *s: (lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True))(rng.normal(size=s))
+    q, w, has, fields = unit(4, 8), np.tile([5.0, 1.0, 0.5], (4, 1)), np.ones((500, 3)), unit(500, 3, 8)
+    every = B.weigh_fields(q, w, has, fields, np.full(4, -np.inf), True)
+    least = np.sort(every[1], axis=1)[:, -5]
+    at, score, _, _ = B.weigh_fields(q, w, has, fields, least, True)
+    assert len(at) < 200 and len(every[0]) == 500
+    assert np.array_equal(score, every[1][:, at])
+    assert set(np.argsort(-every[1], axis=1)[:, :5].ravel()) <= set(at)

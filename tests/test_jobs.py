@@ -123,7 +123,7 @@ def test_command_lines(sf, tmp_path):
     said = call("jobs.answer_questions", "--documents", f"{tmp_path}/documents.parquet", "--questions", f"{sf}/benchmark.parquet", "--output", f"{tmp_path}/out", "--config", f"{tmp_path}/own.json")
     assert said.returncode == 0, said.stderr[-2000:]
     assert re.search(r"read \d+ documents", said.stderr) and re.search(r"wrote \d+ rows to .*answers", said.stderr)
-    n = duckdb.sql(f"SELECT count(*), count(DISTINCT qid) FROM '{tmp_path}/out/answers/*/*.parquet'").fetchone()
+    n = duckdb.sql(f"SELECT count(*), count(DISTINCT qid) FROM '{tmp_path}/out/answers/*/*.parquet'").fetchall()[0]
     assert n[0] == n[1] > 0
     said = call("jobs.embed_chunks", "--documents", f"{tmp_path}/documents.parquet", "--output", f"{tmp_path}/vectors", "--checkpoint", f"{tmp_path}/progress")
     assert said.returncode == 0, said.stderr[-2000:]
