@@ -19,6 +19,7 @@ def n_words(c: Column) -> Column:
     return F.size(F.filter(F.split(c, r"(?U)\s+"), lambda w: w != ""))
 
 
+# The patterns that sentences, bullets and numbered items are cut at, here and below.
 def sentences(c: Column) -> Column:
     """Cleaned sentences; common abbreviations lose their full stops first."""
     t = apply(c, CHUNK)

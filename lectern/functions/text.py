@@ -9,21 +9,36 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+
+from .vectors import let
 
 Step = tuple[str, ...]
 Steps = tuple[Step, ...]
 
 
-@pandas_udf(StringType())
-def ascii_fold(text: pd.Series) -> pd.Series:
-    """NFKD, then ASCII only: SQL has no compatibility decomposition."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
+@cache
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """What the compatibility decomposition leaves of each character in ASCII: one character, or several. Most leave nothing."""
+    left = {chr(c): unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode() for c in (*range(0x80, 0xD800), *range(0xE000, 0x110000)) if unicodedata.decomposition(chr(c))}
+    return {c: t for c, t in left.items() if len(t) == 1}, {c: t for c, t in left.items() if len(t) > 1}
+
+
+def ascii_fold(text: Column) -> Column:
+    """NFKD, then ASCII only: a translation of characters that leave one, then of those that leave several; others go.
+
+    A decomposition doesn't depend on the neighbours, and reordered marks aren't ASCII. Hangul decomposes to letters outside ASCII.
+    """
+    single, several = _folds()
+    kept = "".join(f"\\x{{{ord(c):X}}}" for c in several)
+    plain = F.regexp_replace(F.translate(text, "".join(single), "".join(single.values())), rf"[^\x00-\x7F{kept}]+", "")
+    told = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    spelt = lambda t: F.array_join(F.transform(F.split(t, ""), lambda c: F.when(F.octet_length(c) == 1, c).otherwise(F.try_element_at(told, c))), "")
+    only_ascii = lambda t: F.length(t) == F.octet_length(t)
+    return F.when(only_ascii(text), text).when(text.isNotNull(), let(plain, lambda t: F.when(only_ascii(t), t).otherwise(spelt(t))))
 
 
 #: Unicode white space, as the pattern class has it.
@@ -120,6 +135,7 @@ CONTRACTIONS = (
     (" cant", " cannot"), (" can't", " cannot"), (" shouldnt", " should not"), (" shouldn", " should not"), (" haven't", " have not"), (" havent", " have not"),
 )
 
+# The patterns of all cleaning steps.
 COLLAPSE: Steps = (("sub", r"\s+", " "), ("strip",))
 UNICODE_V1: Steps = tuple(("swap", a, b) for a, b in PLAIN)
 UNICODE_V2: Steps = (*UNICODE_V1, ("swap", "\u2022", " \u2022 "))

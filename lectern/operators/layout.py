@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,18 +56,19 @@ def rows(items: Column, threshold: float = 100.0) -> Column:
     An item joins the current row while its centre lies within ``threshold`` of the row's running mean.
     """
     ordered = F.array_sort(F.transform(items, lambda t: F.struct(t["cy"].cast("double").alias("cy"), t["x1"].alias("x1"), t["seq"].alias("seq"), t["text"].alias("text"))))
-    kind = "array<struct<cy:double,x1:int,seq:int,text:string>>"
-    start = F.struct(F.array().cast(f"array<{kind}>").alias("rows"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+    # the fold keeps where rows start, not their items
+    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(0).alias("i"))
 
     def step(acc: Column, t: Column) -> Column:
-        item = F.array(t).cast(kind)
-        joins = (acc["n"] > 0) & (F.abs(t["cy"] - acc["sum"] / F.greatest(acc["n"], F.lit(1))) <= threshold)
-        longer = F.concat(F.slice(acc["rows"], F.lit(1), F.size(acc["rows"]) - 1), F.array(F.concat(F.get(acc["rows"], F.size(acc["rows"]) - 1), item)))
-        return F.when(joins, F.struct(longer.alias("rows"), (acc["sum"] + t["cy"]).alias("sum"), (acc["n"] + 1).alias("n"))).otherwise(F.struct(F.concat(acc["rows"], F.array(item)).alias("rows"), t["cy"].alias("sum"), F.lit(1).alias("n")))
+        opens = (acc["n"] == 0) | (F.abs(t["cy"] - acc["sum"] / F.greatest(acc["n"], F.lit(1))) > threshold)
+        starts = F.when(opens, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"])
+        return F.struct(starts.alias("starts"), F.when(opens, t["cy"]).otherwise(acc["sum"] + t["cy"]).alias("sum"), F.when(opens, 1).otherwise(acc["n"] + 1).alias("n"), (acc["i"] + 1).alias("i"))
+
+    def cut(o: Column) -> Column:
+        across = lambda r: F.array_sort(F.transform(r, lambda t: F.struct(t["x1"], t["cy"], t["seq"], t["text"])))
+        return V.let(F.aggregate(o, start, step, lambda acc: acc["starts"]), lambda starts: F.transform(starts, lambda s, k: across(F.slice(o, s + 1, F.coalesce(F.get(starts, k + 1), F.size(o)) - s))))
 
-    grouped = F.aggregate(ordered, start, step, lambda acc: acc["rows"])
-    across = lambda r: F.array_sort(F.transform(r, lambda t: F.struct(t["x1"], t["cy"], t["seq"], t["text"])))
-    return F.transform(grouped, across)
+    return V.let(ordered, cut)
 
 
 def rows_to_lines(grouped: Column, cleaned: bool = False) -> Column:
@@ -72,16 +77,73 @@ def rows_to_lines(grouped: Column, cleaned: bool = False) -> Column:
 
 
 def distinct_boxes(items: Column, threshold: float = 0.5) -> Column:
-    """Items without those of the same text that overlap an item kept before them."""
+    """Items without those of the same text that overlap an item kept before them; for the few items of a column."""
     key = lambda t: F.lower(F.trim(t["text"]))
 
     def step(kept: Column, t: Column) -> Column:
-        seen = F.exists(kept, lambda k: (key(k) == key(t)) & (V.iou(t, k) > threshold))
-        return F.when(seen, kept).otherwise(F.concat(kept, F.array(t)))
+        seen = lambda k: F.exists(kept, lambda x: (key(x) == k) & (V.iou(t, x) > threshold))
+        return F.when(V.let(key(t), seen), kept).otherwise(F.concat(kept, F.array(t)))
 
     return F.aggregate(items, F.slice(items, 1, 0), step)
 
 
+class _Kept:
+    """Kept boxes in a grid for each size class, so that a box meets the few that can overlap it enough.
+
+    Boxes with an overlap over t have widths and heights within a factor t, and centres within 1 - t of the larger side: sizes are
+    classed by powers of two, and cells are as large as their class. Boxes that are kept overlap each other little, so a cell holds few.
+    """
+
+    def __init__(self, threshold: float) -> None:
+        self.least, self.near = threshold, math.ceil(-math.log2(threshold))
+        self.cells: dict[tuple[int, int, int, int], list[tuple]] = {}
+
+    def add(self, x1: float, y1: float, x2: float, y2: float) -> bool:
+        """Whether the box is kept. A box without area overlaps nothing."""
+        w, h = x2 - x1, y2 - y1
+        if w <= 0 or h <= 0:
+            return True
+        p, q, cx, cy = math.floor(math.log2(w)), math.floor(math.log2(h)), (x1 + x2) / 2, (y1 + y2) / 2
+
+        def cells(centre: float, own: int, other: int) -> range:
+            reach = (1 - self.least) * 2.0 ** (max(own, other) + 1)
+            return range(math.floor((centre - reach) / 2.0**other), math.floor((centre + reach) / 2.0**other) + 1)
+
+        for a in range(p - self.near, p + self.near + 1):
+            for b in range(q - self.near, q + self.near + 1):
+                for i in cells(cx, p, a):
+                    for j in cells(cy, q, b):
+                        for u1, v1, u2, v2 in self.cells.get((a, b, i, j), ()):
+                            both = max(0, min(x2, u2) - max(x1, u1)) * max(0, min(y2, v2) - max(y1, v1))
+                            if both / (w * h + (u2 - u1) * (v2 - v1) - both + 1e-6) > self.least:
+                                return False
+        self.cells.setdefault((p, q, math.floor(cx / 2.0**p), math.floor(cy / 2.0**q)), []).append((x1, y1, x2, y2))
+        return True
+
+
+def distinct_boxes_of(boxes: DataFrame, threshold: float = 0.5, order: str = "seq") -> DataFrame:
+    """Boxes (image_id, ``order``, text, x1, y1, x2, y2 ...) without those that overlap a box of the same image and text kept before them.
+
+    An image's boxes of one text stream by in order, and each meets kept boxes of its cells alone: the work grows with their number,
+    and a task holds the kept boxes of one group.
+    """
+    if not 0 < threshold < 1:
+        raise ValueError("the least overlap lies between 0 and 1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, kept = None, _Kept(threshold)
+        for batch in batches:
+            stays = []
+            for own, *box in zip(*[batch.column(c).to_pylist() for c in ("__group", "x1", "y1", "x2", "y2")], strict=True):
+                if own != group:
+                    group, kept = own, _Kept(threshold)
+                stays.append(kept.add(*box))
+            yield batch.filter(pa.array(stays, pa.bool_())).drop_columns(["__group"])
+
+    grouped = boxes.withColumn("__group", F.struct("image_id", F.lower(F.trim("text")).alias("text")))
+    return grouped.repartition("__group").sortWithinPartitions("__group", order).mapInArrow(run, boxes.schema)
+
+
 def tiles(height: Column, width: Column, share: float = 0.4, overlap: float = 0.8) -> Column:
     """(y, x) of every tile of an image; tiles are a share of it and strides a share of a tile."""
     ph, pw = F.floor(height * share).cast("int"), F.floor(width * share).cast("int")
@@ -100,10 +162,17 @@ def tiled_items(found: DataFrame, threshold: float = 0.5) -> DataFrame:
         t["text"].alias("text"), F.transform(t["bbox"], lambda p, i: F.when(i % 2 == 0, p + F.col("x")).otherwise(p + F.col("y"))).alias("bbox"),
         (t["x1"] + F.col("x")).alias("x1"), (t["y1"] + F.col("y")).alias("y1"), (t["x2"] + F.col("x")).alias("x2"), (t["y2"] + F.col("y")).alias("y2"), (t["cx"] + F.col("x")).alias("cx"), (t["cy"] + F.col("y")).alias("cy"),
     ))
-    whole = found.select("image_id", "tile", moved.alias("items")).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("tile", "items"))).alias("t"))
-    every = F.flatten(F.transform("t", lambda t: t["items"]))
-    numbered = F.transform(distinct_boxes(every, threshold), lambda t, i: t.withField("seq", i))
-    return whole.select("image_id", numbered.alias("items"))
+    each = found.select("image_id", "tile", F.posexplode(moved).alias("at", "item")).select("image_id", (F.col("tile").cast("long") * (1 << 31) + F.col("at")).alias("place"), "item")
+    kept = distinct_boxes_of(each.select("image_id", "place", "item.text", *[F.col(f"item.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")]), threshold, "place")
+    whole = each.join(kept.select("image_id", "place"), ["image_id", "place"])
+    listed = whole.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("place", "item"))).alias("t"))
+    found_any = found.select("image_id").distinct().join(listed, "image_id", "left")
+    made = F.transform("t", lambda t, i: t["item"].withField("seq", i))
+    return found_any.select("image_id", F.coalesce(made, F.array().cast(_type_of(listed.select(made.alias("m"))))).alias("items"))
+
+
+def _type_of(df: DataFrame) -> object:
+    return df.schema[0].dataType
 
 
 def image_rows(items: Column, threshold: float = 100.0) -> Column:

@@ -61,17 +61,19 @@ def drop_subsumed(phrases: Column) -> Column:
 
 def mmr(phrases: Column, embeddings: Column, question: Column, k: int = 6, relevance: float = 0.8) -> Column:
     """Positions (from 0) of the phrases that maximal marginal relevance picks, in order of choice."""
-    near = F.transform(embeddings, lambda e: V.dot(e, question))
     n = F.size(phrases)
+    bonus = F.transform(phrases, lambda p: F.when(F.contains(p, F.lit(" ")), 0.03).otherwise(0.0))
+    empty = F.array().cast("array<int>")
+    # each candidate's greatest similarity to the chosen ones: a pick costs one dot product a candidate
+    start = F.struct(empty.alias("chosen"), F.transform(phrases, lambda _: F.lit(None).cast("double")).alias("worst"))
 
-    def pick(chosen: Column, _: Column) -> Column:
-        def score(i: Column) -> Column:
-            worst = F.coalesce(F.array_max(F.transform(chosen, lambda j: V.dot(F.get(embeddings, i), F.get(embeddings, j)))), F.lit(0.0))
-            return relevance * F.get(near, i) - (1 - relevance) * worst + F.when(F.contains(F.get(phrases, i), F.lit(" ")), 0.03).otherwise(0.0)
+    def select(near: Column) -> Column:
+        def pick(acc: Column, _: Column) -> Column:
+            score = lambda i: relevance * F.get(near, i) - (1 - relevance) * F.coalesce(F.get(acc["worst"], i), F.lit(0.0)) + F.get(bonus, i)
+            left = F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~F.array_contains(acc["chosen"], i))
+            taken = lambda best: V.let(F.get(embeddings, -best["i"]), lambda v: F.struct(F.concat(acc["chosen"], F.array(-best["i"])).alias("chosen"), F.transform(acc["worst"], lambda w, i: F.greatest(w, V.dot(F.get(embeddings, i), v))).alias("worst")))
+            return V.let(F.array_max(F.transform(left, lambda i: F.struct(score(i).alias("s"), (-i).alias("i")))), taken)
 
-        left = F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~F.array_contains(chosen, i))
-        best = F.array_max(F.transform(left, lambda i: F.struct(score(i).alias("s"), (-i).alias("i"))))
-        return F.concat(chosen, F.array(-best["i"]))
+        return F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k), F.greatest(n, F.lit(1)))), start, pick, lambda acc: acc["chosen"])
 
-    empty = F.array().cast("array<int>")
-    return F.when(n == 0, empty).otherwise(F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k), F.greatest(n, F.lit(1)))), empty, pick))
+    return F.when(n == 0, empty).otherwise(V.let(F.transform(embeddings, lambda e: V.dot(e, question)), select))

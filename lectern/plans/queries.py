@@ -291,6 +291,16 @@ def field_report(spark: SparkSession, d: str) -> DataFrame:
 CANDIDATES = 20
 
 
+@query(f"""WITH RECURSIVE e AS ({EMB}), g AS (SELECT vec_id // {CANDIDATES} AS block, list(vec_id ORDER BY vec_id) AS ids, list(emb ORDER BY vec_id) AS es FROM e GROUP BY block),
+c AS (SELECT ids[1] AS qid, es[2:] AS es, list_transform(es[2:], lambda x: list_dot_product(x, es[1])) AS near, list_transform(ids[2:], lambda i: CASE WHEN i % 3 = 0 THEN 0.03 ELSE 0.0 END::DOUBLE) AS bonus FROM g),
+r AS (SELECT qid, es, near, bonus, 0 AS n, []::INT[] AS picked, list_transform(es, lambda x: NULL::DOUBLE) AS worst FROM c UNION ALL
+SELECT qid, es, near, bonus, n + 1, list_append(picked, b), list_transform(worst, lambda w, i: greatest(w, list_dot_product(es[i], es[b]))) FROM (SELECT *, (-list_sort(list_transform(list_filter(range(1, len(es) + 1), lambda i: NOT list_contains(picked, i)), lambda i: {{'s': 0.8::DOUBLE * near[i] - 0.2::DOUBLE * coalesce(worst[i], 0) + bonus[i], 'i': -i}}), 'DESC')[1].i)::INT AS b FROM r WHERE n < least(6, len(es))))
+SELECT qid, unnest(range(len(picked)))::INT AS pos, unnest(picked) - 1 AS picked FROM r WHERE n = least(6, len(es))""")
+def mmr_picks(spark: SparkSession, d: str) -> DataFrame:
+    """mmr_select, a row a pick."""
+    return mmr_select(spark, d).select("qid", F.posexplode("picked").alias("pos", "picked"))
+
+
 @query()
 def mmr_select(spark: SparkSession, d: str) -> DataFrame:
     g = vectors(spark, d).groupBy(F.floor(F.col("vec_id") / CANDIDATES).alias("block")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "emb"))).alias("c"))
@@ -547,17 +557,62 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select(F.floor(F.col("event_id") / ITEMS).alias("image_id"), (F.col("event_id") % ITEMS + 1).cast("int").alias("seq"), F.col("event_type").alias("text"), (F.col("user_id") % 97).cast("int").alias("x1"), F.col("value").cast("double").alias("cy"))
 
 
-@query()
+ITEM_SQL = f"SELECT event_id // {ITEMS} AS image_id, (event_id % {ITEMS} + 1)::INT AS seq, event_type AS text, user_id % 97 AS x1, value::DOUBLE AS cy FROM events"
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY cy, x1, seq) AS k FROM ({ITEM_SQL})),
+r AS (SELECT image_id, k, cy AS s, 1 AS n, 1 AS line FROM o WHERE k = 1 UNION ALL
+SELECT o.image_id, o.k, CASE WHEN abs(o.cy - s / n) <= 18 THEN s + o.cy ELSE o.cy END, CASE WHEN abs(o.cy - s / n) <= 18 THEN n + 1 ELSE 1 END, CASE WHEN abs(o.cy - s / n) <= 18 THEN line ELSE line + 1 END FROM r JOIN o ON o.image_id = r.image_id AND o.k = r.k + 1),
+l AS (SELECT image_id, line, string_agg(text, ' ' ORDER BY x1, cy, seq) AS text FROM r JOIN o USING (image_id, k) GROUP BY ALL)
+SELECT image_id, string_agg(text, chr(10) ORDER BY line) AS text FROM l GROUP BY image_id""")
 def group_rows(spark: SparkSession, d: str) -> DataFrame:
     g = items(spark, d).groupBy("image_id").agg(F.collect_list(F.struct("text", "x1", "cy", "seq")).alias("i"))
     return g.select("image_id", F.array_join(L.rows_to_lines(L.rows(F.col("i"), 18.0)), "\n").alias("text"))
 
 
+def boxes(spark: SparkSession, d: str) -> DataFrame:
+    y1 = F.col("seq") % 7
+    return items(spark, d).select("image_id", "seq", "text", "x1", y1.alias("y1"), (F.col("x1") + 40).alias("x2"), (y1 + 20).alias("y2"))
+
+
 @query()
 def dedup_boxes(spark: SparkSession, d: str) -> DataFrame:
-    b = items(spark, d).withColumn("box", F.struct("seq", "text", F.col("x1"), (F.col("seq") % 7).alias("y1"), (F.col("x1") + 40).alias("x2"), (F.col("seq") % 7 + 20).alias("y2")))
-    g = b.groupBy("image_id").agg(F.sort_array(F.collect_list("box")).alias("i"))
-    return g.select("image_id", F.size("i").alias("n"), F.transform(L.distinct_boxes(F.col("i")), lambda t: t["seq"]).alias("kept"))
+    kept = L.distinct_boxes_of(boxes(spark, d)).groupBy("image_id").agg(F.sort_array(F.collect_list("seq")).alias("kept"))
+    return items(spark, d).groupBy("image_id").agg(F.count("*").cast("int").alias("n")).join(kept, "image_id")
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT image_id, seq, {{'seq': seq, 'text': lower(trim(text)), 'x': x1, 'y': seq % 7}} AS b FROM ({ITEM_SQL})),
+r AS (SELECT DISTINCT image_id, 0 AS k, [{{'seq': 0, 'text': '', 'x': 0::BIGINT, 'y': 0}}][2:] AS kept FROM o UNION ALL
+SELECT r.image_id, k + 1, CASE WHEN len(list_filter(kept, lambda p: p.text = o.b.text AND greatest(0, 40 - abs(p.x - o.b.x)) * greatest(0, 20 - abs(p.y - o.b.y)) / (1600 - greatest(0, 40 - abs(p.x - o.b.x)) * greatest(0, 20 - abs(p.y - o.b.y)) + 1e-6) > 0.5)) > 0 THEN kept ELSE list_append(kept, o.b) END FROM r JOIN o ON o.image_id = r.image_id AND o.seq = k + 1),
+f AS (SELECT image_id, kept FROM r QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY k DESC) = 1)
+SELECT image_id, unnest(list_transform(kept, lambda p: p.seq)) AS seq FROM f""")
+def kept_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """dedup_boxes, a row a box."""
+    return L.distinct_boxes_of(boxes(spark, d)).select("image_id", "seq")
+
+
+#: Height and width of the images that tiles are cut from.
+IMAGE = (60, 150)
+
+
+@query()
+def tiled_items(spark: SparkSession, d: str) -> DataFrame:
+    """Items as a recognizer finds them in overlapping tiles: each in every tile that holds it whole, at its place there. Merging puts the image together again."""
+    height, width = (int(n * 0.4) for n in IMAGE)
+    grid = F.transform(L.tiles(*map(F.lit, IMAGE)), lambda t, i: F.struct(i.alias("tile"), t["y"].alias("y"), t["x"].alias("x")))
+    b = items(spark, d).select("image_id", "seq", "text", "x1", (F.col("seq") % 5 * 11).alias("y1"))
+    seen = b.select("*", F.inline(grid)).where(f"x1 >= x AND x1 + 30 <= x + {width} AND y1 >= y AND y1 + 9 <= y + {height}")
+    at = {"x1": F.col("x1") - F.col("x"), "y1": F.col("y1") - F.col("y"), "x2": F.col("x1") + 30 - F.col("x"), "y2": F.col("y1") + 9 - F.col("y")}
+    item = F.struct("text", F.array(*at.values()).alias("bbox"), *[c.alias(k) for k, c in at.items()], ((at["x1"] + at["x2"]) / 2).alias("cx"), ((at["y1"] + at["y2"]) / 2).alias("cy"))
+    found = seen.groupBy("image_id", "tile", "y", "x").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", item.alias("item")))), lambda s: s["item"]).alias("items"))
+    return L.tiled_items(found).select("image_id", F.inline("items")).select("image_id", "seq", "text", "x1", "y1", "x2", "y2")
+
+
+@query()
+def image_text(spark: SparkSession, d: str) -> DataFrame:
+    """The text of the images that tiles were merged to, and its cleaned lines."""
+    g = tiled_items(spark, d).groupBy("image_id").agg(F.collect_list(F.struct("text", "x1", ((F.col("y1") + F.col("y2")) / 2).alias("cy"), "seq")).alias("i"))
+    return g.select("image_id", L.image_text(F.col("i"), 10.0).alias("text"), F.array_join(L.image_lines(F.col("i"), 10.0), "\n").alias("lines"))
 
 
 BOX = "SELECT p_partkey AS k, p_size AS x1, p_size % 7 AS y1, p_size + 20 AS x2, p_size % 7 + 10 AS y2 FROM part"
