@@ -53,17 +53,3 @@ def best_title_match(entries: DataFrame, least: float = 0.75) -> DataFrame:
     scored = entries.withColumn("score", title_ratio(clean(F.col("query_title"), "title_key"), clean(F.col("entry_title"), "title_key")))
     best = scored.groupBy("query_title").agg(F.max_by(F.struct("entry_id", "entry_title", "score"), F.struct(F.col("score"), -F.col("ord"))).alias("b"))
     return best.select("query_title", "b.entry_id", "b.entry_title", "b.score", (F.col("b.score") >= least).alias("accepted"))
-
-
-def match_titles(questions: DataFrame, entries: DataFrame, least: float = 0.75) -> DataFrame:
-    """best_title_match of every query title with every entry (ord, entry_id, entry_title).
-
-    Only equal keys have ratio 1, which none exceeds: they meet in a join, and titles without an equal are compared.
-    """
-    from .ranking import pair_up
-
-    asked = questions.select("query_title", clean(F.col("query_title"), "title_key").alias("key")).distinct()
-    first = entries.groupBy(clean(F.col("entry_title"), "title_key").alias("key")).agg(F.min_by(F.struct("entry_id", "entry_title"), "ord").alias("b"))
-    equal = asked.join(first, "key").select("query_title", "b.entry_id", "b.entry_title", F.lit(1.0).alias("score"), (F.lit(1.0) >= least).alias("accepted"))
-    rest = asked.join(first, "key", "left_anti").select("query_title")
-    return equal.unionByName(best_title_match(pair_up(rest, entries), least))

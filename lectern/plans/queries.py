@@ -22,6 +22,7 @@ from ..operators import phrases as K
 from ..operators import ranking as R
 from ..operators import records as C
 from ..operators import tables as J
+from ..operators.titles import match_titles
 from .models import letters26, title_ratio
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -535,10 +536,11 @@ def null_sentinels(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def title_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Every title is asked for as somebody recalls it, without its second word and with two letters swapped; the entries are the titles as they are."""
     titled = read(spark, d, "documents").select("doc_id", T.title_and_body(F.col("text"))[0].alias("t"))
-    asked_ = titled.select(F.col("t").alias("query_title"))
+    recalled = F.regexp_replace(F.regexp_replace("t", r"^(\S+) \S+ ", "$1 "), r"(\w)(\w)(\w)$", "$2$1$3")
     entries = titled.select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("entry_id"), F.col("t").alias("entry_title"))
-    return J.match_titles(asked_, entries).withColumn("score", r6("score"))
+    return match_titles(titled.select(recalled.alias("query_title")), entries).withColumn("score", r6("score"))
 
 
 @query()
