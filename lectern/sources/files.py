@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,23 +92,74 @@ def plain_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def atom_entries(feeds: DataFrame) -> DataFrame:
-    """query_title, ord, entry_id, entry_title, pdf_url from (query_title, xml) of Atom feeds."""
+    """query_title, ord, entry_id, entry_title, pdf_url from (query_title, xml) of Atom feeds, or from their pages (query_title, start, xml)."""
     entry = F.from_xml("xml", F.lit("entry " + ATOM), {"rowTag": "feed"})
-    e = feeds.select("query_title", F.posexplode(entry["entry"]).alias("ord", "e"))
+    start = F.col("start") if "start" in feeds.columns else F.lit(0)
+    e = feeds.select("query_title", start.alias("start"), F.posexplode(entry["entry"]).alias("at", "e")).withColumn("ord", F.col("start") + F.col("at"))
     pdf = F.get(F.filter("e.link", lambda x: x["_title"] == "pdf"), F.lit(0))["_href"]
     return e.select("query_title", "ord", F.col("e.id").alias("entry_id"), F.trim(F.regexp_replace("e.title", r"\s+", " ")).alias("entry_title"), pdf.alias("pdf_url"))
 
 
+def title_query(title: str) -> str:
+    """The query of a title; what would end its quotes early is a blank."""
+    return 'ti:"' + " ".join(re.sub(r'["\\]', " ", title).split()) + '"'
+
+
 def search_feeds(titles: DataFrame, fetch: Callable[[str, int], str], most: int = 5) -> DataFrame:
     """query_title, xml of every distinct title: ``fetch`` asks a service for the feed of a title query of ``most`` entries."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"query_title": part["query_title"], "xml": [fetch(f'ti:"{t}"', most) for t in part["query_title"]]})
+            yield pd.DataFrame({"query_title": part["query_title"], "xml": [fetch(title_query(t), most) for t in part["query_title"]]})
 
     return titles.where("query_title IS NOT NULL").select("query_title").distinct().mapInPandas(run, "query_title string, xml string")
 
 
+PAGES = "query_title string, start int, xml string, error string"
+
+
+def stored_pages(spark: SparkSession, store: str) -> DataFrame:
+    """query_title, start, xml of the pages that ``store`` holds; none, if it isn't there yet."""
+    try:
+        pages = spark.read.schema(PAGES).parquet(store)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        pages = spark.createDataFrame([], PAGES)
+    return pages.where("xml IS NOT NULL").groupBy("query_title", "start").agg(F.any_value("xml").alias("xml"))
+
+
+def search_pages(titles: DataFrame, fetch: Callable[[str, int, int], str], store: str, most: int = 5, page: int = 5, retries: int = 3, wait: float = 1.0, per_second: float | None = None, tasks: int = 8) -> DataFrame:
+    """query_title, start, xml: the pages of the first ``most`` entries of every distinct title, asked for ``page`` at a time.
+
+    ``fetch(query, start, count)`` asks the service; a request that fails is repeated ``retries`` times, with doubled waits, and then noted with its error.
+    All tasks together ask at most ``per_second`` times a second. Pages are appended to the table ``store``: what it holds
+    is never asked for again, so a call that broke off or met errors is simply repeated and asks for the rest.
+    """
+    spark = titles.sparkSession
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gap, last = (tasks / per_second if per_second else 0.0), 0.0
+        for part in parts:
+            for title, start, count in part.itertuples(index=False):
+                xml = error = None
+                for attempt in range(retries + 1):
+                    time.sleep(max(0.0, last + gap - time.monotonic(), wait * 2 ** (attempt - 1) if attempt else 0.0))
+                    last = time.monotonic()
+                    try:
+                        xml, error = fetch(title_query(title), int(start), int(count)), None
+                        break
+                    except Exception as e:  # whatever a service or its library raises
+                        error = f"{type(e).__name__}: {e}"
+                yield pd.DataFrame({"query_title": [title], "start": [start], "xml": [xml], "error": [error]})
+
+    wanted = titles.where("query_title IS NOT NULL").select("query_title").distinct().select("query_title", F.explode(F.sequence(F.lit(0), F.lit(most - 1), F.lit(page))).alias("start"))
+    left = wanted.join(stored_pages(spark, store).select("query_title", "start"), ["query_title", "start"], "left_anti")
+    asked = left.select("query_title", "start", F.least(F.lit(page), most - F.col("start")).alias("count")).repartition(tasks, "query_title", "start")
+    asked.mapInPandas(run, PAGES).write.mode("append").parquet(store)
+    return stored_pages(spark, store).join(wanted, ["query_title", "start"], "left_semi")
+
+
 def chosen_papers(entries: DataFrame, folder: str, least: float = 0.75) -> DataFrame:
     """The likeliest entry of each title and the path it is stored under; null where it is too unlike or has no file.
 

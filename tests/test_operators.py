@@ -98,3 +98,30 @@ def test_stream(spark, tmp_path, sf):
     run.processAllAvailable()
     run.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_paged_search_of_a_flaky_service(spark, tmp_path):
+    """Failing requests are repeated, then noted; stored pages are never asked for again; entries are numbered through their pages."""
+    asked = spark.sparkContext.accumulator(0)
+    log = str(tmp_path / "asked")
+
+    def fetch(query, start, count):
+        asked.add(1)
+        with open(log, "a") as f:
+            f.write(f"{query} {start}\n")
+        tries = open(log).read().split("\n").count(f"{query} {start}")
+        if "down" in query and tries <= 4 or "flaky" in query and tries == 1:
+            raise OSError("no answer")
+        entries = "".join(f"<entry><id>{query[4:-1]}-{i}</id><title>T {i}</title><link href='x'/></entry>" for i in range(start, min(start + count, 7)))
+        return f"<feed>{entries}</feed>"
+
+    titles = spark.createDataFrame([("flaky",), ("fine",), ('with "quotes" \\',), ("down",), ("fine",), (None,)], "query_title string")
+    call = lambda: files.search_pages(titles, fetch, str(tmp_path / "store"), most=8, page=3, retries=2, wait=0.01, per_second=400.0, tasks=2)
+    first = call()
+    assert first.count() == 9  # three pages each of the titles whose service answered
+    assert asked.value == 3 * 2 + 3 + 3 + 3 * 3
+    assert open(log).read().count('ti:"with quotes"') == 3
+    assert call().count() == 12 and asked.value == 21 + 3 * 2  # of those that failed alone
+    assert call().count() == 12 and asked.value == 27
+    entries = files.atom_entries(call()).where("query_title = 'fine'").orderBy("ord").collect()
+    assert [(r["ord"], r["entry_id"]) for r in entries] == [(i, f"fine-{i}") for i in range(7)]
