@@ -14,15 +14,17 @@ DROPPED = ("desc_text", "title_text", "body_text", "ocr_text", "desc_chunks")
 
 def join_by_position(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
     """Rows of both sides by their place, numbered from 0; the shorter side ends the result. Rows of equal order go by a
-    hash of all their columns, and nulls come first."""
-    return _numbered(left, left_order, "pos").join(_numbered(right, right_order, "pos"), "pos")
+    hash of all their columns, maps included, and nulls come first. Columns of the right side that are named as one of the left get
+    the prefix right_."""
+    numbered = _numbered(right, right_order, "pos").withColumnsRenamed({c: f"right_{c}" for c in right.columns if c in left.columns})
+    return _numbered(left, left_order, "pos").join(numbered, "pos")
 
 
 def _numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     """Places without one global window: rows are ranged and numbered within their range once, and that table is stored;
     the counts of its ranges shift the numbers."""
     keys = [F.col(order), F.col("__tie")]
-    ranged = df.withColumn("__tie", F.xxhash64(*df.columns)).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__tie")
+    ranged = df.withColumn("__tie", F.xxhash64(F.to_json(F.struct(*df.columns)))).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__tie")
     # the low part of this id is the row's number within its partition
     table = stored(ranged.withColumn("__part", F.spark_partition_id()).withColumn("__n", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
     counts = table.groupBy("__part").agg(F.count("*").alias("__c"))

@@ -166,7 +166,7 @@ def _weight_sql(field: str) -> str:
     return f"({out})::DOUBLE"
 
 
-ASKED = """(SELECT item_id AS qid, (CASE item_id % 8 WHEN 0 THEN 'What specific term is shown? ' WHEN 1 THEN 'Exactly how many are different: ' WHEN 2 THEN 'Which paper ' WHEN 3 THEN 'visually ' WHEN 4 THEN 'What number ' WHEN 5 THEN 'Which company share ' WHEN 6 THEN 'OpenAI red box 12 ' ELSE '' END) || text AS question FROM benchmark)"""
+ASKED = """(SELECT item_id AS qid, (CASE item_id % 8 WHEN 0 THEN 'What specific term is shown? ' WHEN 1 THEN 'Exactly how many are different, 7 or 12.5: ' WHEN 2 THEN 'Which paper ' WHEN 3 THEN 'visually ' WHEN 4 THEN 'What number ' WHEN 5 THEN 'Which company share ' WHEN 6 THEN 'OpenAI red box 12 ' ELSE '' END) || text AS question FROM benchmark)"""
 KEYWORDS = "list_filter(regexp_extract_all(lower(question), '[a-z0-9\\-]+'), lambda t: NOT list_contains([" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "], t) AND length(t) > 2)"
 OVERLAP = "CASE WHEN len(list_distinct({k})) = 0 OR len(regexp_extract_all(lower({t}), '[a-z0-9\\-]+')) = 0 THEN 0 ELSE len(list_intersect(list_distinct({k}), list_distinct(regexp_extract_all(lower({t}), '[a-z0-9\\-]+')))) / greatest(len(list_distinct({k})), 1) END"
 NUMBER = "CASE WHEN (" + " OR ".join(f"contains(lower(question), '{n}')" for n in S.NUMBER_TRIGGERS) + ") AND regexp_matches({t}, '\\b\\d+(?:\\.\\d+)?\\b') THEN 0.05 ELSE 0 END"
@@ -174,7 +174,7 @@ PHRASE = "(" + " + ".join(f"contains(lower({{t}}), '{p}')::INT * 0.05" for p in
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
-    heads = ("What specific term is shown? ", "Exactly how many are different: ", "Which paper ", "visually ", "What number ", "Which company share ", "OpenAI red box 12 ", "")
+    heads = ("What specific term is shown? ", "Exactly how many are different, 7 or 12.5: ", "Which paper ", "visually ", "What number ", "Which company share ", "OpenAI red box 12 ", "")
     lead = F.get(F.array(*map(F.lit, heads)), (F.col("item_id") % 8).cast("int"))
     return read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.concat(lead, "text").alias("question"))
 
@@ -310,13 +310,12 @@ def mmr_select(spark: SparkSession, d: str) -> DataFrame:
     return g.select("qid", K.mmr(names, F.transform("c", lambda s: s["emb"]), F.col("q_emb")).alias("picked"))
 
 
-PHRASED = "list_concat(string_split(regexp_extract(text, '^\\S+ \\S+ \\S+ \\S+'), ' '), [regexp_extract(text, '^\\S+ \\S+'), 'zz'])"
-
-
-@query(f"WITH p AS (SELECT item_id, {PHRASED} AS p FROM benchmark), u AS (SELECT item_id, p, string_split(p[-2], ' ') AS inside FROM p) SELECT item_id, array_to_string(list_filter(p, lambda x, i: x <> '' AND (contains(x, ' ') OR NOT list_contains(inside, x)) AND list_position(p, x) = i), '|') AS kept FROM u")
+@query("WITH w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), p AS (SELECT item_id, list_filter(list_concat(w, list_transform(range(1, len(w), 3), lambda i: w[i] || ' ' || w[i + 1]), ['zz']), lambda x: x <> '') AS p FROM w), u AS (SELECT item_id, p, flatten(list_transform(list_filter(p, lambda x: contains(x, ' ')), lambda x: string_split(x, ' '))) AS inside FROM p) SELECT item_id, array_to_string(list_filter(p, lambda x, i: (contains(x, ' ') OR NOT list_contains(inside, x)) AND list_position(p, x) = i), '|') AS kept FROM u")
 def drop_subsumed_words(spark: SparkSession, d: str) -> DataFrame:
-    four, two = F.regexp_extract("text", r"^\S+ \S+ \S+ \S+", 0), F.regexp_extract("text", r"^\S+ \S+", 0)
-    return read(spark, d, "benchmark").select("item_id", F.array_join(K.drop_subsumed(F.filter(F.concat(F.split(four, " "), F.array(two, F.lit("zz"))), lambda p: p != "")), "|").alias("kept"))
+    """All words of an item and pairs of them: every third word begins a pair, so each third one stays alone."""
+    w = F.split("text", " ")
+    pairs = F.transform(F.filter(F.sequence(F.lit(0), F.size(w)), lambda i: (i % 3 == 0) & (i + 1 < F.size(w))), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))
+    return read(spark, d, "benchmark").select("item_id", F.array_join(K.drop_subsumed(F.filter(F.concat(w, pairs, F.array(F.lit("zz"))), lambda p: p != "")), "|").alias("kept"))
 
 
 # ---- text
@@ -705,11 +704,11 @@ def intent_ranking(spark: SparkSession, d: str) -> DataFrame:
     return R.intent_ranking(R.intent_weights(sims(spark, d), "plain").withColumn("weight", r6("weight")))
 
 
-@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'none' WHEN 1 THEN CASE WHEN url LIKE 'http%://%' THEN 'url' ELSE 'raw' END WHEN 2 THEN CASE WHEN coalesce(url, '') <> '' THEN 'url' ELSE 'paper' END WHEN 3 THEN 'paper' ELSE 'structured' END AS type FROM pages")
+@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'none' WHEN 1 THEN CASE WHEN page_id % 2 = 1 AND url LIKE 'http%://%' THEN 'url' ELSE 'raw' END WHEN 2 THEN CASE WHEN coalesce(url, '') <> '' THEN 'url' ELSE 'paper' END WHEN 3 THEN 'paper' ELSE 'structured' END AS type FROM pages")
 def reference_types(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("page_id") % 5
     ref = F.when(n >= 2, F.struct(F.when(n < 4, "A title").alias("title"), F.when(n == 2, F.col("url")).alias("url")))
-    return read(spark, d, "pages").select("page_id", C.detect_reference_type(ref, F.when(n == 1, F.col("url"))).alias("type"))
+    return read(spark, d, "pages").select("page_id", C.detect_reference_type(ref, F.when(n == 1, F.when(F.col("page_id") % 2 == 1, F.col("url")).otherwise(F.concat(F.lit("Words, ACL, "), "page_id")))).alias("type"))
 
 
 @query("SELECT doc_id AS slide_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), chr(10)) AS text FROM documents")

@@ -5,7 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from lectern.operators import layout, phrases, ranking, records
+from lectern.operators import layout, phrases, ranking, records, tables
+from lectern.plans import models
 from lectern.sources import files
 from lectern.streaming.questions import answer_stream
 
@@ -125,3 +126,46 @@ def test_paged_search_of_a_flaky_service(spark, tmp_path):
     assert call().count() == 12 and asked.value == 27
     entries = files.atom_entries(call()).where("query_title = 'fine'").orderBy("ord").collect()
     assert [(r["ord"], r["entry_id"]) for r in entries] == [(i, f"fine-{i}") for i in range(7)]
+
+
+def test_positional_join_of_maps_and_equal_names(spark):
+    left = spark.createDataFrame([(2, {"a": "x"}, "l2"), (1, {"b": "y"}, "l1"), (None, None, "l0")], "k int, m map<string,string>, v string")
+    right = spark.createDataFrame([(5, "r0"), (7, "r1")], "k int, v string")
+    got = tables.join_by_position(left, right, "k", "k").orderBy("pos").collect()
+    assert [(r["pos"], r["k"], r["m"], r["v"], r["right_k"], r["right_v"]) for r in got] == [(0, None, None, "l0", 5, "r0"), (1, 1, {"b": "y"}, "l1", 7, "r1")]
+
+
+def test_reports_cut_texts_and_fields(spark):
+    ranked = spark.createDataFrame([(1, i, "x" * (240 + 5 * i)) for i in range(1, 9)], "qid int, rank int, best_text string")
+    assert [(r["rank"], len(r["shown"])) for r in ranking.report(ranked).orderBy("rank").collect()] == [(1, 245), (2, 250), (3, 250), (4, 250), (5, 250)]
+    fields = spark.createDataFrame([(1, i, list(range(i))) for i in range(1, 13)], "qid int, rank int, matched array<int>")
+    assert [r["matched"] for r in ranking.field_report(fields).orderBy("rank").collect()] == [list(range(min(i, 3))) for i in range(1, 11)]
+
+
+def test_older_readers_of_blocks_and_references(spark):
+    line = lambda t, o: {"spans": [{"text": t, "origin": o}]}
+    page = [(0, [line("below", [1.0, 9.0])], None), (0, [line(" top ", [5.0, 2.0]), line("more", None)], None), (1, [], b"png"), (0, [line("nowhere", None)], None), (0, [line("  ", [0.0, 0.0])], None)]
+    df = spark.createDataFrame([(page,)], f"b {files.BLOCKS}")
+    assert df.select(layout.text_of_blocks(F.col("b"))).head()[0] == "top  more\nbelow\n"
+    assert [x["image"] for x in df.select(layout.images(F.col("b"))).head()[0]] == [b"png"]
+    comma = lambda t: spark.range(1).select(records.split_reference(F.lit(t), ",").alias("r")).head()["r"]
+    assert tuple(comma("On words, vol. 2, ACL, 2019")) == ("On words, vol. 2", "ACL", 2019)
+    assert comma("On words. ACL. 2019") is None
+
+
+def test_model_boundaries_with_fakes(spark):
+    tok = lambda lemma, stop=False, punct=False: (0, lemma, lemma, "NOUN", "dep", 0, stop, punct, False)
+    parsed = spark.createDataFrame([([tok("the", True), tok("graph"), tok(".", False, True), tok("word")],)], f"t {models.TOKENS}")
+    assert tuple(parsed.select(models.lemmas(F.col("t")), models.lemmas(F.col("t"), True)).head()) == ("the graph . word", "graph word")
+    sizes = []
+    coded = spark.createDataFrame([(i, None if i == 3 else "x" * i) for i in range(70)], "i int, t string").coalesce(1).select("i", models.encoder(lambda texts: sizes.append(len(texts)) or [[float(len(t)), 1.0] for t in texts])(F.col("t")).alias("e"))
+    assert {r["i"]: r["e"] for r in coded.collect()} == {i: [float(0 if i == 3 else i), 1.0] for i in range(70)}
+    seen = spark.createDataFrame([(b"ab",), (b"",)], "image binary")
+    found = seen.select(models.recognizer(lambda b: [(chr(c), (i, 0, i + 2, 4)) for i, c in enumerate(b)])(F.col("image")).alias("o")).collect()
+    assert [[(t["text"], t["bbox"], t["cx"], t["cy"], t["seq"]) for t in r["o"]] for r in found] == [[("a", [0, 0, 2, 4], 1.0, 2.0, 0), ("b", [1, 0, 3, 4], 2.0, 2.0, 1)], []]
+    assert [r[0] for r in seen.select(models.captioner(lambda b, p: f"{p}: {len(b)} bytes")(F.col("image"), F.lit("size"))).collect()] == ["size: 2 bytes", "size: 0 bytes"]
+    try:
+        models.need("no_such_library_here")
+        raise AssertionError
+    except models.MissingLibrary as e:
+        assert "no_such_library_here" in str(e)
