@@ -169,13 +169,16 @@ def drop_repeated_lines(docs: DataFrame, **options: object) -> DataFrame:
     their lines at the same place are one place. Null doc_ids come last in the order. Documents that no line leaves are
     returned unchanged, and so are documents without words. Nothing in an extra column matters.
     """
-    gone = settled(lambda: dropped_lines(docs, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone")))
+    gone = settled(lambda: dropped_lines(docs, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_set("line_no")).alias("__gone")))
     size = gone.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("__gone")), F.lit(0)).alias("lines")).head()
     few = size["docs"] <= BROADCAST_ROWS and size["lines"] <= BROADCAST_LINES
     joined = docs.join(F.broadcast(gone) if few else gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["__id"]), "left")
-    left = F.filter(F.transform(_lines(F.col("text")), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda r: ~F.array_contains("__gone", r["i"]))
+    # the runs of lines between those that go: a walk over the sorted numbers, not a search a line
+    gone_at = F.coalesce("__gone", F.array().cast("array<int>"))
+    run = lambda x, e, k: let(F.when(k == 0, 0).otherwise(F.get(gone_at, k - 1) + 1), lambda s: F.slice(x, s + 1, F.greatest(e - s, F.lit(0))))
+    left = let(_lines(F.col("text")), lambda x: F.flatten(F.transform(F.array_append(gone_at, F.size(x)), lambda e, k: run(x, e, k))))
     # rows without a word lose nothing, even if another row of their id does
     same = F.col("__gone").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    text = F.when(same, F.col("text")).otherwise(F.array_join(F.transform(left, lambda r: r["x"]), "\n"))
+    text = F.when(same, F.col("text")).otherwise(F.array_join(left, "\n"))
     cut = joined.withColumn("__text", text).where(same | F.col("__text").rlike(r"[^\x20\x09-\x0D]"))
     return cut.select(*[F.col("__text").alias("text") if c == "text" else docs[c] for c in docs.columns])
