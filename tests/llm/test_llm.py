@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import itertools
+import math
 import random
 import re
 
@@ -9,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, bpe, lines, minhash, mixing, pii, quality, queries, substring, toxicity, urls
+from lectern.llm import ann, boost, bpe, common, lines, minhash, mixing, pii, quality, queries, substring, toxicity, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [(900001, None), (900002, ""), (900003, " \n\t"), (900004, "a"), (900005, "x" * 20000), (900006, "a b c d e f g"), (900007, "A B c d e f g"), (900008, "a " * 120), (900009, "a " * 70), (900010, " ".join(f"z{i}" for i in range(50))), (900011, "q " + " ".join(f"z{i}" for i in range(50)))]
@@ -212,11 +214,15 @@ def test_substring(docs, rows, empty):
 
 
 def test_toxicity(spark, docs, empty):
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    got = toxicity.score_toxicity(texts, labels).join(labels.select("doc_id", "toxic"), "doc_id").collect()
+    # the smaller tables have six toxic texts in the held-out fold
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    texts = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = toxicity.score_toxicity(texts, labels).join(labels.select("doc_id", "toxic").where("toxic IS NOT NULL"), "doc_id").collect()
     held = [r for r in got if r["held_out"]]
-    assert sum(r["predicted"] == r["toxic"] for r in held) / len(held) > 0.9
+    bad, good = ([r["score"] for r in held if r["toxic"] == y] for y in (1, 0))
+    # a constant answer has recall or AUC far below: most held-out texts are clean
+    assert len(bad) >= 50 and sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(bad) * len(good)) > 0.95
+    assert sum(r["predicted"] for r in held if r["toxic"]) / len(bad) > 0.7 and sum(r["predicted"] for r in held if not r["toxic"]) / len(good) < 0.03
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
     without = toxicity.score_toxicity(docs, labels.limit(0)).collect()
     assert len(without) == docs.count() and all(r["score"] is not None for r in without)
@@ -341,18 +347,133 @@ def test_quality(docs, rows, empty):
     assert quality.quality_report(empty).count() == 0
 
 
-def test_pipeline(spark, sf):
+def test_text_features_against_a_plain_loop():
+    """Each feature by its definition, character by character and word by word."""
+    rng = random.Random(12)
+    learned = toxicity.Lexicon(frozenset({"grut"}), frozenset({"blarg"}))
+    bits = ["you", "IDIOT", "idiot", "plain", "Words", "grut", "blargish", "st0pid", "m@ron", "!", "?!", "tu", "...", "é", "BIG", "x", "a_b", "\n"]
+    for _ in range(300):
+        text = " ".join(rng.choice(bits) for _ in range(rng.randrange(0, 90)))
+        apart = "".join(" " if (ord(c) < 128 and not c.isalnum() and c != "'") or c in "¡¿«»“”„…–—" else c for c in text.lower())
+        w = apart.split()
+        bad = [x in toxicity.INSULTS for x in w]
+        own = [x == "grut" or x.startswith("blarg") for x in w]
+        at = [i for i in range(len(w)) if bad[i] or own[i]]
+        near = [any(x in toxicity.SECOND_PERSON for j, x in enumerate(w) if abs(i - j) <= 5) for i in at]
+        n, chars = max(1, len(w)), max(1, len(text))
+        masked = re.findall(r"\b[^\W\d_]+[0-9@$!*#_.\-]+[^\W\d_]+(?:[^\W_]|[@$!*])*", text.lower())
+        leet = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
+        plain = ["".join(c for c in "".join(leet.get(c, c) for c in m) if c.isalnum()) for m in masked]
+        want = {
+            "fixed_rate": sum(bad) / n, "learned_rate": sum(own) / n, "fixed_count": sum(bad), "learned_count": sum(own), "near_second_person": sum(near) / len(at) if at else 0,
+            "second_person_rate": sum(x in toxicity.SECOND_PERSON for x in w) / n, "concentration": max((sum(i <= j < i + 50 for j in at) for i in at), default=0), "capital_rate": sum(c.isupper() for c in text) / chars,
+            "shouted_rate": sum(len(x) > 2 and x.isupper() for x in text.split()) / n, "exclaim_rate": text.count("!") / n, "punctuation_rate": sum(c in "!?.,;:#*$%&|<>\"'()[]{}-_/\\@^~`+=" for c in text) / chars,
+            "obfuscated_rate": len(masked) / n, "unmasked_count": sum(p in toxicity.INSULTS for p in plain), "log_words": math.log1p(len(w)),
+        }
+        got = dict(zip(toxicity.FEATURES, toxicity.text_features(text, learned), strict=True))
+        assert got == pytest.approx(want), text
+
+
+def test_isotonic_steps_against_brute_force():
+    """Pooled steps are the least-squares fit that never falls: each value is a min of max of means."""
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        x, y = rng.integers(0, 12, 60).astype(float), rng.integers(0, 2, 60).astype(float)
+        model = boost.Boosted(trees=[boost.Tree([0], [5.5], np.array([0.0, 0.0]))])
+        model.margin = lambda z: z[:, 0]
+        model.calibrate(x[:, None], y)
+        values = np.unique(x)
+        mean = lambda a, b: y[(x >= a) & (x <= b)].mean()
+        want = [max(min(mean(a, b) for b in values if b >= v) for a in values if a <= v) for v in values]
+        place = np.searchsorted(model.lows, values, side="right") - 1
+        assert model.chances[place] == pytest.approx(want)
+
+
+def test_pipeline_stage_by_stage(spark, sf):
+    """Each stage, on what the one before kept, against plain code over all rows."""
     import corpus_pipeline
     from tokenizers import Tokenizer
 
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert len(names) == 5
-    out = corpus_pipeline.run(spark, sf).collect()
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality rules", "line dedup", "MinHash near-dedup", "mixing", "BPE"]
+    source = spark.read.parquet(f"{sf}/documents.parquet")
+    docs, tables = source, {}
+    for name, stage in stages.items():
+        docs = common.settled(lambda: stage(spark, docs, sf))
+        tables[name] = [r.asDict() for r in docs.collect()]
+        assert name == "BPE" or docs.columns == source.columns
+    rows = {r["doc_id"]: r.asDict() for r in source.collect()}
+
+    kept = {r["doc_id"] for r in quality.quality_report(source).collect() if r["kept"]}
+    good = tables["quality rules"]
+    assert {r["doc_id"]: r for r in good} == {i: rows[i] for i in kept} and len(good) == len(kept) > 0
+    for i in kept:
+        w = WORD.findall(rows[i]["text"] or "")
+        windows = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        again = {k + j for k in range(len(w) - 7) if windows[tuple(w[k : k + 8])] > 1 for j in range(8)}
+        assert len(w) >= 20 and 100 * len(again) <= 30 * len(w)
+
+    seen, want = [], {}
+    for r in sorted(good, key=lambda r: r["doc_id"]):
+        left = []
+        for line in (r["text"] or "").split("\n"):
+            units = re.sub(r"[\x20\x09\x0B-\x0D]+", " ", line.lower()).strip(" ").split(" ")
+            if units != [""]:
+                if any(one_edit(units, s) for s in seen):
+                    continue
+                seen.append(units)
+            left.append(line)
+        text = "\n".join(left)
+        if WORD.search(text) or not WORD.search(r["text"] or ""):
+            want[r["doc_id"]] = text
+    # every line goes that a line before it, kept or not, makes redundant
+    lines = tables["line dedup"]
+    assert {r["doc_id"] for r in lines} <= kept and all(set(r["text"].split("\n")) <= set(want.get(r["doc_id"], "").split("\n")) for r in lines)
+
+    sets = {r["doc_id"]: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set()) for r in lines for w in [WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r["text"]))]}
+    low = {i: i for i in sets}
+
+    def find(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for i, j in itertools.combinations(sorted(sets), 2):
+        if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            a, b = find(i), find(j)
+            low[max(a, b)] = min(a, b)
+    near = tables["MinHash near-dedup"]
+    assert sorted(r["doc_id"] for r in near) == sorted(i for i in low if find(i) == i)
+    assert {r["doc_id"]: r for r in near} == {r["doc_id"]: r for r in lines if r["doc_id"] in {x["doc_id"] for x in near}}
+
+    mixed = tables["mixing"]
+    copies = collections.Counter(r["doc_id"] for r in mixed)
+    assert set(copies) <= {r["doc_id"] for r in near} and max(copies.values()) <= 3
+    size = {r["doc_id"]: len(WORD.findall(r["text"])) for r in near}
+    of = {r["doc_id"]: r["source"] for r in near}
+    weights = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(set(of.values())))}
+    whole = {s: sum(size[i] for i in size if of[i] == s) for s in weights}
+    target, open_, rest = {}, set(weights), sum(whole.values())
+    while True:
+        level = {s: rest * weights[s] / sum(weights[x] for x in open_) for s in open_}
+        full = {s for s in open_ if level[s] > 3 * whole[s]}
+        if not full:
+            target |= level
+            break
+        target |= {s: 3 * whole[s] for s in full}
+        rest -= sum(3 * whole[s] for s in full)
+        open_ -= full
+    for s in weights:
+        assert abs(sum(copies[i] * size[i] for i in size if of[i] == s) - target[s]) <= max(size[i] for i in size if of[i] == s)
+
     t = Tokenizer.from_file(queries.vocabulary())
-    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    assert out and all(r["doc_id"] in docs and r["n_tokens"] == len(r["ids"]) for r in out)
-    left = docs[out[0]["doc_id"]]["text"].split("\n")
-    assert set(t.decode(out[0]["ids"]).split("\n")) <= set(left)
+    texts = {r["doc_id"]: r["text"] for r in near}
+    out = tables["BPE"]
+    assert collections.Counter(r["doc_id"] for r in out) == copies
+    for r in out:
+        ids = t.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert r["ids"] == ids and r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    assert sorted((r["doc_id"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, sf).collect()) == sorted((r["doc_id"], r["ids_sha256"]) for r in out)
 
 
 def test_mixed_documents_follow_decisions(spark, docs, empty):
