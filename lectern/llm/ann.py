@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.blocks import best_places
 from .common import durable
 
 ORDERINGS = 12
@@ -30,6 +31,8 @@ DIMENSIONS, BITS = 16, 4
 #: Share of the pilots' true neighbours that windows must reach, and the number of pilots.
 TARGET, PILOTS = 0.95, 64
 BLOCK_ROWS = 512
+#: Queries that meet a block in one task, and those that are scored at a time.
+QUERY_ROWS, STRIP = 2048, 256
 NEIGHBOURS = 5
 EVERY = 50
 #: Vectors that scale the projections: a bounded sample of the smallest hashes of ids.
@@ -103,11 +106,14 @@ def _best(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         if not len(points) or not len(queries):
             return pd.DataFrame({"query": np.zeros(0, np.int64), "point": np.zeros(0, np.int64), "score": np.zeros(0)})
         p, q = np.array(points["vec"].tolist(), np.float64), np.array(queries["vec"].tolist(), np.float64)
-        score = (q @ p.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(p, axis=1)[None, :])
-        ids, names = points["gid"].to_numpy(), queries["gid"].to_numpy()
-        order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
-        row = np.repeat(np.arange(len(q)), order.shape[1])
-        return pd.DataFrame({"query": names[row], "point": ids[order.ravel()], "score": score[row, order.ravel()]})
+        lengths, ids, names = np.linalg.norm(p, axis=1)[None, :], points["gid"].to_numpy(), queries["gid"].to_numpy()
+        found = []
+        for lo in range(0, len(q), STRIP):
+            own = q[lo : lo + STRIP]
+            score = (own @ p.T) / (np.linalg.norm(own, axis=1)[:, None] * lengths)
+            at = best_places(np.broadcast_to(ids, score.shape), score, k)
+            found.append((np.repeat(names[lo : lo + STRIP], at.shape[1]), ids[at.ravel()], np.take_along_axis(score, at, axis=1).ravel()))
+        return pd.DataFrame(dict(zip(("query", "point", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     return run
 
@@ -148,7 +154,7 @@ def window_places(groups: DataFrame, asking: DataFrame, placed: DataFrame, neigh
     return far[min(len(far) - 1, int(np.ceil(target * len(far))) - 1)] if far else 0
 
 
-def nearest(vectors: DataFrame, neighbours: int = NEIGHBOURS, every: int = EVERY, orderings: int = ORDERINGS, block_rows: int = BLOCK_ROWS, target: float = TARGET) -> DataFrame:
+def nearest(vectors: DataFrame, neighbours: int = NEIGHBOURS, every: int = EVERY, orderings: int = ORDERINGS, block_rows: int = BLOCK_ROWS, target: float = TARGET, query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest found of each row whose vec_id is divisible by ``every``.
 
     ``vectors`` has vec_id and embedding. Null, empty or zero vectors, those with null or non-finite components, and
@@ -191,10 +197,15 @@ def nearest(vectors: DataFrame, neighbours: int = NEIGHBOURS, every: int = EVERY
     located = placed.join(F.broadcast(starts), ["o", "part"]).withColumn("at", F.col("start") + F.col("nth")).withColumn("block", F.floor(F.col("at") / block_rows))
     reach = -(-window_places(groups, asking, located, neighbours, target) // block_rows)
     located = located.select("o", "block", "gid", "asks", "vec")
-    blocks = max(1, -(-groups.count() // block_rows))
+    blocks = max(1, -(-(n_points := groups.count()) // block_rows))
     around = F.sequence(F.greatest(F.col("block") - reach, F.lit(0)), F.least(F.col("block") + reach, F.lit(blocks - 1)))
     queries = located.where("asks").withColumn("block", F.explode(around)).select("o", "block", "gid", F.lit(True).alias("asks"), "vec")
-    met = located.withColumn("asks", F.lit(False)).unionByName(queries).groupBy("o", "block").applyInPandas(_best(neighbours + 1), "query long, point long, score double")
+    # a block that many queries reach meets them in tiles, each with all its points
+    per_block = min(n_asking := asking.count(), -(-(2 * reach + 1) * block_rows * n_asking // max(1, n_points)))
+    tiles = max(1, -(-per_block // query_rows))
+    dealt = located.withColumn("asks", F.lit(False)).withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    asked_in = queries.withColumn("tile", F.pmod(F.xxhash64("gid"), F.lit(tiles)).cast("int"))
+    met = dealt.unionByName(asked_in).groupBy("o", "block", "tile").applyInPandas(_best(neighbours + 1), "query long, point long, score double")
     merged = met.groupBy("query", "point").agg(F.max("score").alias("score"))
     best = merged.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "point"))).where(F.col("nth") <= neighbours + 1)
     named = best.join(groups.select(F.col("gid").alias("point"), "ids"), "point").select(F.col("query").alias("gid"), F.explode("ids").alias("vec_id"), "score")
