@@ -71,7 +71,7 @@ def _products(batches: Iterator[pa.RecordBatch], width: int = 1) -> Iterator[tup
         yield tile, q, p, np.round(asked @ said.T, DIGITS)
 
 
-def _places(keys: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+def best_places(keys: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Where the k best columns of each row are, best first, equal ones by key."""
     if scores.shape[1] <= k:
         return np.lexsort((keys, -scores), axis=1)
@@ -83,7 +83,7 @@ def _places(keys: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def _best(keys: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    at = _places(keys, scores, k)
+    at = best_places(keys, scores, k)
     return np.take_along_axis(keys, at, axis=1), np.take_along_axis(scores, at, axis=1)
 
 
@@ -195,7 +195,7 @@ def _top_weighted(k: int, n_fields: int, normalize: bool) -> Run:
             found = [np.broadcast_to(p[at, 0], found[0].shape), *found]
             if had:
                 found = [np.concatenate(x, axis=1) for x in zip(had[:4], found, strict=True)]
-            best = _places(found[0], found[1], k)
+            best = best_places(found[0], found[1], k)
             states[tile] = (*[np.take_along_axis(x, best, axis=1) for x in found], q)
         for *found, q in states.values():
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, found[0].shape[1])), *[pa.array(x.ravel()) for x in found]], names=["qid", "slide_id", "score", "raw_score", "used_weight"])
