@@ -484,7 +484,9 @@ def extract_reference(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", ref.alias("r")).select("doc_id", "r.title", "r.venue", "r.year")
 
 
-@query()
+@query(rf"""WITH t AS (SELECT page_id, {_collapse_sql("'see ' || url")} AS t FROM pages WHERE page_id % 4 > 0 AND url IS NOT NULL), r AS (SELECT page_id, t, nullif(regexp_extract(t, 'https?://\S+'), '') AS u FROM t),
+l AS (SELECT page_id, list_filter([{{'field': 'reference_url', 'text': u, 'domain': lower(regexp_extract(u, '://([^/?#]*)', 1))}}, {{'field': 'reference_raw', 'text': t, 'domain': NULL}}], lambda x: x.text IS NOT NULL AND length(x.text) >= 8 AND regexp_matches(x.text, '\p{{L}}')) AS l FROM r)
+SELECT page_id, page_id || '_' || c.field || '_' || (i - 1) AS chunk_id, c.field AS field, c.text AS text, (399 + i)::INT AS "order", c.domain AS domain FROM (SELECT page_id, unnest(l) AS c, generate_subscripts(l, 1) AS i FROM l)""")
 def reference_chunks(spark: SparkSession, d: str) -> DataFrame:
     ref = C.reference_from_text(F.when(F.col("page_id") % 4 > 0, F.concat(F.lit("see "), "url")))
     return read(spark, d, "pages").select("page_id", F.explode(C.reference_chunks(F.col("page_id"), ref)).alias("c")).select("page_id", "c.chunk_id", "c.field", "c.text", "c.order", "c.meta.domain")
@@ -694,7 +696,12 @@ def semantic_keywords(spark: SparkSession, d: str) -> DataFrame:
     return I.semantic_keywords(parsed(spark, d), letters26).select("qid", F.array_join("keywords", "|").alias("keywords"))
 
 
-@query()
+@query(rf"""WITH w AS (SELECT item_id AS qid, string_split(text, ' ') AS w FROM benchmark),
+p AS (SELECT qid, list_concat(list_concat(list_transform(range(0, len(w), 4), lambda s: lower(array_to_string(list_filter(w[s + 1:least(s + 2, len(w))], lambda x: length(x) >= 4 AND regexp_matches(x, '[A-Za-z]')), ' '))),
+list_transform(list_filter(range(3, len(w) + 1, 3), lambda i: length(w[i]) >= 4), lambda i: lower(w[i]))), list_transform(list_filter(range(2, len(w) - 1, 3), lambda i: length(w[i]) >= 4), lambda i: lower(w[i] || ' ' || w[i + 2]))) AS p FROM w),
+c AS (SELECT qid, list_filter(list_transform(p, lambda x: lower({_collapse_sql("regexp_replace(x, '[^a-zA-Z0-9[:space:]]', '', 'g')")})), lambda x: x <> '') AS p FROM p),
+u AS (SELECT qid, p, flatten(list_transform(list_filter(p, lambda x: contains(x, ' ')), lambda x: string_split(x, ' '))) AS inside FROM c)
+SELECT qid, array_to_string(list_filter(p, lambda x, i: (contains(x, ' ') OR NOT list_contains(inside, x)) AND list_position(p, x) = i), '|') AS keywords FROM u""")
 def surface_keywords(spark: SparkSession, d: str) -> DataFrame:
     return parsed(spark, d).select("qid", F.array_join(K.surface_sources(F.col("tokens"), F.col("noun_chunks")), "|").alias("keywords"))
 
