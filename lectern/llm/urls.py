@@ -66,8 +66,8 @@ def parse_rule(line: str) -> Rule | None:
     end = core.endswith("|")
     core = core.removesuffix("|")
     parts = re.findall(r"[*^]|[^*^]+", core)
-    said = {"*": ".*", "^": r"(?:[^A-Za-z0-9_.%-]|$)"}
-    pattern = "(?i)" + (r"^(?:[^/]*\.)?" if domain else "^" if start else "") + "".join(said.get(x) or re.escape(x) for x in parts) + ("$" if end else "")
+    said = {"*": ".*", "^": r"(?:[^A-Za-z0-9_.%-]|\z)"}
+    pattern = "(?is)" + (r"^(?:[^/]*\.)?" if domain else "^" if start else "") + "".join(said.get(x) or re.escape(x) for x in parts) + (r"\z" if end else "")
     tokens = []
     for i, x in enumerate(parts):
         if x in said:

@@ -90,6 +90,18 @@ def test_null_and_empty_texts_with_a_fitted_model(spark):
     assert len(got) == 7 and all(0 <= r["score"] < 0.5 and r["predicted"] == 0 for r in got)
 
 
+def test_ends_and_line_breaks_of_urls(spark):
+    """An end is the end of the url, not of its first line; wild cards cross line breaks; urls of any length are judged."""
+    rules = tuple(urls.parse_rule(x) for x in ("/stop|", "/a/*/z^", "||far.*.com^"))
+    said = {
+        "http://x.org/stop": "block", "http://x.org/stop\n": "allow", "http://x.org/a/1\n2/z": "block", "http://x.org/a/1/z\n": "block", "http://far.b.com/": "block", "http://x.org/" + "b/" * 100_000 + "stop": "block",
+        "http://" + "s." * 50_000 + "far.q.com/": "block", "http://x.org/" + "a/" * 50_000: "allow", "://": "allow", "": "allow",
+    }
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(said)], "page_id long, url string")
+    got = {r["page_id"]: r["__verdict"] for r in urls.filter_urls(df, rules=rules).collect()}
+    assert [got[i] for i in range(len(said))] == list(said.values())
+
+
 PRIVATE = {
     "call 030 1234567 now": "030 1234567", "Tel.: 089 / 123 45 67": "089 / 123 45 67", "ring (030) 901820 later, phone 0301234567": "0301234567", "password=hunter2": "password=hunter2",
     'secret_key = "wJalrXUtnFEMIK7MDENGbPxRfiCY"': 'secret_key = "wJalrXUtnFEMIK7MDENGbPxRfiCY', "AWS_SECRET_ACCESS_KEY     =     wJalrXUtnFEMI": "AWS_SECRET_ACCESS_KEY     =     wJalrXUtnFEMI",
