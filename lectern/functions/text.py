@@ -104,11 +104,20 @@ RE2: dict[str, tuple[str, str, int]] = {
 }
 
 
+def _once_sql(words: str) -> str:
+    """``PHRASES`` as a fold over words: the second of two equal pairs goes, and what stands before can't be part of another match."""
+    last = "string_split(string_split(a || ' ' || x, chr(2))[-1], ' ')"
+    twice = f"len({last}) > 4 AND {last}[-4] = {last}[-2] AND {last}[-3] = x"
+    return f"substr(replace(list_reduce(string_split({words}, ' '), lambda a, x: CASE WHEN {twice} THEN left(a, length(a) - length({last}[-2]) - 1) || chr(2) ELSE a || ' ' || x END, ''), chr(2), ''), 2)"
+
+
 def sql(expression: str, steps: Steps) -> str:
-    """The steps as a DuckDB expression. Back-references have none."""
+    """The steps as a DuckDB expression. Back-references have none but that of repeated phrases."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     for kind, *a in steps:
-        if kind == "sub" and a[0] in RE2:
+        if (kind, *a) == REPEATED:
+            expression = _once_sql(expression)
+        elif kind == "sub" and a[0] in RE2:
             pattern, to, times = RE2[a[0]]
             for _ in range(times):
                 expression = f"regexp_replace({expression}, {quote(pattern)}, {quote(to)}, 'g')"
@@ -159,7 +168,8 @@ LOWER: Steps = (("lower",),)
 PAGE_NUMBERS: Steps = (("lines", r"^\s*\d+\s*$", ""),)
 TRAILING_NUMBERS: Steps = (("lines", r"\s+\d+$", ""),)
 BROKEN_WORDS: Steps = (("sub", r"([A-Za-z]+)\s+([A-Z][a-z]+)", r"\1\2"), ("swap", "Neur IPS", "NeurIPS"))
-PHRASES: Steps = (*COLLAPSE, ("sub", r"(?<!\S)(\S+) (\S+) \1 \2(?!\S)", r"\1 \2"))
+REPEATED: Step = ("sub", r"(?<!\S)(\S+) (\S+) \1 \2(?!\S)", r"\1 \2")
+PHRASES: Steps = (*COLLAPSE, REPEATED)
 CHUNK: Steps = (("swap", "\r\n", "\n"), ("swap", "\r", "\n"), ("swap", "\t", " "), *COLLAPSE)
 RETRIEVAL: Steps = (("swap", "\n", " "), *COLLAPSE)
 QUESTION: Steps = (("sub", r"[^a-zA-Z0-9\s\-]", " "), *COLLAPSE, ("lower",))

@@ -321,8 +321,7 @@ def drop_subsumed_words(spark: SparkSession, d: str) -> DataFrame:
 # ---- text
 
 PREFIX = "nPreliminaries • see http:// arxiv .org/abs  “cat” – it didn't , they cant ( / ) wait... - ok\n- item -- one\n 12 \nAI Weekly Neur IPS Lets\tgo 表a b Source:  A title, NIPS. 2017\nend 7\nself-attention is good is good now\n"
-#: Cleaners that RE2 has no pattern for.
-BACK_REFERENCES = {"clean_page_v1", "clean_page_v2", "dedupe_phrases"}
+PREFIX_SQL = "'" + PREFIX.replace("'", "''") + "'"
 
 
 def _cleaner(name: str) -> Query:
@@ -334,12 +333,7 @@ def _cleaner(name: str) -> Query:
 
 for _name, _steps in T.CLEANERS.items():
     QUERIES[f"text_{_name}"] = _cleaner(_name)
-    if _name not in BACK_REFERENCES:
-        try:
-            _quoted = PREFIX.replace("'", "''")
-            ORACLES[f"text_{_name}"] = f"SELECT doc_id, {T.sql(f'''('{_quoted}' || text)''', _steps)} AS cleaned FROM documents"
-        except ValueError:
-            pass
+    ORACLES[f"text_{_name}"] = f"SELECT doc_id, {T.sql(f'({PREFIX_SQL} || text)', _steps)} AS cleaned FROM documents"
 
 
 def _slide(version: int) -> Query:
@@ -353,6 +347,16 @@ def _slide(version: int) -> Query:
 QUERIES["clean_slide_v1"], QUERIES["clean_slide_v2"] = _slide(1), _slide(2)
 
 
+def _slide_sql(title: str, body: str) -> str:
+    rest = "CASE WHEN contains(t, chr(10)) THEN substr(t, instr(t, chr(10)) + 1) ELSE '' END"
+    return f"""WITH t AS (SELECT doc_id, replace({T.sql(f'({PREFIX_SQL} || text)', T.NO_CHINESE)}, '-' || chr(10), '-') AS t FROM documents),
+b AS (SELECT doc_id, {T.sql('string_split(t, chr(10))[1]', T.COLLAPSE)} AS title, {T.sql(rest, (("strip",),))} AS body FROM t) SELECT doc_id, {title} AS title, {body} AS body FROM b"""
+
+
+ORACLES["clean_slide_v1"] = _slide_sql("title", T.sql("body", T.BODY_V1))
+ORACLES["clean_slide_v2"] = _slide_sql(T.sql("title", T.TITLE_V2), T.sql("body", T.BODY_V2))
+
+
 @query(r"SELECT doc_id, regexp_replace(regexp_replace(string_split(replace(text, '-' || chr(10), '-'), chr(10))[1], '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS title FROM documents")
 def slide_titles(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", T.title_and_body(F.col("text"))[0].alias("title"))
