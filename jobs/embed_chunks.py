@@ -27,12 +27,11 @@ def chunks_of(documents: DataFrame, max_chars: int, min_chars: int) -> DataFrame
 def embed_chunks(spark: SparkSession, documents: str, output: str, checkpoint: str, config: dict) -> dict:
     """Add the vectors of new chunks of the documents (doc_id, text) to the table ``output``; ends when all files are taken."""
     encode = encoder(config["encoder"])
-    folder, _, name = documents.rstrip("/").rpartition("/")
     given = spark.readStream.schema(spark.read.parquet(documents).select("doc_id", "text").schema)
     if config["files_per_batch"]:
         given = given.option("maxFilesPerTrigger", config["files_per_batch"])
-    # a table may be a single file: the folder above it is the stream's, and the name picks the file
-    stream = given.parquet(documents) if _is_folder(spark, documents) else given.option("pathGlobFilter", name).parquet(folder)
+    # a table may be a single file, which a stream takes as a pattern only
+    stream = given.parquet(documents if _is_folder(spark, documents) else f"{documents[:-1]}[{documents[-1]}]")
     taken = {"batches": 0, "documents": 0, "chunks": 0}
 
     def each(batch: DataFrame, number: int) -> None:
