@@ -12,6 +12,8 @@ from __future__ import annotations
 import json
 import random
 from collections.abc import Callable
+from functools import reduce
+from operator import and_, or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,10 +43,16 @@ GENERATORS = {
     "secret": rf"(?i)(?<![\p{{L}}0-9])(?:[A-Za-z0-9]{{1,40}}+[_-]){{0,6}}{_LABEL}(?:[_-][A-Za-z0-9]++)*+[\x22']?[\x20\t]*+[:=][\x20\t]*+[\x22']?[^\s\x22',;]{{4,}}+|(?<![\p{{L}}0-9])bearer\x20++[A-Za-z0-9._~+/-]{{16,}}+=*+|(?-i:(?<![\p{{L}}0-9_])(?:AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{20,}}+|sk-[A-Za-z0-9_-]{{20,}}+|xox[abprs]-[A-Za-z0-9-]{{10,}}+|eyJ[A-Za-z0-9_-]{{8,}}+\.[A-Za-z0-9_-]{{8,}}+(?:\.[A-Za-z0-9_-]++)?)|-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----[^-]*+(?:-----END\x20[A-Z\x20]*PRIVATE\x20KEY-----)?)",
     "number": r"(?<![0-9\p{L}+.])\(?[0-9]{2,4}\)?(?:[\x20./-][0-9]{2,6}(?![0-9\p{L}]))++|(?<![0-9\p{L}])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[0-9]{1,3})?(?![0-9\p{L}])",
     "masked": r"(?i)(?:(?<![\p{L}0-9._-])|\G)[\p{L}0-9._-]++(?:\s?[(\[{]\s?at\s?[)\]}]\s?[\p{L}0-9.-]++(?:\s?[(\[{]\s?dot\s?[)\]}]\s?[\p{L}0-9]++)*+|\x20at\x20[\p{L}0-9-]++(?:\x20dot\x20[\p{L}0-9-]++){0,3}?\x20dot\x20(?:com|org|net|edu|info|io|de|fr|es|uk|eu)(?![\p{L}0-9]))",
-    "cued": rf"(?i)(?<=(?<![\p{{L}}0-9]){_CUE}[.:]{{0,2}}\x20{{0,3}})\(?[0-9][0-9()\x20./-]{{4,}}[0-9]|(?<=(?<![\p{{L}}0-9]){_BORN}[.:]{{0,2}}\x20{{0,3}})[0-9]{{1,4}}[./-]\x20?[0-9]{{1,2}}[./-]\x20?[0-9]{{1,4}}|(?<=(?<![\p{{L}}0-9]){_PASS}[.:]{{0,2}}\x20{{0,3}})(?=[A-Z0-9]*[0-9])[A-Z0-9]{{6,9}}(?![\p{{L}}0-9])",
+    "cued": rf"(?i)(?<![\p{{L}}0-9])(?=\(?[A-Z]{{0,8}}[0-9])(?:(?<=(?<![\p{{L}}0-9]){_CUE}[.:]{{0,2}}\x20{{0,3}})\(?[0-9][0-9()\x20./-]{{4,}}[0-9]|(?<=(?<![\p{{L}}0-9]){_BORN}[.:]{{0,2}}\x20{{0,3}})[0-9]{{1,4}}[./-]\x20?[0-9]{{1,2}}[./-]\x20?[0-9]{{1,4}}|(?<=(?<![\p{{L}}0-9]){_PASS}[.:]{{0,2}}\x20{{0,3}})[A-Z0-9]{{6,9}}(?![\p{{L}}0-9]))",
     "ipv6": r"(?i)(?<![0-9a-z:.])(?:[0-9a-f]{1,4}:){3,7}[0-9a-f]{1,4}(?![0-9a-z:])|(?<![0-9a-z:.])(?:[0-9a-f]{1,4}:){1,6}:(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,5})?(?![0-9a-z:])",
 }
 KINDS = (*BASE, *GENERATORS)
+#: What a text has if a pattern matches in it, as cheap searches: characters of it, one of each group, and lower-case words, one of them.
+NEEDED: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    "email": (("@",), ()), "ip": (("0123456789", "."), ()), "card": (("0123456789",), ()), "phone": (("+", "0123456789"), ()), "number": (("0123456789",), ()), "ipv6": ((":",), ()),
+    "secret": ((), ("token", "secret", "passw", "pwd", "passphrase", "key", "credential", "bearer", "akia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox", "eyj")), "masked": ((), ("(", "[", "{", " dot ")),
+    "cued": (("0123456789",), ("call", "phone", "tel", "fax", "mobil", "handy", "móvil", "portable", "whatsapp", "born", "birth", "dob", "d.o", "do.b", "gebor", "geburt", "né", "nacid", "pass", "pasaporte")),
+}
 #: Characters before a candidate that are its context.
 BEFORE = 40
 #: Words that announce personal data, and words that announce harmless numbers.
@@ -96,9 +104,18 @@ def _valid(kind: str, hit: Column) -> Column:
 
 
 def _proposed(rows: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
-    """Add __s_<kind>: the spans of each pattern in the text column. Matches first, so that texts without any are done."""
-    rows = rows.withColumns({f"__h_{k}": F.regexp_extract_all(text, F.lit(p), 0) for k, p in patterns.items()})
-    return rows.withColumns({f"__s_{k}": _spans(F.col(text), F.col(f"__h_{k}"), p) for k, p in patterns.items()}).drop(*[f"__h_{k}" for k in patterns])
+    """Add __s_<kind>: the spans of each pattern in the text column. A pattern runs where the text has what it needs; matches first, so that texts without any are done."""
+    rows = rows.withColumns({"__low": F.lower(text), "__digits": F.regexp_like(text, F.lit("[0-9]"))})
+
+    def may(k: str) -> Column:
+        groups, needles = NEEDED[k]
+        has = [F.col("__digits") if g == "0123456789" else F.contains(F.col(text), F.lit(g)) for g in groups]
+        if needles:
+            has.append(reduce(or_, (F.contains(F.col("__low"), F.lit(w)) for w in needles)))
+        return reduce(and_, has)
+
+    rows = rows.withColumns({f"__h_{k}": F.when(may(k), F.regexp_extract_all(text, F.lit(p), 0)).otherwise(F.array().cast("array<string>")) for k, p in patterns.items()})
+    return rows.withColumns({f"__s_{k}": _spans(F.col(text), F.col(f"__h_{k}"), p) for k, p in patterns.items()}).drop("__low", "__digits", *[f"__h_{k}" for k in patterns])
 
 
 def _features(text: Column, span: Column, kind: str) -> list[Column]:

@@ -135,3 +135,17 @@ def test_private_formats_in_long_texts(spark):
     assert pii.find_personal_data(df).count() == len(long)
     found = {r["doc_id"]: len(r["__spans"]) for r in pii.find_personal_data(df).select("doc_id", "__spans").collect()}
     assert found[2] == 1 and time.time() - began < 90
+
+
+def test_no_pattern_matches_without_what_it_needs(spark):
+    """Where a pattern would match, the cheap searches before it find what it needs."""
+    rng = random.Random(8)
+    bits = [*PRIVATE, *PLAIN, "a@b.c", "10.0.0.1", "4111 1111 1111 1111", "+49 30 1234567", "(\tat)", " DOT ", "É", "Bearer ", "KEY=abcd", "x [\nAT ] y", "d.ob: 1.2.2003", "NÉ 1/2/2003", "né 1/2/2003", "TEL 0301234", "sk-abcdefghijklmnopqrstuvwx"]
+    texts = [" ".join(rng.sample(bits, 3)) for _ in range(400)] + bits
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    every = pii.PATTERNS | pii.GENERATORS
+    plain = df.select("i", *[F.regexp_extract_all("t", F.lit(p), 0).alias(k) for k, p in every.items()]).collect()
+    guarded = {r["i"]: r for r in pii._proposed(df, "t", every).collect()}
+    assert sum(len(r[k]) for r in plain for k in every) > 500
+    for r in plain:
+        assert {k: r[k] for k in every} == {k: [s["hit"] for s in guarded[r["i"]][f"__s_{k}"]] for k in every}
