@@ -470,13 +470,44 @@ def slide_records(spark: SparkSession, d: str) -> DataFrame:
     return C.slide_records(slides(spark, d))
 
 
-@query()
+def _two_sql(x: str, least: int) -> str:
+    """Chunks of two sentences of a text."""
+    s = SENTENCES.replace("text", x)
+    paired = f"list_transform(list_filter({s}, lambda y, i: i % 2 = 1), lambda y, i: array_to_string(({s})[2 * i - 1:2 * i], ' '))"
+    return f"list_filter({paired}, lambda y: NOT {_noise_sql('y', least)})"
+
+
+def _noise_sql(x: str, least: int) -> str:
+    return rf"(length({x}) < {least} OR NOT regexp_matches({x}, '\p{{L}}'))"
+
+
+_RAW = lambda x: T.sql(T.sql(x, T.CHUNK), T.LONE_LETTERS_V2)
+_REST = "CASE WHEN contains(t, chr(10)) THEN substr(t, instr(t, chr(10)) + 1) ELSE '' END"
+_BOTH = f"SELECT doc_id, t, {T.sql('string_split(t, chr(10))[1]', T.COLLAPSE)} AS title, {T.sql(_REST, (('strip',),))} AS body FROM (SELECT doc_id, replace({T.sql('text', T.NO_CHINESE)}, '-' || chr(10), '-') AS t FROM documents)"
+#: The chunks of ``slides``: doc_id, field, place, text, trust, source; each list numbered by itself.
+CHUNKED = f"""WITH s AS (SELECT doc_id, {T.sql('title', T.TITLE_V2)} AS title, {T.sql('body', T.BODY_V2)} AS body FROM ({_BOTH})),
+b AS (SELECT doc_id, block, {_RAW('raw')} AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS block FROM documents WHERE doc_id % 5 > 0)),
+k AS (SELECT doc_id, block, CASE WHEN {IN_WORDS.format('t')} <= 40 THEN [t] ELSE {_two_sql('t', 8)} END AS p, CASE WHEN {IN_WORDS.format('t')} <= 40 THEN 'text_block' ELSE 'text_block_split' END AS source FROM b WHERE NOT {_noise_sql('t', 8)}),
+y AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block, j) - 1 AS i, t, source FROM (SELECT doc_id, block, source, unnest(p) AS t, generate_subscripts(p, 1) AS j FROM k)),
+f AS (SELECT doc_id, {_two_sql('t', 8)} AS p FROM (SELECT doc_id, {_RAW('body')} AS t FROM s WHERE doc_id % 5 = 0) WHERE NOT {_noise_sql('t', 8)}),
+o AS (SELECT doc_id, string_split({_pack_sql('u', IN_WORDS, 28)}, chr(1)) AS p FROM (SELECT doc_id, list_filter({_kept_sql('string_split(text, chr(10))')}, lambda x: NOT {GARBAGE.format('x')}) AS u FROM documents) WHERE len(u) > 0),
+e AS (SELECT doc_id, CASE WHEN len(p) = 0 THEN [t] ELSE p END AS p FROM (SELECT doc_id, t, {_two_sql('t', 12)} AS p FROM (SELECT doc_id, {_collapse_sql('text')} AS t FROM documents WHERE doc_id % 3 > 0) WHERE NOT {_noise_sql('t', 12)})),
+r AS (SELECT doc_id, unnest([{{'f': 'reference_title', 't': 'A study of words', 'w': 0.95::DOUBLE, 'i': 0}}, {{'f': 'reference_venue', 't': 'ACL', 'w': 0.85::DOUBLE, 'i': 1}}, {{'f': 'reference_raw', 't': 'A study of words, ACL, 2019', 'w': 0.85::DOUBLE, 'i': 2}}]) AS c FROM documents WHERE doc_id % 2 = 0),
+c AS (SELECT doc_id, 'title' AS field, 0 AS i, 0 AS place, title AS text, 1.0::DOUBLE AS trust, NULL AS source FROM s WHERE NOT {_noise_sql('title', 2)}
+UNION ALL SELECT doc_id, 'body', i, 100 + i, t, 1.0, source FROM y
+UNION ALL SELECT doc_id, 'body', i - 1, 99 + i, t, 1.0, 'body_text_fallback' FROM (SELECT doc_id, unnest(p) AS t, generate_subscripts(p, 1) AS i FROM f)
+UNION ALL SELECT doc_id, 'ocr', i - 1, 199 + i, t, 0.75, 'ocr_lines' FROM (SELECT doc_id, unnest(p) AS t, generate_subscripts(p, 1) AS i FROM o)
+UNION ALL SELECT doc_id, 'desc', i - 1, 299 + i, t, 0.6, 'slide_description' FROM (SELECT doc_id, unnest(p) AS t, generate_subscripts(p, 1) AS i FROM e) WHERE NOT {_noise_sql('t', 12)}
+UNION ALL SELECT doc_id, c.f, c.i, 400 + c.i, c.t, c.w, NULL FROM r)"""
+
+
+@query(CHUNKED + """ SELECT doc_id || '_' || field || '_' || i AS chunk_id, doc_id::INT AS slide_id, field, text, place::INT AS "order", trust, source FROM c""")
 def chunk_records(spark: SparkSession, d: str) -> DataFrame:
     c = slide_records(spark, d).select(F.inline("chunks"))
     return c.select("chunk_id", "slide_id", "field", "text", "order", "trust", "meta.source")
 
 
-@query()
+@query(CHUNKED + " SELECT d.doc_id AS slide_id, " + ", ".join(f"(count(c.doc_id) FILTER (WHERE field LIKE '{f}%'))::INT AS n_{f}" for f in ("title", "body", "ocr", "desc", "reference")) + ", count(c.doc_id)::INT AS n_all FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id")
 def chunk_counts(spark: SparkSession, d: str) -> DataFrame:
     return C.chunk_counts(slide_records(spark, d))
 
