@@ -51,15 +51,10 @@ class Boosted:
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
         """Isotonic regression of the labels on the margins, by pooling adjacent violators."""
-        m = self.margin(x)
-        order = np.argsort(m, kind="stable")
-        blocks: list[list[float]] = []  # sum, count, first margin
-        for v, label in zip(m[order], y[order], strict=True):
-            if blocks and blocks[-1][3] == v:
-                blocks[-1][0] += label
-                blocks[-1][1] += 1
-            else:
-                blocks.append([float(label), 1.0, float(v), float(v)])
+        values, place = np.unique(self.margin(x), return_inverse=True)
+        blocks: list[list[float]] = []  # sum, count, first and last margin; equal margins are one point
+        for v, s, n in zip(values.tolist(), np.bincount(place, y).tolist(), np.bincount(place).tolist(), strict=True):
+            blocks.append([s, n, v, v])
             while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
                 s, n, _, last = blocks.pop()
                 blocks[-1][0] += s
