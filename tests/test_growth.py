@@ -1,6 +1,12 @@
 """What a query keeps in memory, ships and shuffles stays in bounds as its tables grow."""
 
+import unicodedata
+
+from pyspark.sql import functions as F
+
+from lectern.functions import text as T
 from lectern.operators import titles
+from lectern.plans.queries import QUERIES
 
 
 def plan(df):
@@ -19,3 +25,20 @@ def test_titles_are_never_broadcast(spark, monkeypatch):
     assert max(sum(map(len, r["e_entry_key"])) for r in packed) <= 5_000 and sum(len(r["e_ord"]) for r in packed) == 40
     best = found.groupBy("id").agg({"score": "max"}).collect()
     assert len(best) == 40 and all(r[1] > 0.99 for r in best)
+
+
+def test_fold_looks_at_each_letter_once(spark):
+    """The text is made once, a letter meets the class of odd ones only if it isn't ASCII, and every code point folds as NFKD."""
+    points = [chr(c) for c in (*range(1, 0xD800, 7), *range(0xE000, 0x20000, 5), *range(0x1F100, 0x1F270), *range(0x2000, 0x2600))]
+    texts = [g.join(points[i : i + 97]) for g in ("", "a") for i in range(0, len(points), 97)] + ["", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.ascii_fold(F.regexp_replace("t", "\x00", "")).alias("f"))
+    assert all(r["f"] == (None if r["t"] is None else unicodedata.normalize("NFKD", r["t"]).encode("ascii", "ignore").decode()) for r in df.collect())
+    said = df._jdf.queryExecution().optimizedPlan().toString()
+    assert said.count("\x00") == 1
+    assert len(T._class(T._folds()[1])) < 4_000
+
+
+def test_chunks_are_made_once(spark, sf):
+    """Rows of chunks don't bring a filter that makes all chunks again, and a reference is looked for once."""
+    said = QUERIES["chunk_records"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert said.count(r"Source:\s*(") == 1, said.count(r"Source:\s*(")
