@@ -115,8 +115,12 @@ def reference_from_parts(parsed: Column, raw: Column | None = None, url: Column
     """type, raw, title, venue, year, url of a parsed reference; raw is rebuilt where it is missing."""
     url = F.lit(None).cast("string") if url is None else url
     raw = F.lit(None).cast("string") if raw is None else raw
-    joined = F.nullif(F.concat_ws(", ", F.nullif(parsed["title"], F.lit("")), F.nullif(parsed["conference"], F.lit("")), F.nullif(parsed["year"], F.lit(0)).cast("string")), F.lit(""))
-    return F.when(parsed.isNotNull(), F.struct(reference_type(parsed["title"], url).alias("type"), F.coalesce(raw, joined).alias("raw"), parsed["title"].alias("title"), parsed["conference"].alias("venue"), parsed["year"].alias("year"), url.alias("url")))
+
+    def made(p: Column) -> Column:
+        joined = F.nullif(F.concat_ws(", ", F.nullif(p["title"], F.lit("")), F.nullif(p["conference"], F.lit("")), F.nullif(p["year"], F.lit(0)).cast("string")), F.lit(""))
+        return F.when(p.isNotNull(), F.struct(reference_type(p["title"], url).alias("type"), F.coalesce(raw, joined).alias("raw"), p["title"].alias("title"), p["conference"].alias("venue"), p["year"].alias("year"), url.alias("url")))
+
+    return P.let(parsed, made)
 
 
 def reference_from_text(ref: Column) -> Column:
