@@ -2,9 +2,13 @@
 
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators import blocks as B
+from lectern.operators import ranking as R
 from lectern.operators import titles
 from lectern.plans.queries import QUERIES
 
@@ -42,3 +46,30 @@ def test_chunks_are_made_once(spark, sf):
     """Rows of chunks don't bring a filter that makes all chunks again, and a reference is looked for once."""
     said = QUERIES["chunk_records"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert said.count(r"Source:\s*(") == 1, said.count(r"Source:\s*(")
+
+
+def test_pairs_are_neither_shuffled_nor_joined(spark, sf):
+    """What every question and every page or slide give leaves the tasks that made it."""
+    for name in ("blend_scores", "weighted_qadesc_rank"):
+        said = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        above = said[: said.index("MapInArrow")]
+        assert "Join" not in above and "Aggregate" not in above and "Window" not in above, name
+
+
+def test_missing_vectors_have_no_score_but_rows(spark):
+    q = spark.createDataFrame([(0, [1.0, 0.0]), (50, None)], "qid long, q_emb array<double>")
+    p = spark.createDataFrame([(1, "long enough a text", [1.0, 0.0], [0.0, 1.0]), (2, "short", [3.0, 4.0], [4.0, 3.0]), (3, "short", None, None)], "page long, text string, desc_emb array<double>, text_emb array<double>")
+    got = {(r["qid"], r["page"]): r["score"] for r in R.blended(q, p).collect()}
+    assert got == {(0, 1): 0.4, (0, 2): 0.6, (0, 3): None, (50, 1): None, (50, 2): None, (50, 3): None}
+
+
+def test_products_and_batches_are_bounded(spark, sf, monkeypatch):
+    """A task scores a strip of a tile at a time, blocks of long vectors have fewer rows, and Arrow batches are small."""
+    monkeypatch.setattr(B, "BYTES", 64_000)
+    wide = spark.range(0, 300, 1, 1).select(F.col("id").alias("slide_id"), F.array_repeat(F.lit(1.0), 585).alias("v"))
+    assert max(len(r["p_vectors"]) for r in B._packed(wide, ("slide_id",), B.BLOCK, "p").collect()) <= 64_000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+    n, m, d = 700, 50, 3
+    row = pa.RecordBatch.from_arrays([pa.array([0]), *[pa.array([x.tobytes()], pa.binary()) for x in (np.arange(n), np.ones((n, d)), np.arange(m), np.ones((m, d)))]], names=list("abcde"))
+    parts = list(B._products(iter([row])))
+    assert [len(p[1]) for p in parts] == [256, 256, 188] and all(p[3].shape == (len(p[1]), m) for p in parts)
