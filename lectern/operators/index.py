@@ -18,19 +18,19 @@ Encode = Callable[[Column], Column]
 FIELDS = ("title", "body", "imgtext", "desc")
 
 
-def index_pages(slides: DataFrame, encode: Encode) -> DataFrame:
-    """page, the four fields cleaned, and a vector of each, from slide_key (counted from 0) and the fields.
+def index_pages(slides: DataFrame, encode: Encode, keep: tuple[str, ...] = ()) -> DataFrame:
+    """page, the four fields cleaned, and a vector of each, from slide_key (counted from 0) and the fields; columns named in ``keep`` come along.
 
     Missing and empty fields are empty texts; their vectors are those of the mark [EMPTY].
     """
-    cleaned = slides.select((F.col("slide_key").cast("long") + 1).alias("page"), *[apply(F.coalesce(f, F.lit("")), RETRIEVAL).alias(f) for f in FIELDS])
+    cleaned = slides.select((F.col("slide_key").cast("long") + 1).alias("page"), *[apply(F.coalesce(f, F.lit("")), RETRIEVAL).alias(f) for f in FIELDS], *keep)
     return cleaned.withColumns({f"{f}_emb": encode(or_empty_mark(F.col(f))) for f in FIELDS})
 
 
-def index_chunks(slides: DataFrame, encode: Encode) -> DataFrame:
-    """page, chunk_idx, text, chunk_emb: the local units of body, then of recognised text. A page without units has no row."""
+def index_chunks(slides: DataFrame, encode: Encode, keep: tuple[str, ...] = ()) -> DataFrame:
+    """page, chunk_idx, text, chunk_emb and ``keep``: the local units of body, then of recognised text. A page without units has no row."""
     units = F.concat(*[local_units(apply(F.coalesce(f, F.lit("")), RETRIEVAL)) for f in ("body", "imgtext")])
-    made = slides.select((F.col("slide_key").cast("long") + 1).alias("page"), F.posexplode(units).alias("chunk_idx", "text"))
+    made = slides.select((F.col("slide_key").cast("long") + 1).alias("page"), F.posexplode(units).alias("chunk_idx", "text"), *keep)
     return made.withColumn("chunk_emb", encode(F.col("text")))
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import blocks as B
+from lectern.operators import index as I
 from lectern.operators import ranking as R
 from lectern.operators import titles
+from lectern.plans.models import letters26
 from lectern.plans.queries import QUERIES
 
 
@@ -73,3 +75,23 @@ def test_products_and_batches_are_bounded(spark, sf, monkeypatch):
     row = pa.RecordBatch.from_arrays([pa.array([0]), *[pa.array([x.tobytes()], pa.binary()) for x in (np.arange(n), np.ones((n, d)), np.arange(m), np.ones((m, d)))]], names=list("abcde"))
     parts = list(B._products(iter([row])))
     assert [len(p[1]) for p in parts] == [256, 256, 188] and all(p[3].shape == (len(p[1]), m) for p in parts)
+
+
+def test_only_pages_found_travel(spark):
+    """Chunks and pages that no question has found are filtered where they are read, not shuffled."""
+    v = lambda i: [float(i % 7 + 1), float(i % 5), 1.0]
+    q = spark.createDataFrame([(1, "how many words", v(1))], "qid long, question string, q_emb array<double>")
+    fields = ("title", "body", "imgtext", "desc")
+    p = spark.createDataFrame([(i, *["text"] * 4, *[v(i)] * 4) for i in range(50)], "page long, " + ", ".join(f"{f} string" for f in fields) + ", " + ", ".join(f"{f}_emb array<double>" for f in fields))
+    c = spark.createDataFrame([(i, j, f"chunk {j}", v(i + j)) for i in range(50) for j in range(3)], "page long, chunk_idx int, text string, chunk_emb array<double>")
+    told = R.two_stage(q, p, c, candidates=4)
+    assert told.count() == 4
+    said = told._jdf.queryExecution().optimizedPlan().toString()
+    assert said.count("LeftSemi") >= 3 and "rightHint=(strategy=broadcast)" in said
+
+
+def test_columns_come_along_without_a_join(spark):
+    slides = spark.createDataFrame([(0, "en", "t", "One two three. Four five six.", "", ""), (1, None, "t", "One two three.", "", "")], "slide_key long, lang string, title string, body string, imgtext string, desc string")
+    for made in (I.index_pages, I.index_chunks):
+        df = made(slides, letters26, keep=("lang",))
+        assert {(r["page"], r["lang"]) for r in df.collect()} == {(1, "en"), (2, None)} and "Join" not in plan(df)
