@@ -1,5 +1,7 @@
 """What a query keeps in memory, ships and shuffles stays in bounds as its tables grow."""
 
+import difflib
+import random
 import unicodedata
 
 import numpy as np
@@ -33,6 +35,29 @@ def test_titles_are_never_broadcast(spark, monkeypatch):
     assert len(best) == 40 and all(r[1] > 0.99 for r in best)
 
 
+def test_comparisons_stop_early(monkeypatch):
+    """Matching blocks are difflib's, short or with popular letters, and a hopeless pair is left once its first blocks are known."""
+    rng = random.Random(8)
+    seen = []
+    monkeypatch.setattr(titles, "heappop", lambda todo, pop=titles.heappop: seen.append(1) or pop(todo))
+    for n in range(600):
+        letters = ("a", "ab", "abc ", "abcdefghijklmnopqrstuvwxyz 0123456789")[n % 4]
+        a, b = ("".join(rng.choice(letters) for _ in range(rng.randrange(400))) for _ in range(2))
+        b = b if n % 3 else b[:50] + a[20:200] + "xqz" * (n % 5) + a[250:]
+        of = difflib.SequenceMatcher(None, a, b).ratio()
+        assert titles.ratio(a, b) == of
+        for least in (of, rng.random()):
+            letters_ = titles.matched(a, titles.places(a), b, *titles.anchors(b), least)
+            assert letters_ is None if of < least else not a + b or 2.0 * letters_ / len(a + b) == of
+    a, b = "and and or " * 60, "a longer study of words and of numbers in deep networks for all who read it " * 2
+    all_of_it, few = [], []
+    for least, told in ((0.0, all_of_it), (0.3, few)):
+        seen.clear()
+        titles.matched(a, titles.places(a), b, *titles.anchors(b), least)
+        told.extend(seen)
+    assert 4 * len(few) < len(all_of_it)
+
+
 def test_fold_looks_at_each_letter_once(spark):
     """The text is made once, a letter meets the class of odd ones only if it isn't ASCII, and every code point folds as NFKD."""
     points = [chr(c) for c in (*range(1, 0xD800, 7), *range(0xE000, 0x20000, 5), *range(0x1F100, 0x1F270), *range(0x2000, 0x2600))]
