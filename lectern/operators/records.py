@@ -34,12 +34,15 @@ def _none() -> Column:
 
 
 def title_chunks(slide: Column, title: Column) -> Column:
-    t = apply(F.coalesce(title, F.lit("")), CHUNK)
-    return F.when(is_noise(t, MIN_CHARS["title"]), _none()).otherwise(F.array(chunk(slide, "title", t, F.lit(FIRST["title"]), F.lit(0))))
+    made = lambda t: F.when(is_noise(t, MIN_CHARS["title"]), _none()).otherwise(F.array(chunk(slide, "title", t, F.lit(FIRST["title"]), F.lit(0))))
+    return P.let(apply(F.coalesce(title, F.lit("")), CHUNK), made)
 
 
 def _pieces(raw: Column) -> Column:
-    return P.let(P.bullets_or_lines(raw), lambda parts: F.when(F.size(parts) <= 1, P.two_sentence_chunks(raw, MIN_CHARS["body"])).otherwise(P.pack_words(parts, 40)))
+    """Pieces of a text whose white space is collapsed: without a bullet it is one line."""
+    pairs = P.two_sentence_chunks(raw, MIN_CHARS["body"], cleaned=True)
+    listed = P.let(P.bullets_or_lines(raw), lambda parts: F.when(F.size(parts) <= 1, pairs).otherwise(P.pack_words(parts, 40)))
+    return F.when(F.contains(raw, F.lit("\u2022")), listed).otherwise(pairs)
 
 
 def body_chunks(slide: Column, blocks: Column) -> Column:
@@ -48,7 +51,7 @@ def body_chunks(slide: Column, blocks: Column) -> Column:
     sound = F.filter(raw, lambda b: ~is_noise(b["text"], MIN_CHARS["body"]))
 
     def cut(b: Column) -> Column:
-        whole = P.n_words(b["text"]) <= 40
+        whole = P.n_words_collapsed(b["text"]) <= 40
         of = lambda t, source: F.struct(t.alias("text"), b["origin"].alias("origin"), b["block_idx"].alias("block_idx"), F.lit(source).alias("source"))
         parts = F.filter(_pieces(b["text"]), lambda p: ~is_noise(p, MIN_CHARS["body"]))
         return F.when(whole, F.array(of(b["text"], "text_block"))).otherwise(F.transform(parts, lambda p: of(p, "text_block_split")))
@@ -77,11 +80,12 @@ def ocr_chunks(slide: Column, lines: Column, by_length: bool = False) -> Column:
 
 
 def desc_chunks(slide: Column, text: Column) -> Column:
-    t = apply(F.coalesce(text, F.lit("")), CHUNK)
-    parts = P.two_sentence_chunks(t, MIN_CHARS["desc"])
-    parts = F.when(F.size(parts) == 0, F.array(t)).otherwise(parts)
-    made = F.transform(parts, lambda p, i: chunk(slide, "desc", p, i + FIRST["desc"], i, meta(source="slide_description")))
-    return F.when(is_noise(t, MIN_CHARS["desc"]), _none()).otherwise(F.filter(made, lambda c: ~is_noise(c["text"], MIN_CHARS["desc"])))
+    def cut(t: Column) -> Column:
+        kept = lambda parts: F.filter(F.transform(F.when(F.size(parts) == 0, F.array(t)).otherwise(parts), made), lambda c: ~is_noise(c["text"], MIN_CHARS["desc"]))
+        return F.when(is_noise(t, MIN_CHARS["desc"]), _none()).otherwise(P.let(P.two_sentence_chunks(t, MIN_CHARS["desc"], cleaned=True), kept))
+
+    made = lambda p, i: chunk(slide, "desc", p, i + FIRST["desc"], i, meta(source="slide_description"))
+    return P.let(apply(F.coalesce(text, F.lit("")), CHUNK), cut)
 
 
 def split_reference(ref: Column, marks: str = "[,.]") -> Column:

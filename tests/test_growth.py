@@ -2,12 +2,14 @@
 
 import difflib
 import random
+import re
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from lectern.functions import splitting as P
 from lectern.functions import text as T
 from lectern.operators import blocks as B
 from lectern.operators import index as I
@@ -75,6 +77,24 @@ def test_chunks_are_made_once(spark, sf):
     assert said.count(r"Source:\s*(") == 1, said.count(r"Source:\s*(")
 
 
+def test_texts_are_cleaned_once(spark, sf):
+    """Patterns run on texts that can match, collapsed white space is collapsed again only where two blanks are, and a description is cleaned once."""
+    odd = ["1 a.  1b. 2 C\u3000\u2003\nD. \u2022 x", "12. 11 A. 10 B! 0 (c) [ d ] ( / ) ( ) e.. f-- g", " Source:\tA  Source: b", "x\u00a8\u00a8y \u00a0 z\u0085", "a b a b a b a b", "it didn't doesn http://  a / b", "", None, "\r\n\t", "one\r\ntwo\tthree\x1cfour"]
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    space = "[" + T.SPACE + "]+"
+    plain = [None if t is None else re.sub(space, " ", t).strip(" ") for t in odd]
+    assert [r[0] for r in df.select(T.apply(F.col("t"), T.CHUNK)).collect()] == plain
+    for steps in (T.PAGE_V1, T.PAGE_V2, T.BODY_V2, T.TITLE_V2):
+        one_by_one = F.col("t")
+        for step in steps:
+            one_by_one = T.apply(one_by_one, (step,))
+        assert all(r[0] == r[1] for r in df.select(T.apply(F.col("t"), steps), one_by_one).collect())
+    cut = lambda t: [p for p in re.split(r"(?<=[.!?])\s+(?=[A-Z0-9(\[])|(?<=\.)\s+(?=\u2022)", t) if p]
+    assert [r[0] for r in df.where("t IS NOT NULL").select(P.sentences(F.col("t"))).collect()] == [cut(t) for t in plain if t is not None]
+    said = QUERIES["slide_records"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert said.count("(?<=[.!?]") <= 5 and "(?<=[.!?])\\s+" not in said, said.count("(?<=[.!?]")
+
+
 def test_pairs_are_neither_shuffled_nor_joined(spark, sf):
     """What every question and every page or slide give leaves the tasks that made it."""
     for name in ("blend_scores", "weighted_qadesc_rank"):
